@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltern.llm import language_id, sentencepiece_codec, toxicity
+from saltern.llm import exact_dedup, language_id, sentencepiece_codec, toxicity
 from saltern.llm.common import fold_is, table
 
 
@@ -34,6 +34,26 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", fold_is(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest is the SHA-256 of the normalised text, so it serves as ``text_sha256``."""
+    out = exact_dedup.decisions(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+OP8_SQL = r"""
+WITH d AS (
+    SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t
+    FROM documents
+)
+SELECT doc_id,
+       first_value(doc_id) OVER w AS keep_id,
+       count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER w = 1 AS kept,
+       sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)
+"""
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs))
@@ -41,8 +61,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_toxicity, op9_language_id)}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_toxicity, op8_exact_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_exact_dedup": OP8_SQL}
