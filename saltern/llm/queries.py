@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltern.llm import exact_dedup, language_id, sentencepiece_codec, toxicity
+from saltern.llm import exact_dedup, language_id, secret_scan, sentencepiece_codec, toxicity
 from saltern.llm.common import fold_is, table
 
 
@@ -34,6 +34,59 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", fold_is(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        *[secret_scan.count_of(F.col("base"), k).alias(f"n_{k}") for k in secret_scan.BASE],
+        F.sha2(secret_scan.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.joined(F.concat("base", "linked")).alias("spans"),
+    )
+
+
+def _op5_sql() -> str:
+    kinds = ",\n".join(f"({k}, '{kind}', '{pattern.replace(chr(39), chr(39) * 2)}', {group}, {least})" for k, (kind, (pattern, group, least)) in enumerate((secret_scan.BASE | secret_scan.WEAK).items()))
+    near = f"abs(a.start - b.start) <= {secret_scan.WINDOW}"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+kinds(rank, kind, pattern, grp, least) AS (VALUES {kinds}),
+m AS (
+    SELECT r, t, rank, kind, least, regexp_extract_all(t, pattern) AS ms, string_split_regex(t, pattern) AS gaps,
+           CASE WHEN grp = 2 THEN regexp_extract_all(t, pattern, 2) ELSE regexp_extract_all(t, pattern) END AS vs
+    FROM d, kinds WHERE regexp_matches(t, pattern)
+),
+i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m),
+s AS (
+    SELECT r, rank, kind, least, vs[i] AS v, ms[i] AS x,
+           list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0) AS start,
+           len(string_split_regex(t[1:list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0)], '\n[\x20\t\r]*\n')) AS scope
+    FROM i WHERE len(vs[i]) >= least
+),
+p AS (
+    SELECT r, rank, kind, CAST(start AS BIGINT) AS start, CAST(start + length(x) AS BIGINT) AS fin, scope
+    FROM s WHERE kind <> 'secret' OR regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')
+),
+ids AS (SELECT * FROM p WHERE kind IN ('access', 'id')),
+secrets AS (SELECT * FROM p WHERE kind IN ('assign', 'hex', 'secret')),
+linked AS (SELECT * FROM secrets a WHERE EXISTS (SELECT 1 FROM ids b WHERE a.r = b.r AND a.scope = b.scope AND {near})),
+every AS (
+    SELECT * FROM p WHERE kind IN ('assign', 'access', 'hex')
+    UNION ALL SELECT * FROM linked WHERE kind = 'secret'
+    UNION ALL SELECT * FROM ids a WHERE kind = 'id' AND EXISTS (SELECT 1 FROM secrets b WHERE a.r = b.r AND a.scope = b.scope AND {near})
+    UNION ALL SELECT * FROM p a WHERE kind = 'endpoint' AND EXISTS (SELECT 1 FROM linked b WHERE a.r = b.r AND a.scope = b.scope AND {near})
+),
+g AS (
+    SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+           string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+           string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY start, rank) AS spans
+    FROM every GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)
+"""
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest is the SHA-256 of the normalised text, so it serves as ``text_sha256``."""
     out = exact_dedup.decisions(table(spark, sf_dir, "documents"))
@@ -61,8 +114,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_toxicity, op8_exact_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_toxicity, op5_secret_scan, op8_exact_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op5_secret_scan": _op5_sql(), "op8_exact_dedup": OP8_SQL}
