@@ -293,8 +293,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, n
     """One row a document: ``at`` (locator), ``id``, ``n_shingles``, ``component`` (a number, null
     without n-grams), ``component_id`` (smallest id) and ``n_links`` (other rows linked directly),
     for J >= num/den."""
-    spark = docs.sparkSession
-    rows = located(docs).select(F.col("saltern_at").alias("at"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    return _join(_columns(located(docs), key, text), n, num, den)
+
+
+def _columns(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col("saltern_at").alias("at"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+
+
+def _join(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     kinds = rows.schema
     base = rows.mapInArrow(_read(n, num, den), f"at struct<file:string,row:long>, id {kinds['id'].dataType.simpleString()}, n long, cls binary, prints binary")
     base = written(base.withColumn("node", F.monotonically_increasing_id()), "join-base")
@@ -342,7 +348,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     """``docs`` with one row of each component: the smallest id, then the first row. Rows without
     n-grams stay."""
     rows = located(docs)
-    found = join(docs if "saltern_path" not in rows.__dict__ else rows.drop("saltern_at"), key, text, n, num, den)
+    found = _join(_columns(rows, key, text), n, num, den)
     first = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node", "at")).alias("x"))
     gone = found.filter("component IS NOT NULL").join(first, "component").filter(F.col("at") != F.col("x.at")).select("at")
     return rows.join(gone, F.col("saltern_at") == F.col("at"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltern.llm import exact_dedup, language_id, secret_scan, sentencepiece_codec, toxicity
+from saltern.llm import exact_dedup, language_id, ngram_join, secret_scan, sentencepiece_codec, toxicity
 from saltern.llm.common import fold_is, table
 
 
@@ -113,8 +113,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", fold_is(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.join(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_toxicity, op5_secret_scan, op8_exact_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_toxicity, op5_secret_scan, op8_exact_dedup, op9_language_id, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
