@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltern.llm import exact_dedup, language_id, ngram_join, secret_scan, sentencepiece_codec, toxicity
+from saltern.llm import embedding_dedup, exact_dedup, language_id, ngram_join, secret_scan, sentencepiece_codec, toxicity
 from saltern.llm.common import fold_is, table
 
 
@@ -17,6 +17,27 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+pairs AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 93e-2
+),
+reach(id, x) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, p.b FROM reach r JOIN pairs p ON p.a = r.x)
+SELECT id AS vec_id, coalesce((SELECT count(*) FROM pairs WHERE a = id), 0) AS n_links, min(x) AS component_id, id = min(x) AS kept
+FROM reach GROUP BY id
+"""
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sentencepiece_codec.encode_decode(docs, piece_model())
@@ -119,8 +140,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_toxicity, op5_secret_scan, op8_exact_dedup, op9_language_id, op10_ngram_join)}
+    return {f.__name__: f for f in (op2_embedding_dedup, op3_sentencepiece, op4_toxicity, op5_secret_scan, op8_exact_dedup, op9_language_id, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_scan": _op5_sql(), "op8_exact_dedup": OP8_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op5_secret_scan": _op5_sql(), "op8_exact_dedup": OP8_SQL}
