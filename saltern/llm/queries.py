@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltern.llm import embedding_dedup, exact_dedup, language_id, ngram_join, secret_scan, sentencepiece_codec, toxicity
+from saltern.llm import embedding_dedup, exact_dedup, language_id, lm_scoring, ngram_join, secret_scan, sentencepiece_codec, toxicity
 from saltern.llm.common import fold_is, table
 
 
@@ -17,6 +17,11 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scoring.score(table(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
@@ -140,7 +145,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_embedding_dedup, op3_sentencepiece, op4_toxicity, op5_secret_scan, op8_exact_dedup, op9_language_id, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_sentencepiece, op4_toxicity, op5_secret_scan, op8_exact_dedup, op9_language_id, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
