@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltern.llm import embedding_dedup, exact_dedup, language_id, lm_scoring, ngram_join, secret_scan, sentencepiece_codec, toxicity
+from saltern.llm import embedding_dedup, exact_dedup, language_id, lm_scoring, ngram_join, secret_scan, sentencepiece_codec, source_mixing, toxicity
 from saltern.llm.common import fold_is, table
 
 
@@ -113,6 +113,62 @@ FROM d LEFT JOIN g USING (r)
 """
 
 
+#: Weights of languages among their siblings; domains and sources weigh the same.
+MIX_WEIGHTS = {"lang": {"en": 3.0, "de": 2.0, "fr": 2.0, "es": 1.0}}
+MIX_FRACTION, MIX_EPOCHS, MIX_SEED = 0.5, 3, "mix"
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = source_mixing.mix(table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS, fraction=MIX_FRACTION, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
+    return out.select("doc_id", "lang", "source", F.col("mix_domain").alias("domain"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"))
+
+
+def _fill_sql(name: str, above: str, parent: list[str], level: str, weight: str) -> str:
+    keys = ", ".join([*parent, level])
+    group = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    join = f"JOIN {above} USING ({', '.join(parent)})" if parent else f"CROSS JOIN {above}"
+    return f"""
+{name}0 AS (
+    SELECT n.*, budget FROM (SELECT {keys}, CAST(sum(supply) * {MIX_EPOCHS} AS DOUBLE) AS cap, CAST({weight} AS DOUBLE) AS weight FROM leaves GROUP BY {keys}) n {join}
+),
+{name}1 AS (
+    SELECT *, coalesce(sum(cap) OVER r, 0) + cap / weight * (sum(weight) OVER g - coalesce(sum(weight) OVER r, 0)) <= budget AS filled
+    FROM {name}0 WINDOW g AS ({group}), r AS ({group} ORDER BY cap / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+{name} AS (
+    SELECT {keys}, CASE WHEN filled THEN cap ELSE weight * (budget - coalesce(sum(CASE WHEN filled THEN cap END) OVER g, 0)) / sum(CASE WHEN NOT filled THEN weight END) OVER g END AS budget
+    FROM {name}1 WINDOW g AS ({group})
+)"""
+
+
+def _op6_sql() -> str:
+    langs = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS["lang"].items()) + " ELSE 1 END"
+    return rf"""
+WITH d AS (
+    SELECT doc_id, lang AS lang0, source AS source0, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_tokens,
+           CASE WHEN left(md5(coalesce(source, '')), 1) < '4' THEN 'd0' WHEN left(md5(coalesce(source, '')), 1) < '8' THEN 'd1'
+                WHEN left(md5(coalesce(source, '')), 1) < 'c' THEN 'd2' ELSE 'd3' END AS domain
+    FROM documents
+),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS supply FROM d WHERE n_tokens > 0 GROUP BY ALL),
+root AS (SELECT least(CAST(sum(supply) * {MIX_EPOCHS} AS DOUBLE), floor(CAST(sum(supply) AS DOUBLE) * CAST({MIX_FRACTION} AS DOUBLE))) AS budget FROM leaves),
+{_fill_sql("domains", "root", [], "domain", "1")},
+{_fill_sql("langs", "domains", ["domain"], "lang", langs)},
+{_fill_sql("sources", "langs", ["domain", "lang"], "source", "1")},
+plan AS (
+    SELECT domain, lang, source, supply, CAST(floor(budget) AS BIGINT) AS budget, CAST(floor(budget) AS BIGINT) // CAST(supply AS BIGINT) AS epochs
+    FROM leaves JOIN sources USING (domain, lang, source)
+),
+o AS (
+    SELECT d.*, p.epochs, p.budget - p.epochs * p.supply AS rest,
+           sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{MIX_SEED}:' || p.epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) RANGE UNBOUNDED PRECEDING) AS upto
+    FROM d JOIN plan p USING (domain, lang, source) WHERE n_tokens > 0
+)
+SELECT doc_id, lang0 AS lang, source0 AS source, domain, n_tokens, CAST(unnest(range(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)) AS INTEGER) AS epoch FROM o
+"""
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest is the SHA-256 of the normalised text, so it serves as ``text_sha256``."""
     out = exact_dedup.decisions(table(spark, sf_dir, "documents"))
@@ -145,8 +201,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_sentencepiece, op4_toxicity, op5_secret_scan, op8_exact_dedup, op9_language_id, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_sentencepiece, op4_toxicity, op5_secret_scan, op6_source_mixing, op8_exact_dedup, op9_language_id, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2_SQL, "op5_secret_scan": _op5_sql(), "op8_exact_dedup": OP8_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op5_secret_scan": _op5_sql(), "op6_source_mixing": _op6_sql(), "op8_exact_dedup": OP8_SQL}
