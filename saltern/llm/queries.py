@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltern.llm import embedding_dedup, exact_dedup, language_id, lm_scoring, ngram_join, secret_scan, sentencepiece_codec, source_mixing, toxicity
+from saltern.llm import chat_format, embedding_dedup, exact_dedup, language_id, lm_scoring, ngram_join, secret_scan, sentencepiece_codec, source_mixing, toxicity
 from saltern.llm.common import fold_is, table
 
 
@@ -146,7 +146,8 @@ def _op6_sql() -> str:
     return rf"""
 WITH d AS (
     SELECT doc_id, lang AS lang0, source AS source0, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-           len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_tokens,
+           len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n_tokens,
            CASE WHEN left(md5(coalesce(source, '')), 1) < '4' THEN 'd0' WHEN left(md5(coalesce(source, '')), 1) < '8' THEN 'd1'
                 WHEN left(md5(coalesce(source, '')), 1) < 'c' THEN 'd2' ELSE 'd3' END AS domain
     FROM documents
@@ -175,6 +176,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat_format.repair(table(spark, sf_dir, "conversations"))
+    return out.drop("pos").withColumnsRenamed({"conv": "conv_id"})
+
+
 OP8_SQL = r"""
 WITH d AS (
     SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t
@@ -201,7 +207,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_sentencepiece, op4_toxicity, op5_secret_scan, op6_source_mixing, op8_exact_dedup, op9_language_id, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_sentencepiece, op4_toxicity, op5_secret_scan, op6_source_mixing, op7_chat_format, op8_exact_dedup, op9_language_id, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
