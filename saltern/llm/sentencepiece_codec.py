@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 MARK = "▁"
 #: Chunks that one worker's table holds, and the longest chunk (characters) that it keeps.
 TABLE_ROWS, TABLE_CHUNK = 200_000, 64
-#: Texts handed back to the JVM at once hold so many ids at most (a single longer text aside).
-BATCH_IDS = 1 << 20
+#: Texts of so many bytes (a single longer text aside) are segmented and handed back together.
+BATCH_BYTES = 2 << 20
 
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -49,36 +49,34 @@ class ChunkTable:
             and self.sp.encode("a  b ") == [*self.sp.encode("a"), *self.sp.encode(" b"), self.mark_id]
         )
 
-    def _add(self, chunks: set[str]) -> None:
-        if len(self.ids) + len(chunks) > self.rows:
-            self.ids, self.texts = {}, {}
-        new = [c for c in chunks if c not in self.ids]
-        ids = [x or [self.mark_id] for x in self.sp.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1)]
-        self.ids.update(zip(new, ids, strict=True))
-        self.texts.update(zip(new, (" " + t for t in self.sp.decode(ids)), strict=True))
-
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """The ids of a text, and what they decode to."""
-        if not text:
-            return [], ""
+    def _segment(self, chunks: list[str]) -> tuple[dict[str, list[int]], dict[str, str]]:
+        """Ids and decoded texts of distinct chunks, in one call of the library each."""
+        ids = [x or [self.mark_id] for x in self.sp.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1)]
+        return dict(zip(chunks, ids, strict=True)), dict(zip(chunks, (" " + t for t in self.sp.decode(ids, num_threads=1)), strict=True))
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+        """For each text its ids, and what they decode to. The texts' new chunks are segmented together."""
         if not self.bounded:
-            ids = self.sp.encode(text)
-            return ids, self.sp.decode(ids)
-        chunks = _CHUNK.findall(MARK + text.replace(" ", MARK))
-        distinct = set(chunks)
-        long = {c for c in distinct if len(c) > TABLE_CHUNK}
-        if (missing := distinct.difference(self.ids).difference(long)) and len(missing) <= self.rows:
-            self._add(missing)
-            if still := distinct.difference(self.ids).difference(long):
-                self._add(still)
-        ids, texts = self.ids, self.texts
-        if long or len(distinct) > self.rows or any(c not in ids for c in distinct):
-            ids, texts = dict(ids), dict(texts)
-            rest = [c for c in distinct if c not in ids]
-            for c in rest:
-                ids[c] = self.sp.encode(c[1:].replace(MARK, " ")) or [self.mark_id]
-                texts[c] = " " + self.sp.decode(ids[c])
-        return list(chain.from_iterable(map(ids.__getitem__, chunks))), "".join(map(texts.__getitem__, chunks))[1:]
+            for text in texts:
+                ids = self.sp.encode(text)
+                yield ids, self.sp.decode(ids)
+            return
+        split = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        missing = list(set().union(*split).difference(self.ids))
+        new_ids, new_texts = self._segment(missing) if missing else ({}, {})
+        kept = [c for c in missing if len(c) <= TABLE_CHUNK]
+        if len(self.ids) + len(kept) > self.rows:
+            seen = set().union(*split).intersection(self.ids)  # of the old table, what these texts need
+            self.ids, self.texts = {c: self.ids[c] for c in seen}, {c: self.texts[c] for c in seen}
+        self.ids.update(new_ids)
+        self.texts.update(new_texts)
+        for chunks in split:
+            yield list(chain.from_iterable(map(self.ids.__getitem__, chunks))), "".join(map(self.texts.__getitem__, chunks))[1:]
+        if len(kept) < len(missing):
+            for c in set(missing).difference(kept):
+                del self.ids[c], self.texts[c]
+        if len(self.ids) > self.rows:
+            self.ids, self.texts = {}, {}
 
 
 def _mapper(model: bytes, text_at: int, schema: pa.Schema, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -86,20 +84,25 @@ def _mapper(model: bytes, text_at: int, schema: pa.Schema, rows: int) -> Callabl
         import array
 
         table = None
-        for batch in batches:
+        for whole in batches:
             table = table or ChunkTable(model, rows)
-            ids, offsets, decoded, start = array.array("i"), [0], [], 0
-            n = batch.num_rows
-            for k in range(n):
-                own, text = table.encode(batch.column(text_at)[k].as_py() or "")
-                ids.extend(own)
-                offsets.append(len(ids))
-                decoded.append(text)
-                if len(ids) >= BATCH_IDS or k == n - 1:
-                    values = pa.array(memoryview(ids) if len(ids) else [], pa.int32())
-                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-                    yield pa.RecordBatch.from_arrays([*batch.slice(start, k + 1 - start).columns, lists, pa.array(decoded, pa.string())], schema=None, names=[*schema.names])
-                    ids, offsets, decoded, start = array.array("i"), [0], [], k + 1
+            lengths = [len(x.as_buffer()) if x.is_valid else 0 for x in whole.column(text_at)]
+            start = 0
+            while start < whole.num_rows:
+                end, size = start + 1, lengths[start]
+                while end < whole.num_rows and size + lengths[end] <= BATCH_BYTES:
+                    size += lengths[end]
+                    end += 1
+                batch = whole.slice(start, end - start)
+                ids, offsets, decoded = array.array("i"), [0], []
+                for own, text in table.encode([x or "" for x in batch.column(text_at).to_pylist()]):
+                    ids.extend(own)
+                    offsets.append(len(ids))
+                    decoded.append(text)
+                values = pa.array(memoryview(ids) if len(ids) else [], pa.int32())
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(decoded, pa.string())], names=[*schema.names])
+                start = end
 
     return run
 
