@@ -22,12 +22,17 @@ from pyspark.sql import functions as F
 
 from saltern.llm.common import drop_written, new_path, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state store. Without the second setting, RocksDB sets 4 MB of disk aside for each state
+#: partition's manifest, however small the partition.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: A micro-batch takes up so many arrival files at most.
 FILES_PER_TRIGGER = 10_000
-#: Rows of hit groups (about 150 bytes each, so 75 MB) up to which their locators are broadcast to
+#: Rows of hit groups (about 400 bytes each, so 40 MB) up to which their locators are broadcast to
 #: the second scan; with more, the scan's rows are shuffled to them instead.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 
 def normalised(text: Column) -> Column:
@@ -48,8 +53,9 @@ def located(docs: DataFrame) -> DataFrame:
 
 def _stream(spark: SparkSession, arrivals: str, schema, state_dir: str) -> DataFrame:
     """Take the new arrivals up into the state; the state as a table."""
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(arrivals)
         best = F.min(F.struct((-F.col("points")).alias("rank"), F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("at").alias("at")))
@@ -59,7 +65,8 @@ def _stream(spark: SparkSession, arrivals: str, schema, state_dir: str) -> DataF
         )
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     state = spark.read.format("statestore").load(f"{state_dir}/state")
     names = [f.name for f in state.schema["value"].dataType.fields]
     return state.select(F.col("key.digest").alias("digest"), F.col(f"value.`{names[0]}`").alias("n"), F.col(f"value.`{names[1]}`").alias("best"))
