@@ -35,7 +35,7 @@ from saltern.llm.common import written
 ROLES = ["system", "user", "assistant"]
 START = 3
 LEGAL = {(START, 0), (START, 1), (0, 1), (1, 2), (2, 1)}
-MERGE, RELABEL, INSERT = 1, 2, 3
+MERGE, RELABEL, INSERT = 1, 5, 3
 OPEN, CLOSE, JOIN = "<|im_start|>", "<|im_end|>\n", "\n\n"
 
 SEGMENT_ROWS = 50_000

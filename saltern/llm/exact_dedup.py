@@ -124,5 +124,5 @@ def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=s
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
     """``docs`` without the rows that are copies of the one that stays."""
     rows = located(docs)
-    gone = _decide(_columns(rows, key, text), digest, new_path(docs.sparkSession, "dedup"), None).filter(~F.col("kept")).select("at")
-    return rows.join(gone, F.col("saltern_at") == F.col("at"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = _decide(_columns(rows, key, text), digest, new_path(docs.sparkSession, "dedup"), None).filter(~F.col("kept")).select(F.col("at").alias("saltern_gone"))
+    return rows.join(gone, F.col("saltern_at") == F.col("saltern_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
