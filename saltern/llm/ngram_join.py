@@ -12,10 +12,11 @@ well. So no link is lost, whatever the threshold, and classes that share a passa
 line, but not most of their text, hardly ever meet. Fingerprints that at least two classes share
 join these into candidate components.
 
-Product. A component (or, above ``LARGE`` classes, each shared fingerprint) is a block. A block's
-rows are cut into row blocks of ``ROWS`` classes, and each pair of row blocks is a tile of its own
-task. The tile multiplies its two incidence matrices over columns that both sides have, in column
-blocks, and accumulates overlap counts; pairs whose sizes or counts are below the bound that their
+Product. A component is a block, or, where that sends fewer rows, each of its shared fingerprints
+is. A block's
+rows are cut into row blocks of ``TILE_BYTES``, and each pair of row blocks is a tile of its own
+task. The tile multiplies its two incidence matrices, ``ROWS`` by ``ROWS``, over columns that both
+sides have, in column blocks, and accumulates overlap counts; pairs whose sizes or counts are below the bound that their
 sizes give are discarded. A tile returns counts of links by class and a spanning forest of its
 links, so rows grow with documents, never with pairs. Only a block whose members are all nearly
 alike costs products in the square of its size, in tiles of bounded memory.
@@ -39,25 +40,20 @@ from pyspark.sql import functions as F
 from saltern.llm.common import drop_written, written
 from saltern.llm.components import components
 from saltern.llm.exact_dedup import located
+from saltern.llm.packing import expand, mix as _mix, squeeze
 
-ROWS, LARGE, COLUMNS = 1024, 16_384, 4096
+ROWS, COLUMNS = 1024, 4096
+#: Bytes of the sets in one row block of a tile, on average.
+TILE_BYTES = 16 << 20
 #: Fingerprints that one task of the blocking stage sorts, on average.
 PER_BUCKET = 1_000_000
-#: Rows up to which the locators of block members (about 130 bytes each) are broadcast to the
+#: Rows up to which the locators of block members (about 400 bytes each) are broadcast to the
 #: second scan of the texts; with more, the scan's rows are shuffled to them.
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 100_000
 STEP = 1.4
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(32))
-
-
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted hashes of a text's distinct n-grams."""
     import xxhash
@@ -74,10 +70,10 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 
 class Steps:
-    """Size steps and their numbers of parts, for a threshold of num/den."""
+    """Size steps and their numbers of parts, for a threshold of num/den; bytes of a fingerprint."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.low = num, den, [1]
+    def __init__(self, num: int, den: int, width: int = 8):
+        self.num, self.den, self.width, self.low = num, den, width, [1]
 
     def _upto(self, n: int) -> None:
         while self.low[-1] <= n:
@@ -116,14 +112,24 @@ def fingerprints(own: np.ndarray, steps: Steps) -> np.ndarray:
         if count - len(held) > allowed:
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), held)
             out.append(_mix(_mix(empty + np.uint64(1)) + salt))
-    return np.unique(np.concatenate(out)).view(np.int64)
+    return np.unique(np.concatenate(out) >> np.uint64(64 - 8 * steps.width)).view(np.int64)
+
+
+def _packed(prints: np.ndarray, width: int) -> bytes:
+    return prints.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes()
+
 
+def _unpacked(blob: bytes, width: int) -> np.ndarray:
+    own = np.frombuffer(blob, np.uint8).reshape(-1, width)
+    out = np.zeros((len(own), 8), np.uint8)
+    out[:, 8 - width :] = own
+    return out.reshape(-1).view(">u8").astype(np.int64)
 
-def _read(n: int, num: int, den: int):
+
+def _read(n: int, steps: Steps):
     """(at, id, text) to (at, id, n, cls, prints)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps = Steps(num, den)
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
@@ -132,7 +138,7 @@ def _read(n: int, num: int, den: int):
                     own = shingles(cell.as_py(), n)
                     sizes.append(len(own))
                     classes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                    prints.append(fingerprints(own, steps).tobytes())
+                    prints.append(_packed(fingerprints(own, steps), steps.width))
                 yield pa.RecordBatch.from_arrays([part.column("at"), part.column("id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(prints, pa.binary())], names=["at", "id", "n", "cls", "prints"])
 
     return run
@@ -144,36 +150,36 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(keys)))
 
 
-def _deal(buckets: int):
+def _deal(buckets: int, width: int):
     """(node, prints) to packed (bucket, prints, nodes). Prints that several nodes of a batch share
     are known to be shared: all their nodes go to a negative bucket, and one to the print's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for batch in batches:
-            blobs = batch.column("prints")
-            lengths = np.array([len(x) // 8 for x in blobs.to_pylist()], np.int64)
-            prints = np.frombuffer(b"".join(blobs.to_pylist()), np.int64)
+            blobs = batch.column("prints").to_pylist()
+            lengths = np.array([len(x) // width for x in blobs], np.int64)
+            prints = _unpacked(b"".join(blobs), width)
             nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), lengths)
             order = np.lexsort((nodes, prints))
             prints, nodes = prints[order], nodes[order]
             first, count = _runs(prints)
             number += 1
             several = np.repeat(count > 1, count)
-            bucket = (prints[first].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            bucket = (_mix(prints[first].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             starts, sizes = _runs(bucket[by])
             out = {"bucket": [], "prints": [], "nodes": []}
             for s, size in zip(starts, sizes, strict=True):
                 at = first[by[s : s + size]]
                 out["bucket"].append(int(bucket[by[s]]))
-                out["prints"].append(prints[at].tobytes())
-                out["nodes"].append(nodes[at].tobytes())
+                out["prints"].append(squeeze(np.diff(prints[at], prepend=0)))
+                out["nodes"].append(squeeze(nodes[at]))
             shared_prints, shared_nodes = prints[several], nodes[several]
             for s in range(0, len(shared_prints), PER_BUCKET // 8):
                 out["bucket"].append(-1 - (hash((number, s, int(nodes[0]))) % buckets))
-                out["prints"].append(shared_prints[s : s + PER_BUCKET // 8].tobytes())
-                out["nodes"].append(shared_nodes[s : s + PER_BUCKET // 8].tobytes())
+                out["prints"].append(squeeze(np.diff(shared_prints[s : s + PER_BUCKET // 8], prepend=0)))
+                out["nodes"].append(squeeze(shared_nodes[s : s + PER_BUCKET // 8]))
             yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int64()), ("prints", pa.binary()), ("nodes", pa.binary())]))
 
     return run
@@ -181,8 +187,8 @@ def _deal(buckets: int):
 
 def _shared(group: pa.Table) -> pa.Table:
     """The (print, node) rows of prints that at least two nodes have."""
-    prints = np.frombuffer(b"".join(group.column("prints").to_pylist()), np.int64)
-    nodes = np.frombuffer(b"".join(group.column("nodes").to_pylist()), np.int64)
+    prints = np.concatenate([np.cumsum(expand(x, np.int64)) for x in group.column("prints").to_pylist()])
+    nodes = np.concatenate([expand(x, np.int64) for x in group.column("nodes").to_pylist()])
     if group.column("bucket")[0].as_py() >= 0:
         order = np.lexsort((nodes, prints))
         prints, nodes = prints[order], nodes[order]
@@ -193,10 +199,14 @@ def _shared(group: pa.Table) -> pa.Table:
 
 
 def _sets(n: int):
+    """(node, copies, tiles, text) to (node, copies, tiles, own)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingles(t.as_py(), n).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), pa.array(own, pa.binary())], names=["node", "copies", "own"])
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                own = [shingles(t.as_py(), n).tobytes() for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "copies", "tiles")), pa.array(own, pa.binary())], names=["node", "copies", "tiles", "own"])
 
     return run
 
@@ -243,9 +253,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _tile(num: int, den: int):
+def _tile(steps: Steps):
     """Links of one tile: rows (a, b, links). A row with b null counts a's links."""
 
+    num, den = steps.num, steps.den
+
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("side", "ascending"), ("node", "ascending")])
         left, right, print_ = group["left"][0].as_py(), group["right"][0].as_py(), group["print"][0].as_py()
@@ -276,7 +288,6 @@ def _tile(num: int, den: int):
         b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
         tree = forest(a, b)
         if print_ is not None:  # a pair may meet under several prints: the smallest counts it
-            steps = Steps(num, den)
             own = {int(i): fingerprints(sets[i], steps) for i in np.unique(np.concatenate([a, b]))}
             first = np.array([np.intersect1d(own[i], own[j], assume_unique=True)[0] == print_ for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
             a, b = a[first], b[first]
@@ -302,35 +313,45 @@ def _columns(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _join(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     kinds = rows.schema
-    base = rows.mapInArrow(_read(n, num, den), f"at struct<file:string,row:long>, id {kinds['id'].dataType.simpleString()}, n long, cls binary, prints binary")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # Fingerprints of different parts rarely agree by chance: 14 bits more than their number takes.
+    steps = Steps(num, den, min(8, max(4, -(-(int(size // 15 + 1).bit_length() + 14) // 8))))
+    base = rows.mapInArrow(_read(n, steps), f"at struct<file:string,row:long>, id {kinds['id'].dataType.simpleString()}, n long, cls binary, prints binary")
     base = written(base.withColumn("node", F.monotonically_increasing_id()), "join-base")
     own = base.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("node", "at", "n", "prints")).alias("x"), F.count("*").alias("copies"), F.min("id").alias("least"))
     classes = written(own.select("x.node", "x.at", "x.n", "x.prints", "copies", "cls", "least"), "join-classes")
 
-    total = classes.agg(F.coalesce(F.sum(F.octet_length("prints")), F.lit(0))).first()[0] // 8
+    total = classes.agg(F.coalesce(F.sum(F.octet_length("prints")), F.lit(0))).first()[0] // steps.width
     buckets = max(8, -(-total // PER_BUCKET))
-    dealt = classes.select("node", "prints").mapInArrow(_deal(buckets), "bucket long, prints binary, nodes binary")
+    dealt = classes.select("node", "prints").mapInArrow(_deal(buckets, steps.width), "bucket long, prints binary, nodes binary")
     shared = written(dealt.groupBy("bucket").applyInArrow(_shared, "print long, node long"), "join-shared")
 
-    pivots = shared.groupBy("print").agg(F.min("node").alias("pivot"))
-    near = components(shared.join(pivots, "print").filter("node <> pivot").select("node", "pivot").distinct(), "node", "pivot")
-    near = written(near, "join-near")
-    sizes = near.groupBy("component").agg(F.count("*").alias("size"))
-    members = near.join(sizes, "component").filter("size > 1")
-    plain = members.filter(F.col("size") <= LARGE).select("node", F.col("component").alias("block"), F.lit(None).cast("long").alias("print"), "size")
-    large = shared.join(members.filter(F.col("size") > LARGE).select("node"), "node").distinct()
-    counts = large.groupBy("print").agg(F.count("*").alias("size")).filter("size > 1")
-    wide = large.join(counts, "print").select("node", F.col("print").alias("block"), "print", "size")
-    blocks = plain.unionByName(wide).withColumn("cut", F.ceil(F.col("size") / ROWS).cast("int"))
+    seen = shared.join(classes.select("node", "n"), "node")
+    pivots = seen.groupBy("print").agg(F.min("node").alias("pivot"), F.count("*").alias("size"), F.sum("n").alias("weight"))
+    seen = seen.join(pivots, "print")
+    near = written(components(seen.filter("node <> pivot").select("node", "pivot").distinct(), "node", "pivot"), "join-near")
+    # A component is one block, or each of its fingerprints is, whichever sends less to tiles.
+    cuts = lambda c: F.ceil(F.col(c) * 8 / TILE_BYTES).cast("int")
+    seen = seen.filter("size > 1").select("node", "print", "n", "weight").join(near, "node")
+    costs = seen.groupBy("component").agg(F.sum(F.col("n") * cuts("weight")).alias("by_print"))
+    sizes = near.join(classes.select("node", "n"), "node").groupBy("component").agg(F.sum("n").alias("total")).join(costs, "component")
+    sizes = sizes.withColumn("whole", F.col("total") * cuts("total") <= 2 * F.col("by_print"))
+    plain = near.join(sizes.filter("whole"), "component").select("node", F.col("component").alias("block"), F.lit(None).cast("long").alias("print"), F.col("total").alias("weight"))
+    wide = seen.join(sizes.filter("NOT whole").select("component"), "component").select("node", F.col("print").alias("block"), "print", "weight").distinct()
+    blocks = plain.unionByName(wide).withColumn("cut", cuts("weight"))
     blocks = blocks.withColumn("side", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
     tiles = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    tiles = tiles.select("node", "block", "print", "side", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"))
-
-    wanted = written(near.select("node").join(classes.select("node", "at", "copies"), "node"), "join-wanted")
-    listed = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = rows.join(listed, "at").select("node", "copies", "text").mapInArrow(_sets(n), "node long, copies long, own binary")
-    work = tiles.join(sets, "node").select("block", "print", "left", "right", "side", "node", "copies", "own")
-    links = written(work.groupBy("block", "print", "left", "right").applyInArrow(_tile(num, den), "a long, b long, links long"), "join-links")
+    tile = F.struct("block", "print", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side")
+    wanted = tiles.groupBy("node").agg(F.collect_list(tile).alias("tiles"))  # as many as its blocks' cuts
+
+    wanted = written(wanted.join(classes.select("node", "at", "copies"), "node"), "join-wanted")
+    listed = F.broadcast(wanted.drop("tiles")) if wanted.count() <= BROADCAST_ROWS else wanted.drop("tiles")
+    sets = rows.join(listed, "at").select("node", "copies", "text")
+    few = wanted.agg(F.coalesce(F.sum(F.size("tiles")), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    sets = sets.join((F.broadcast if few else (lambda x: x))(wanted.select("node", "tiles")), "node")
+    sets = sets.select("node", "copies", "tiles", "text").mapInArrow(_sets(n), f"node long, copies long, tiles {wanted.schema['tiles'].dataType.simpleString()}, own binary")
+    work = sets.select("node", "copies", "own", F.explode("tiles").alias("t")).select("t.*", "node", "copies", "own")
+    links = written(work.groupBy("block", "print", "left", "right").applyInArrow(_tile(steps), "a long, b long, links long"), "join-links")
     for done in (shared, near, wanted):
         drop_written(done)
 
@@ -350,5 +371,5 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     rows = located(docs)
     found = _join(_columns(rows, key, text), n, num, den)
     first = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node", "at")).alias("x"))
-    gone = found.filter("component IS NOT NULL").join(first, "component").filter(F.col("at") != F.col("x.at")).select("at")
-    return rows.join(gone, F.col("saltern_at") == F.col("at"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = found.filter("component IS NOT NULL").join(first, "component").filter(F.col("at") != F.col("x.at")).select(F.col("at").alias("saltern_gone"))
+    return rows.join(gone, F.col("saltern_at") == F.col("saltern_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

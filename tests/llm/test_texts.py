@@ -210,6 +210,7 @@ def near_copies(seed, groups=6, size=30, length=60, edits=6):
 @pytest.mark.parametrize(("n", "num", "den", "rows_in_block"), [(4, 85, 100, 1024), (5, 80, 100, 8), (2, 50, 100, 8)])
 def test_join_is_brute_force(spark, monkeypatch, n, num, den, rows_in_block):
     monkeypatch.setattr(ngram_join, "ROWS", rows_in_block)
+    monkeypatch.setattr(ngram_join, "TILE_BYTES", rows_in_block << 8)
     rows = near_copies(n)
     out = ngram_join.join(docs(spark, rows), n=n, num=num, den=den).collect()
     assert sorted((str(r["id"]), r["n_shingles"], str(r["component_id"]), r["n_links"]) for r in out) == brute_join(rows, n, num, den)
