@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltern.llm.common import drop_written, fold_is, in_training, written
-from saltern.llm.ngram_join import _mix
+from saltern.llm.packing import expand, mix, squeeze
 
 BLOCK_BYTES, BATCH_BYTES, PER_BUCKET, DELETED = 8 << 20, 6 << 20, 1_000_000, 16
 CONTEXT_BUCKETS, STEPS, ROUNDS = 32, 8, 60
@@ -59,12 +59,12 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _grams(tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
     """For each order, the hash of the n-gram that ends at each token."""
     first = np.cumsum(sizes) - sizes
-    grams = [_mix(tokens)]
+    grams = [mix(tokens)]
     for k in range(2, order + 1):
         before = np.empty_like(tokens)
         before[1:] = grams[-1][:-1]
         before[first] = np.uint64(_START + k)
-        grams.append(_mix(before * _ORDER_KEY + tokens))
+        grams.append(mix(before * _ORDER_KEY + tokens))
     return grams
 
 
@@ -73,22 +73,6 @@ def _bits(tokens: int, order: int) -> int:
     return max(40, min(64, math.ceil(2 * need + 2 if order == 1 else need + 16)))
 
 
-def _squeeze(x: np.ndarray) -> bytes:
-    """Integers as byte planes, compressed."""
-    import zstandard
-
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _expand(blob: bytes, kind: type) -> np.ndarray:
-    import zstandard
-
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-
-
 def _bucket_of(grams: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     """Buckets in the order of the hashes, of which the top ``bits`` are given."""
     top = grams >> np.uint64(bits - 32)
@@ -128,9 +112,9 @@ def _ask(order: int, bits: list[int], buckets: int):
                     for s, e in zip(edges, [*edges[1:], len(bucket)], strict=True):
                         out["level"].append(level)
                         out["bucket"].append(int(bucket[s]))
-                        out["grams"].append(_squeeze(np.diff(gram[s:e], prepend=np.uint64(0))))
-                        out["blocks"].append(_squeeze(owner[s:e]))
-                        out["counts"].append(_squeeze(counts[s:e]))
+                        out["grams"].append(squeeze(np.diff(gram[s:e], prepend=np.uint64(0))))
+                        out["blocks"].append(squeeze(owner[s:e]))
+                        out["counts"].append(squeeze(counts[s:e]))
                 yield pa.RecordBatch.from_pydict(out, pa.schema([("level", pa.int32()), ("bucket", pa.int64()), ("grams", pa.binary()), ("blocks", pa.binary()), ("counts", pa.binary())]))
 
     return run
@@ -140,9 +124,9 @@ def _answer(group: pa.Table) -> pa.Table:
     """One bucket's answers: (block, level, bucket, counts, retained). Block -1 has the totals:
     tokens, distinct, and tokens without the deleted blocks."""
     level, bucket = group["level"][0].as_py(), group["bucket"][0].as_py()
-    grams = np.concatenate([np.cumsum(_expand(x, np.uint64), dtype=np.uint64) for x in group["grams"].to_pylist()])
-    blocks = np.concatenate([_expand(x, np.uint32) for x in group["blocks"].to_pylist()])
-    counts = np.concatenate([_expand(x, np.uint32) for x in group["counts"].to_pylist()]).astype(np.float64)
+    grams = np.concatenate([np.cumsum(expand(x, np.uint64), dtype=np.uint64) for x in group["grams"].to_pylist()])
+    blocks = np.concatenate([expand(x, np.uint32) for x in group["blocks"].to_pylist()])
+    counts = np.concatenate([expand(x, np.uint32) for x in group["counts"].to_pylist()]).astype(np.float64)
     own, rank = np.unique(grams, return_inverse=True)
     total = np.bincount(rank, weights=counts, minlength=len(own)).astype(np.uint64)
     kept = np.bincount(rank, weights=counts * (blocks % DELETED != 0), minlength=len(own)).astype(np.uint64)
@@ -155,8 +139,8 @@ def _answer(group: pa.Table) -> pa.Table:
         out["block"].append(int(block[s]))
         out["level"].append(level)
         out["bucket"].append(bucket)
-        out["counts"].append(_squeeze(total[at]))
-        out["retained"].append(_squeeze(kept[at]) if block[s] % DELETED == 0 else None)
+        out["counts"].append(squeeze(total[at]))
+        out["retained"].append(squeeze(kept[at]) if block[s] % DELETED == 0 else None)
     return pa.table(out, schema=pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int64()), ("counts", pa.binary()), ("retained", pa.binary())]))
 
 
@@ -168,7 +152,7 @@ def _counts(docs: pa.Table, answers: pa.Table, order: int, bits: list[int], colu
     blobs = answers[column].to_pylist()
     for level, grams in enumerate(_grams(tokens, sizes, order)):
         own, rank = np.unique(grams >> np.uint64(64 - bits[level]), return_inverse=True)
-        counts = [_expand(blobs[i], np.uint64) for i in np.flatnonzero(levels == level)]
+        counts = [expand(blobs[i], np.uint64) for i in np.flatnonzero(levels == level)]
         counts = np.concatenate(counts) if counts else np.zeros(0, np.uint64)
         if len(counts) != len(own):
             raise ValueError(f"a block has {len(own)} n-grams of order {level + 1} and answers for {len(counts)}")
@@ -242,15 +226,15 @@ def weights(cells: np.ndarray, n: np.ndarray, order: int, unseen: float) -> np.n
     return out
 
 
-def _score(order: int, bits: list[int], tokens: float, distinct: float, starts: float, mix: np.ndarray):
+def _score(order: int, bits: list[int], tokens: float, distinct: float, starts: float, shares: np.ndarray):
     def run(_key, docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({"id": docs["id"], "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         sizes, counts = _counts(docs, answers, order, bits, "counts")
         bucket, estimates = _estimates(sizes, counts, tokens, starts)
-        p = mix[bucket, 0] / (distinct + 1)
+        p = shares[bucket, 0] / (distinct + 1)
         for level, estimate in enumerate(estimates):
-            p = p + mix[bucket, level + 1] * estimate
+            p = p + shares[bucket, level + 1] * estimate
         first = np.cumsum(sizes) - sizes
         base = np.log10((counts[0] + 1) / (tokens + distinct + 1))
         known = np.add.reduceat((counts[0] > 0).astype(np.int64), first)
@@ -285,7 +269,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: tuple[
         cells, n = found["cell"].to_numpy(), found["n"].to_numpy()
     else:
         cells = n = np.zeros(0, np.int64)
-    mix = weights(cells, n, order, 1 / (distinct + 1))
-    out = rows.drop("train").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, bits, tokens, distinct, starts, mix), f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+    shares = weights(cells, n, order, 1 / (distinct + 1))
+    out = rows.drop("train").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, bits, tokens, distinct, starts, shares), f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double")
     held_out = fold_is(F.col("id"), *fold) if fold else F.lit(False)
     return out.select("id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
