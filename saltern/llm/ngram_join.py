@@ -44,7 +44,7 @@ from saltern.llm.packing import expand, mix as _mix, squeeze
 
 ROWS, COLUMNS = 1024, 4096
 #: Bytes of the sets in one row block of a tile, on average.
-TILE_BYTES = 16 << 20
+TILE_BYTES, SPLIT = 8 << 20, 8
 #: Fingerprints that one task of the blocking stage sorts, on average.
 PER_BUCKET = 1_000_000
 #: Rows up to which the locators of block members (about 400 bytes each) are broadcast to the
@@ -151,8 +151,9 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _deal(buckets: int, width: int):
-    """(node, prints) to packed (bucket, prints, nodes). Prints that several nodes of a batch share
-    are known to be shared: all their nodes go to a negative bucket, and one to the print's own."""
+    """(node, prints) to packed (bucket, prints, nodes, pivots). Prints that several nodes of a batch
+    share are known to be shared: all their nodes go to a negative bucket, with the smallest of them
+    as pivot, and that one to the print's own bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
@@ -169,33 +170,38 @@ def _deal(buckets: int, width: int):
             bucket = (_mix(prints[first].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             starts, sizes = _runs(bucket[by])
-            out = {"bucket": [], "prints": [], "nodes": []}
+            out = {"bucket": [], "prints": [], "nodes": [], "pivots": []}
             for s, size in zip(starts, sizes, strict=True):
                 at = first[by[s : s + size]]
                 out["bucket"].append(int(bucket[by[s]]))
                 out["prints"].append(squeeze(np.diff(prints[at], prepend=0)))
                 out["nodes"].append(squeeze(nodes[at]))
-            shared_prints, shared_nodes = prints[several], nodes[several]
+                out["pivots"].append(None)
+            shared_prints, shared_nodes, shared_pivots = prints[several], nodes[several], np.repeat(nodes[first], count)[several]
             for s in range(0, len(shared_prints), PER_BUCKET // 8):
                 out["bucket"].append(-1 - (hash((number, s, int(nodes[0]))) % buckets))
                 out["prints"].append(squeeze(np.diff(shared_prints[s : s + PER_BUCKET // 8], prepend=0)))
                 out["nodes"].append(squeeze(shared_nodes[s : s + PER_BUCKET // 8]))
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int64()), ("prints", pa.binary()), ("nodes", pa.binary())]))
+                out["pivots"].append(squeeze(shared_pivots[s : s + PER_BUCKET // 8]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int64()), ("prints", pa.binary()), ("nodes", pa.binary()), ("pivots", pa.binary())]))
 
     return run
 
 
 def _shared(group: pa.Table) -> pa.Table:
-    """The (print, node) rows of prints that at least two nodes have."""
+    """The (print, node, pivot) rows of prints that at least two nodes have."""
     prints = np.concatenate([np.cumsum(expand(x, np.int64)) for x in group.column("prints").to_pylist()])
     nodes = np.concatenate([expand(x, np.int64) for x in group.column("nodes").to_pylist()])
-    if group.column("bucket")[0].as_py() >= 0:
+    if group.column("bucket")[0].as_py() < 0:
+        pivots = np.concatenate([expand(x, np.int64) for x in group.column("pivots").to_pylist()])
+    else:
         order = np.lexsort((nodes, prints))
         prints, nodes = prints[order], nodes[order]
         first, count = _runs(prints)
         several = np.repeat(count > 1, count)
+        pivots = np.repeat(nodes[first], count)[several] if len(first) else nodes
         prints, nodes = prints[several], nodes[several]
-    return pa.table({"print": prints, "node": nodes})
+    return pa.table({"print": prints, "node": nodes, "pivot": pivots})
 
 
 def _sets(n: int):
@@ -323,22 +329,29 @@ def _join(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     total = classes.agg(F.coalesce(F.sum(F.octet_length("prints")), F.lit(0))).first()[0] // steps.width
     buckets = max(8, -(-total // PER_BUCKET))
-    dealt = classes.select("node", "prints").mapInArrow(_deal(buckets, steps.width), "bucket long, prints binary, nodes binary")
-    shared = written(dealt.groupBy("bucket").applyInArrow(_shared, "print long, node long"), "join-shared")
-
-    seen = shared.join(classes.select("node", "n"), "node")
-    pivots = seen.groupBy("print").agg(F.min("node").alias("pivot"), F.count("*").alias("size"), F.sum("n").alias("weight"))
-    seen = seen.join(pivots, "print")
-    near = written(components(seen.filter("node <> pivot").select("node", "pivot").distinct(), "node", "pivot"), "join-near")
-    # A component is one block, or each of its fingerprints is, whichever sends less to tiles.
+    dealt = classes.select("node", "prints").mapInArrow(_deal(buckets, steps.width), "bucket long, prints binary, nodes binary, pivots binary")
+    shared = written(dealt.groupBy("bucket").applyInArrow(_shared, "print long, node long, pivot long"), "join-shared")
+
+    near = written(components(shared.filter("node <> pivot").select("node", "pivot").distinct(), "node", "pivot"), "join-near")
+    near_n = near.join(classes.select("node", "n"), "node")
+    # A component is one block; from SPLIT row blocks on, each of its fingerprints is instead where
+    # that sends less to tiles. Only members of such components meet the fingerprints again.
     cuts = lambda c: F.ceil(F.col(c) * 8 / TILE_BYTES).cast("int")
-    seen = seen.filter("size > 1").select("node", "print", "n", "weight").join(near, "node")
-    costs = seen.groupBy("component").agg(F.sum(F.col("n") * cuts("weight")).alias("by_print"))
-    sizes = near.join(classes.select("node", "n"), "node").groupBy("component").agg(F.sum("n").alias("total")).join(costs, "component")
-    sizes = sizes.withColumn("whole", F.col("total") * cuts("total") <= 2 * F.col("by_print"))
-    plain = near.join(sizes.filter("whole"), "component").select("node", F.col("component").alias("block"), F.lit(None).cast("long").alias("print"), F.col("total").alias("weight"))
-    wide = seen.join(sizes.filter("NOT whole").select("component"), "component").select("node", F.col("print").alias("block"), "print", "weight").distinct()
-    blocks = plain.unionByName(wide).withColumn("cut", cuts("weight"))
+    totals = near_n.groupBy("component").agg(F.sum("n").alias("total"))
+    vast = written(totals.filter(cuts("total") >= SPLIT), "join-vast")
+    plain = near.join(totals, "component").select("node", "component", F.col("component").alias("block"), F.lit(None).cast("long").alias("print"), F.col("total").alias("weight"))
+    if vast.isEmpty():
+        blocks = plain.drop("component")
+    else:
+        inside = near_n.join(vast, "component")
+        seen = shared.select("print", "node").distinct().join(inside, "node")
+        weights = seen.groupBy("print").agg(F.sum("n").alias("weight"))
+        seen = seen.join(weights, "print")
+        costs = seen.groupBy("component").agg(F.sum(F.col("n") * cuts("weight")).alias("by_print"), F.first("total").alias("total"))
+        apart = written(costs.filter(F.col("total") * cuts("total") > 2 * F.col("by_print")).select("component"), "join-apart")
+        wide = seen.join(apart, "component").select("node", F.col("print").alias("block"), "print", "weight")
+        blocks = plain.join(apart, "component", "left_anti").drop("component").unionByName(wide)
+    blocks = blocks.withColumn("cut", cuts("weight"))
     blocks = blocks.withColumn("side", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
     tiles = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     tile = F.struct("block", "print", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side")

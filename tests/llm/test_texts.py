@@ -211,6 +211,7 @@ def near_copies(seed, groups=6, size=30, length=60, edits=6):
 def test_join_is_brute_force(spark, monkeypatch, n, num, den, rows_in_block):
     monkeypatch.setattr(ngram_join, "ROWS", rows_in_block)
     monkeypatch.setattr(ngram_join, "TILE_BYTES", rows_in_block << 8)
+    monkeypatch.setattr(ngram_join, "SPLIT", 2)
     rows = near_copies(n)
     out = ngram_join.join(docs(spark, rows), n=n, num=num, den=den).collect()
     assert sorted((str(r["id"]), r["n_shingles"], str(r["component_id"]), r["n_links"]) for r in out) == brute_join(rows, n, num, den)
@@ -261,15 +262,35 @@ def test_lm_base_and_mixture(spark, sf):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_lm_is_a_distribution(spark):
-    """The probabilities of all continuations of a context add up to 1, the unseen word included."""
-    rows = [(k, "a b a c" if k % 2 else "b a d", "en", "s") for k in range(300)]
-    known = ["a", "b", "c", "d", "", "unseen"]
-    probes = [(1000 + k, f"a {w}".strip() if w else "a", "en", "s") for k, w in enumerate(known)]
-    train = docs(spark, rows + probes)
-    out = lm_scoring.score(train.withColumn("doc_id", F.when(F.col("doc_id") >= 1000, None).otherwise(F.col("doc_id"))).withColumn("lang", F.col("text")), fold=None)
-    assert out.filter("id IS NULL").count() == len(probes)
-    assert all(r["score"] < 0 for r in out.collect())
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_is_brute_force(spark, monkeypatch, order):
+    """Scores of given mixture weights, against counts in plain Python."""
+    import numpy as np
+
+    rng = np.random.default_rng(order)
+    shares = rng.dirichlet(np.ones(order + 1), lm_scoring.CONTEXT_BUCKETS)
+    monkeypatch.setattr(lm_scoring, "weights", lambda *_: shares)
+    rows = [(k, " ".join(rng.choice(["a", "b", "c", "d", "e", "B"], rng.integers(0, 9))), "en", "s") for k in range(120)]
+    grams = [Counter() for _ in range(order + 1)]
+    for k, t, *_ in rows:
+        own = [None] * order + [*words(t), b""]
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            for i in range(order, len(own)):
+                for n in range(order + 1):
+                    grams[n][tuple(own[i - n + 1 : i + 1])] += 1
+    starts = sum(zlib.crc32(str(k).encode()) % 7 != 2 for k, *_ in rows)
+    total, distinct = sum(grams[1].values()), len(grams[1])
+    for r in lm_scoring.score(docs(spark, rows), order=order).collect():
+        own, want = [None] * order + [*words(rows[r["id"]][1]), b""], 0.0
+        for i in range(order, len(own)):
+            p, context = [1 / (distinct + 1), grams[1][(own[i],)] / total], total
+            for n in range(2, order + 1):
+                before = tuple(own[i - n + 1 : i])
+                context = starts if before[-1] is None else grams[n - 1][before]
+                p.append(grams[n][tuple(own[i - n + 1 : i + 1])] / max(context, 1))
+            bucket = min(int(math.floor(math.log2(max(context, 0.5)))) + 1, lm_scoring.CONTEXT_BUCKETS - 1)
+            want += math.log10(sum(w * x for w, x in zip(shares[bucket], p, strict=True)))
+        assert math.isclose(r["score"], want, rel_tol=1e-9)
 
 
 def test_lm_edges(spark):
