@@ -415,6 +415,58 @@ def q44_status_counts(spark: SparkSession, d: str) -> DataFrame:
     return rules.reports(_scores(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
 
 
+_PERCENT = "(" + ", ".join(f"'{u}'" for u in rules.CONFIG["percent_units"]) + ")"
+_EVERY_FINDING = f"""{_SUM},
+c(pos, category, member, low, high, hard) AS (VALUES (0, 'warm', 'hot', 1e0, 4e1, 45e0), (1, 'rods', 'hot rod', 5e0, 3e1, 4e1), (2, 'rings', 'ring', 2e0, 2e1, NULL)),
+k AS (SELECT o_orderkey AS formulation_id, count(l.formulation_id) AS lines, count(unit) AS units, count(*) FILTER (lower(trim(unit)) IN {_PERCENT}) AS pct,
+             coalesce(CASE WHEN count(unit) > 0 THEN count(*) FILTER (lower(trim(unit)) IN {_PERCENT}) >= 5e-1 * count(unit) ELSE count(amount) >= 2 AND sum(amount) BETWEEN 60 AND 130 END, false) AS pm
+      FROM orders LEFT JOIN l ON l.formulation_id = o_orderkey GROUP BY 1),
+x AS (SELECT l.*, pm, row_number() OVER () AS own FROM l JOIN k USING (formulation_id)),
+rr AS (SELECT formulation_id, amount, low, high, hard, row_number() OVER (PARTITION BY own ORDER BY length(member) DESC, pos) AS r
+       FROM x JOIN c ON contains(' ' || normalized_name || ' ', ' ' || member || ' ') WHERE pm AND amount IS NOT NULL),
+fs AS (
+    SELECT formulation_id, 'consistency' AS family, severity FROM ps
+    UNION ALL SELECT formulation_id, 'consistency', 'warning' FROM (SELECT formulation_id FROM l WHERE normalized_name NOT IN ('', 'water') GROUP BY formulation_id, normalized_name HAVING count(*) > 1)
+    UNION ALL SELECT formulation_id, 'consistency', 'error' FROM x WHERE amount <= 0 OR amount > 100 AND (lower(trim(unit)) IN {_PERCENT} OR unit IS NULL AND pm)
+    UNION ALL SELECT formulation_id, 'consistency', 'warning' FROM k WHERE pct > 0 AND pct < units
+    UNION ALL SELECT formulation_id, 'completeness', 'error' FROM k WHERE lines < 2
+    UNION ALL SELECT o_orderkey, 'completeness', 'warning' FROM orders WHERE length(trim(coalesce(o_orderpriority, ''))) < 3
+    UNION ALL SELECT formulation_id, 'completeness', 'error' FROM x WHERE trim(raw_name) = ''
+    UNION ALL SELECT formulation_id, 'completeness', 'warning' FROM x WHERE amount IS NULL OR unit IS NULL AND NOT pm
+    UNION ALL SELECT formulation_id, 'completeness', 'error' FROM x WHERE regexp_matches(trim(raw_name), '{rules.JUNK}')
+    UNION ALL SELECT formulation_id, 'completeness', 'error' FROM (SELECT formulation_id FROM l GROUP BY 1 HAVING count(*) >= 3 AND count(amount) = 0)
+    UNION ALL SELECT formulation_id, 'ranges', CASE WHEN amount > hard THEN 'error' ELSE 'warning' END FROM rr WHERE r = 1 AND (amount > hard OR amount < low OR amount > high)),
+fam(family, weight) AS (VALUES ('fidelity', 35e-2), ('consistency', 25e-2), ('completeness', 2e-1), ('ranges', 2e-1)),
+agg AS (SELECT formulation_id, family, sum(CASE severity WHEN 'error' THEN 35e-2 ELSE 12e-2 END) AS penalty, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM fs GROUP BY ALL),
+sc AS (SELECT formulation_id, family, weight, greatest(0e0, 1 - coalesce(penalty, 0e0)) AS score, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings
+       FROM (SELECT o_orderkey AS formulation_id FROM orders) CROSS JOIN fam LEFT JOIN agg USING (formulation_id, family))"""
+
+#: Rules that compare with a source text, which orders do not have.
+_WITH_SOURCE = {rules.has_source, rules.amount_verbatim, rules.name_in_source, rules.chunk_drift}
+
+
+def _every_score(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of every order, also without lines, by all rules that need no source text."""
+    lines = lines_of(spark, d).select("formulation_id", "line_no", "raw_name", "normalized_name", "amount", "unit", "phase")
+    items = catalog.nested(formulations_of(spark, d), lines, ["line_no", "raw_name", "amount", "unit", "phase"])
+    none = F.lit(None).cast("string")
+    f = rules.facts(items.withColumns({"source_text": none, "vector_text": none, "chunk_texts": F.lit(None).cast("array<string>"), "extraction_method": F.lit("table")}))
+    table = spark.createDataFrame(_CATEGORIES, "pos int, category string, member string, typical_min double, typical_max double, hard_max double")
+    return rules.family_scores(f.select("id"), rules.findings(f, [*[r for r in rules.RULES if r not in _WITH_SOURCE], rules.ingredient_range(table)]))
+
+
+@query(f"WITH {_EVERY_FINDING} SELECT formulation_id, family, weight, {_round('score', 6)} AS score, errors, warnings FROM sc")
+def q45_every_rule_scores(spark: SparkSession, d: str) -> DataFrame:
+    """As q43, whose SQL is fixed to two rules, by every rule and over every order."""
+    return _every_score(spark, d).withColumn("score", bounded(F.col("score"), 6))
+
+
+@query(f"""WITH {_EVERY_FINDING}, r AS (SELECT formulation_id, {_round('sum(weight * score) / sum(weight)', 4)} AS p, sum(errors) AS e FROM sc GROUP BY 1)
+SELECT CASE WHEN p < 4e-1 THEN 'low_precision' WHEN p < 7e-1 OR e > 0 THEN 'review' ELSE 'verified' END AS status, count(*) AS n FROM r GROUP BY 1""")
+def q46_every_rule_status(spark: SparkSession, d: str) -> DataFrame:
+    return rules.reports(_every_score(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+
+
 @query("""WITH u AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS pos, p_name, p_brand, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT lower(p_name) AS key, sum(l_quantity) AS qty, count(*) AS n FROM u GROUP BY 1""")
 def q50_upload_merge(spark: SparkSession, d: str) -> DataFrame:
