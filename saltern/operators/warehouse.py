@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -80,15 +81,80 @@ def fuzzy(pairs: DataFrame, a: str, b: str, out: str = "score", scorer=set_ratio
     return pairs.withColumn(out, score(F.col(a), F.col(b)))
 
 
-def fuzzy_match(names: DataFrame, known: DataFrame, threshold: float = 82.0) -> DataFrame:
-    """(name, match, score): the best known name of each name. Names meet through a word or a
-    word's first three letters, so no cross join is made; words in common are what the score needs."""
-    def blocks(x: DataFrame, c: str) -> DataFrame:
-        words = F.split(F.lower(F.col(c)), r"\s+")
-        return x.select(F.col(c), F.explode(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 3)))).alias("block"))
+def _grams(key: str, q: int) -> list[str]:
+    """The q-grams of a key, each with its number, so that sets of them are multisets."""
+    seen: dict[str, int] = {}
+    out = []
+    for k in range(len(key) - q + 1):
+        gram = key[k : k + q]
+        seen[gram] = seen.get(gram, 0) + 1
+        out.append(f"{seen[gram]}:{gram}")
+    return out
 
-    pairs = blocks(names.select(F.col("name")).distinct(), "name").join(blocks(known.select(F.col("match")).distinct(), "match"), "block").select("name", "match").distinct()
-    scored = fuzzy(pairs, "name", "match").filter(F.col("score") >= threshold)
+
+def _blocks(name: str, threshold: float, by_set: bool) -> list[tuple[int, int, str]]:
+    """(q, keep, block): whole words (q = 0, for the set score), letters and pairs of letters.
+
+    A score of t (of 1) between keys of mean length m leaves at most d = 2 (1 - t) m letters out of
+    the common subsequence. So t m letters are shared, and m - d / 2 - 1 - d pairs of letters, as a
+    letter left out parts one pair of neighbours at most. The other key has at least t / (2 - t) of
+    a key's length, hence m >= length / (2 - t). Names that must share n of their g blocks share
+    one of the first g - n + 1 in any fixed order. Letters are for keys whose partner may be too
+    short to be bound to share a pair.
+    """
+    t = threshold / 100
+    words = name.lower().split()
+    words = sorted(set(words)) if by_set else sorted(words)
+    key = " ".join(words)
+    if not key:
+        return []
+    out = [(0, len(words), w) for w in words] if by_set else []
+    share = (3 * t - 2) / (2 - t)
+
+    def need(n: int) -> int:
+        return math.ceil(n * share - 1 - 1e-9)
+
+    if need(len(key)) >= 1:
+        pairs = _grams(key, 2)
+        out += [(2, len(pairs) - need(len(key)) + 1, g) for g in pairs]
+    # the longest key that need not share a pair, and the longest partner of such a key
+    short = 2 / share + 1e-6 if share > 0 else math.inf
+    if len(key) <= short * (2 - t) / t:
+        letters = _grams(key, 1)
+        out += [(1, len(letters) - max(1, math.ceil(len(key) * t / (2 - t) - 1e-9)) + 1, g) for g in letters]
+    return out
+
+
+def fuzzy_match(names: DataFrame, known: DataFrame, threshold: float = 82.0, scorer=set_ratio) -> DataFrame:
+    """(name, match, score): the best known name of each name with at least ``threshold`` (over 0).
+
+    ``scorer`` is `set_ratio` or `sort_ratio`. Only distinct names meet, and without a cross join:
+    through a common word (for the set score), or through one of their rarest pairs of letters, of
+    which so many are taken that no pair of names over the threshold is missed (`_blocks`).
+    """
+    if not threshold > 0:
+        raise ValueError("a threshold over 0 is needed")
+    by_set = scorer is set_ratio
+
+    @F.pandas_udf("array<struct<q:int,keep:int,block:string>>")
+    def blocks(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in parts:
+            yield pd.Series([[{"q": q, "keep": k, "block": b} for q, k, b in _blocks(v, threshold, by_set)] for v in x], dtype=object)
+
+    def exploded(x: DataFrame, c: str) -> DataFrame:
+        own = x.select(c).filter(F.col(c).isNotNull()).distinct()
+        return own.select(c, F.explode(blocks(F.col(c))).alias("b")).select(c, "b.q", "b.keep", "b.block")
+
+    right = exploded(known, "match")
+    seen = right.groupBy("q", "block").agg(F.count("*").alias("seen"))
+
+    def first(x: DataFrame, c: str) -> DataFrame:
+        rare = Window.partitionBy(c, "q").orderBy(F.coalesce("seen", F.lit(0)), "block")
+        ranked = x.join(seen, ["q", "block"], "left").withColumn("r_", F.row_number().over(rare))
+        return ranked.filter(F.col("r_") <= F.col("keep")).select(c, "q", "block")
+
+    pairs = first(exploded(names, "name"), "name").join(first(right, "match"), ["q", "block"]).select("name", "match").distinct()
+    scored = fuzzy(pairs, "name", "match", scorer=scorer).filter(F.col("score") >= threshold)
     return best(scored, ["name"], [F.col("score").desc(), F.col("match")])
 
 

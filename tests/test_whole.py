@@ -1,7 +1,10 @@
 """Cases in which a part of the job was once left out."""
 
+import random
+
 import pytest
 
+from saltern.operators import warehouse
 from saltern.plans import queries
 
 
@@ -13,3 +16,45 @@ def test_every_order_is_scored_by_every_rule(spark, sf):
     few = {k for k in orders if sizes.get(k, 0) < 2}
     assert few and {k for (k, family), r in got.items() if family == "completeness" and r["errors"]} == few
     assert any(r["score"] < 1 for (_, family), r in got.items() if family == "ranges")
+
+
+def typos(n):
+    """Names of one to four words and copies of them with letters changed, first letters above all."""
+    rng = random.Random(n)
+    words = ["glycerin", "xanthan", "gum", "oil", "acid", "citric", "peg", "a", "ab", "زيت", "الجليسرين", "جليسرين", "tocopherol"]
+    known = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+    names = []
+    for name in known:
+        letters = list(name)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.choice([0, rng.randrange(len(letters))]) if letters else 0
+            letters[at : at + 1] = rng.choice(["", "z", "zy"])
+        names.append("".join(letters))
+    return [*names, "lycerin", "zanthan", "", " "], [*known, "glycerin", "xanthan", "ac", ""]
+
+
+@pytest.mark.parametrize("scorer", [warehouse.set_ratio, warehouse.sort_ratio])
+@pytest.mark.parametrize("threshold", [60.0, 82.0, 88.0, 100.0])
+def test_fuzzy_match_is_brute_force(spark, threshold, scorer):
+    names, known = typos(60)
+    want = {}
+    for a in set(names):
+        scores = [(-s, b) for b in set(known) if (s := scorer(a, b)) >= threshold and a.strip() and b.strip()]
+        if scores:
+            want[a] = (min(scores)[1], -min(scores)[0])
+    frame = lambda x, c: spark.createDataFrame([(v,) for v in [*x, None]], f"{c} string")
+    got = {r["name"]: (r["match"], r["score"]) for r in warehouse.fuzzy_match(frame(names, "name"), frame(known, "match"), threshold, scorer=scorer).collect()}
+    assert got == want
+    if threshold == 82.0:
+        assert got["lycerin"][0] == "glycerin" and got["zanthan"][0] == "xanthan"
+
+
+def test_article_does_not_part_arabic_names(spark):
+    arabic = spark.createDataFrame([("جليسرين", "glycerin")], "key string, canonical_name string")
+    known = spark.createDataFrame([("جليسرين",)], "match string")
+    got = warehouse.fuzzy_match(spark.createDataFrame([("الجليسرين",)], "name string"), known, 87.0).first()
+    assert got["match"] == "جليسرين" and got["score"] == 87.5
+    mats = spark.createDataFrame([(1, "الجليسرين")], "id long, raw_name string")
+    none = spark.createDataFrame([], "key string, canonical_name string")
+    out = warehouse.resolve(mats, none, arabic, spark.createDataFrame([], "match string"), arabic_threshold=87.0).first()
+    assert (out["canonical_name"], out["source"]) == ("glycerin", "arabic")
