@@ -191,16 +191,33 @@ def inventory(materials: DataFrame, aliases: DataFrame) -> DataFrame:
     return out.select(canonical_key(F.coalesce("canonical_name", "raw_name")).alias("name")).distinct()
 
 
-def coverage(lines: DataFrame, stock: DataFrame, exclude_water: bool = True, least: int = 2, min_coverage: float = 50.0) -> DataFrame:
-    """(formulation_id, counted, matched, coverage_pct, tier): lines whose name is in stock.
-
-    An equi-join on distinct names; matched and missing lists come with `coverage_lists`.
+def held(lines: DataFrame, stock: DataFrame, threshold: float | None = 86.0) -> DataFrame:
+    """``lines`` with ``held``: whether the normalised or the raw name is in stock, or is as near to
+    a name in stock as ``threshold`` (None: exact names only). Only distinct names meet the stock."""
+    names = lines.select("raw_name", "normalized_name").distinct()
+    candidates = F.array_compact(F.array(canonical_key(F.when(F.col("normalized_name") != "", F.col("normalized_name"))), canonical_key(F.col("raw_name"))))
+    asked = names.select("raw_name", "normalized_name", F.explode(candidates).alias("name")).filter("name <> ''")
+    known = stock.select("name").filter("name <> ''").distinct()
+    hits = asked.join(known, "name", "left_semi").select("raw_name", "normalized_name")
+    if threshold is not None:
+        missed = asked.join(known, "name", "left_anti")
+        near = fuzzy_match(missed.select("name"), known.select(F.col("name").alias("match")), threshold)
+        hits = hits.unionByName(missed.join(near.select("name"), "name").select("raw_name", "normalized_name"))
+    keys = hits.distinct().select(F.col("raw_name").alias("r_"), F.col("normalized_name").alias("n_"), F.lit(True).alias("held"))
+    out = lines.join(keys, lines["raw_name"].eqNullSafe(keys["r_"]) & lines["normalized_name"].eqNullSafe(keys["n_"]), "left").drop("r_", "n_")
+    return out.withColumn("held", F.coalesce("held", F.lit(False)))
+
+
+def coverage(lines: DataFrame, stock: DataFrame, exclude_water: bool = True, least: int = 2, min_coverage: float = 50.0, threshold: float | None = 86.0) -> DataFrame:
+    """(formulation_id, counted, matched, coverage_pct, tier): lines whose name is in stock, by `held`.
+
+    Matched and missing lists come with `coverage_lists`.
     """
-    own = lines.select("formulation_id", canonical_key(F.coalesce("normalized_name", "raw_name")).alias("name"))
+    own = lines.select("formulation_id", "raw_name", "normalized_name")
     if exclude_water:
-        own = own.filter("name <> 'water'")
-    marked = own.join(stock.select("name", F.lit(1).alias("held")), "name", "left")
-    out = marked.groupBy("formulation_id").agg(F.count("*").alias("counted"), F.count("held").alias("matched")).filter(F.col("counted") >= least)
+        own = own.filter(canonical_key(F.coalesce("normalized_name", "raw_name")) != "water")
+    marked = held(own, stock, threshold)
+    out = marked.groupBy("formulation_id").agg(F.count("*").alias("counted"), F.count_if("held").alias("matched")).filter(F.col("counted") >= least)
     out = out.withColumn("coverage_pct", F.floor(F.col("matched") * 1000.0 / F.col("counted") + 0.5) / 10.0)
     return out.withColumn("tier", tier(F.col("coverage_pct"), min_coverage))
 
@@ -209,11 +226,11 @@ def tier(pct: Column, min_coverage: float = 50.0) -> Column:
     return F.when(pct >= 95, "makeable").when(pct >= min_coverage, "partial").otherwise("low")
 
 
-def coverage_lists(lines: DataFrame, stock: DataFrame) -> DataFrame:
-    """(formulation_id, matched, missing): names in the order of their lines."""
-    own = lines.select("formulation_id", "line_no", "raw_name", canonical_key(F.coalesce("normalized_name", "raw_name")).alias("name")).join(stock.select("name", F.lit(1).alias("held")), "name", "left")
+def coverage_lists(lines: DataFrame, stock: DataFrame, threshold: float | None = 86.0) -> DataFrame:
+    """(formulation_id, matched, missing): names in the order of their lines, by `held`."""
+    own = held(lines.select("formulation_id", "line_no", "raw_name", "normalized_name"), stock, threshold)
     pick = lambda c: F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("line_no", "raw_name")))), lambda x: x["raw_name"])
-    return own.groupBy("formulation_id").agg(pick(F.col("held").isNotNull()).alias("matched"), pick(F.col("held").isNull()).alias("missing"))
+    return own.groupBy("formulation_id").agg(pick(F.col("held")).alias("matched"), pick(~F.col("held")).alias("missing"))
 
 
 def discover(covered: DataFrame, formulations: DataFrame, costs: DataFrame, min_coverage: float = 50.0, limit: int = 100) -> DataFrame:

@@ -502,7 +502,7 @@ def _stock(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_COVER} SELECT formulation_id, counted, matched, coverage_pct, tier FROM cov")
 def q52_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return warehouse.coverage(lines_of(spark, d), _stock(spark, d))
+    return warehouse.coverage(lines_of(spark, d), _stock(spark, d), threshold=None)
 
 
 @query(f"""WITH {_COVER}, p AS (SELECT lower(p_name) AS ingredient, min(p_retailprice) AS price FROM part WHERE NOT lower(p_name) LIKE '%gear' GROUP BY 1),
@@ -511,7 +511,7 @@ SELECT formulation_id, tier, coverage_pct FROM cov JOIN orders ON o_orderkey = f
 ORDER BY CASE tier WHEN 'makeable' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END, coverage_pct DESC, coalesce(cost_per_kg, 1e9), lower(o_orderpriority), formulation_id LIMIT 100""")
 def q53_discover_sort(spark: SparkSession, d: str) -> DataFrame:
     lines = lines_of(spark, d)
-    out = warehouse.discover(warehouse.coverage(lines, _stock(spark, d)), formulations_of(spark, d), analytics.costs(lines, _prices(spark, d)))
+    out = warehouse.discover(warehouse.coverage(lines, _stock(spark, d), threshold=None), formulations_of(spark, d), analytics.costs(lines, _prices(spark, d)))
     return out.select("formulation_id", "tier", "coverage_pct")
 
 

@@ -58,3 +58,13 @@ def test_article_does_not_part_arabic_names(spark):
     none = spark.createDataFrame([], "key string, canonical_name string")
     out = warehouse.resolve(mats, none, arabic, spark.createDataFrame([], "match string"), arabic_threshold=87.0).first()
     assert (out["canonical_name"], out["source"]) == ("glycerin", "arabic")
+
+
+def test_coverage_is_fuzzy_and_tries_the_raw_name(spark):
+    rows = [("f", 0, "Glycerine USP", "glycerine usp"), ("f", 1, "Xanthan Gum", "thickener"), ("f", 2, "zanthan gum", None), ("f", 3, "Beeswax", "beeswax"), ("f", 4, None, None), ("f", 5, "Beeswax", "")]
+    lines = spark.createDataFrame(rows, "formulation_id string, line_no int, raw_name string, normalized_name string")
+    stock = spark.createDataFrame([("glycerin usp",), ("xanthan gum",), ("xanthan gum",), ("",)], "name string")
+    counts = lambda **how: tuple(warehouse.coverage(lines.filter("raw_name IS NOT NULL"), stock, **how).select("counted", "matched").first())
+    assert counts() == (5, 3) and counts(threshold=None) == (5, 1)
+    lists = warehouse.coverage_lists(lines, stock).first()
+    assert lists["matched"] == ["Glycerine USP", "Xanthan Gum", "zanthan gum"] and lists["missing"] == ["Beeswax", None, "Beeswax"]
