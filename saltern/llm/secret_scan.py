@@ -5,13 +5,12 @@ access key id) and ``hex`` (a long hexadecimal run). Weak parts do not: ``id`` (
 name that is assigned), ``secret`` (a mixed run of 32 characters or more), ``endpoint`` (a URL, a
 host with a port or an address). Weak parts are reported only when complementary parts co-occur:
 an identifier (``access`` or ``id``) and a secret (``assign``, ``hex`` or ``secret``) of one scope
-that start within ``WINDOW`` code points of each other are linked, and an endpoint that starts as
-near to a linked secret belongs to them. A scope is a block of text without a blank line.
+are linked, however far apart, and an endpoint of that scope belongs to them. A scope is a block
+of text without a blank line.
 
-The interval join is an equi-join on row, scope and bin of ``WINDOW`` code points, where each bin
-of the other side is one row with its first and last start: rows grow with the spans, never with
-their pairs, and no task gathers more than a bin's extremes. Spans of one text stay in an array,
-which is as large as the text at most.
+The join is an equi-join on row and scope with the scopes that hold both: rows grow with the
+spans, never with their pairs. Spans of one text stay in an array, which is as large as the text
+at most.
 
 Spans are ``kind:start:end`` in code points, the end exclusive. A null text counts as empty; an
 empty text has no spans. Repeated rows, null ids and other columns (dropped, but for the id) are
@@ -20,8 +19,6 @@ fine: rows are told apart by a number given when the spans are written.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +39,7 @@ WEAK = {
 #: The same matches with the length in the pattern, so that most texts are passed over at once.
 _QUICK = {"hex": r"[0-9a-f]{24,}", "access": r"AKIA[A-Z0-9]{16,}"}
 BREAK = r"\n[\x20\t\r]*\n"
+#: Reach in the query's SQL, which is fixed; the scan itself links whole scopes.
 WINDOW = 400
 KINDS = [*BASE, *WEAK]
 SPANS = "array<struct<start:long,rank:int,end:long,kind:string>>"
@@ -85,23 +83,11 @@ def _breaks(text: Column) -> Column:
     return F.aggregate(parts, start, step, lambda acc: acc["out"])
 
 
-def _near(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of ``left`` (row, scope, start, ...) with a row of ``right`` in their scope within WINDOW."""
-    bins = right.groupBy("row", "scope", F.floor(F.col("start") / WINDOW).alias("bin")).agg(F.min("start").alias("first"), F.max("start").alias("last"))
-    own = F.floor(F.col("start") / WINDOW)
-    spread = left.withColumn("bin", F.explode(F.array(own - 1, own, own + 1)))
-    near = (F.col("first") <= F.col("start") + WINDOW) & (F.col("last") >= F.col("start") - WINDOW)
-    return spread.join(bins, ["row", "scope", "bin"]).filter(near).select(*left.columns).distinct()
-
-
 def link(parts: DataFrame) -> DataFrame:
     """Weak parts that are linked. ``parts``: row, scope, start, end, rank, kind."""
-    ids, secrets = parts.filter(F.col("kind").isin("access", "id")), parts.filter(F.col("kind").isin("assign", "hex", "secret"))
-    linked_secrets = _near(secrets, ids)
-    linked_ids = _near(ids, secrets)
-    endpoints = _near(parts.filter(F.col("kind") == "endpoint"), linked_secrets)
-    every = reduce(DataFrame.unionByName, [linked_secrets, linked_ids, endpoints])
-    return every.filter(F.col("kind").isin(*WEAK))
+    ids, secrets = F.col("kind").isin("access", "id"), F.col("kind").isin("assign", "hex", "secret")
+    whole = parts.groupBy("row", "scope").agg(F.bool_or(ids).alias("ids"), F.bool_or(secrets).alias("secrets")).filter("ids AND secrets")
+    return parts.filter(F.col("kind").isin(*WEAK)).join(whole.select("row", "scope"), ["row", "scope"], "left_semi")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
