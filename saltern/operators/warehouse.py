@@ -170,9 +170,9 @@ def resolve(materials: DataFrame, overrides: DataFrame, arabic: DataFrame, corpu
     out = own.join(overrides.select("key", F.col("canonical_name").alias("c0")), "key", "left")
     out = out.join(arabic.select(F.col("key").alias("ar"), F.col("canonical_name").alias("c1")), "ar", "left")
     left = own.filter(has_arabic(F.col("raw_name"))).select(F.col("ar").alias("name"))
-    near = fuzzy_match(left, arabic.select(F.col("key").alias("match")), arabic_threshold).join(arabic.select(F.col("key").alias("match"), F.col("canonical_name").alias("c2")), "match").select(F.col("name").alias("ar"), "c2", F.col("score").alias("s2"))
+    near = fuzzy_match(left, arabic.select(F.col("key").alias("match")), arabic_threshold, sort_ratio).join(arabic.select(F.col("key").alias("match"), F.col("canonical_name").alias("c2")), "match").select(F.col("name").alias("ar"), "c2", F.col("score").alias("s2"))
     out = out.join(near, "ar", "left")
-    named = fuzzy_match(left, corpus, corpus_threshold).select(F.col("name").alias("ar"), F.col("match").alias("c4"), F.col("score").alias("s4"))
+    named = fuzzy_match(left, corpus, corpus_threshold, sort_ratio).select(F.col("name").alias("ar"), F.col("match").alias("c4"), F.col("score").alias("s4"))
     out = out.join(named, "ar", "left")
     if vectors is not None:
         out = out.join(vectors.select("raw_name", F.col("canonical_name").alias("c5"), F.col("similarity").alias("s5")), "raw_name", "left")

@@ -68,3 +68,11 @@ def test_coverage_is_fuzzy_and_tries_the_raw_name(spark):
     assert counts() == (5, 3) and counts(threshold=None) == (5, 1)
     lists = warehouse.coverage_lists(lines, stock).first()
     assert lists["matched"] == ["Glycerine USP", "Xanthan Gum", "zanthan gum"] and lists["missing"] == ["Beeswax", None, "Beeswax"]
+
+
+def test_resolve_scores_all_words(spark):
+    none = spark.createDataFrame([], "key string, canonical_name string")
+    arabic = spark.createDataFrame([("زيت", "oil"), ("زيت جوز الهند", "coconut oil")], "key string, canonical_name string")
+    mats = spark.createDataFrame([(1, "زيت جوز هند خام"), (2, "الهند زيت جوز")], "id long, raw_name string")
+    got = {r["material_id"]: r["canonical_name"] for r in warehouse.resolve(mats, none, arabic, spark.createDataFrame([], "match string")).collect()}
+    assert got == {1: None, 2: "coconut oil"}
