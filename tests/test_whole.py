@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from saltern.operators import warehouse
+from saltern.operators import retrieval, warehouse
 from saltern.plans import queries
 
 
@@ -76,3 +76,12 @@ def test_resolve_scores_all_words(spark):
     mats = spark.createDataFrame([(1, "زيت جوز هند خام"), (2, "الهند زيت جوز")], "id long, raw_name string")
     got = {r["material_id"]: r["canonical_name"] for r in warehouse.resolve(mats, none, arabic, spark.createDataFrame([], "match string")).collect()}
     assert got == {1: None, 2: "coconut oil"}
+
+
+def test_bm25_fills_up(spark):
+    docs = spark.createDataFrame([(k, "rare word" if k == 7 else f"other{k} text") for k in range(12)], "doc_id long, text string")
+    asked = spark.createDataFrame([("a", "rare"), ("b", "unknown"), ("c", "text")], "query_id string, text string")
+    rows = retrieval.bm25(docs, asked, 4, fill=True).orderBy("query_id", "pos").collect()
+    got = {q: [r["doc_id"] for r in rows if r["query_id"] == q] for q in "abc"}
+    assert got == {"a": [7, 0, 1, 2], "b": [0, 1, 2, 3], "c": [0, 1, 2, 3]}
+    assert [r["score"] for r in rows if r["query_id"] == "b"] == [0.0] * 4
