@@ -1,7 +1,6 @@
 """Cases in which a part of a training-data operator's job was once left out."""
 
-from pyspark.sql import functions as F
-
+import corpus_pipeline
 from saltern.llm import secret_scan
 
 
@@ -17,3 +16,9 @@ def test_scope_alone_links(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["id"]: [s["kind"] for s in r["linked"]] for r in secret_scan.scan(docs).collect()}
     assert got == {1: ["secret", "id"], 2: ["id"] + ["secret"] * 26, 3: ["id", "secret", "endpoint"], 4: []}
+
+
+def test_language_stage_without_a_model(spark):
+    rows = [(1, "plain words", None, "a", 11), (2, "12 345 !!", None, "a", 9), (3, None, None, "a", 0), (4, "слово", None, "b", 5), (5, "x² ", None, "b", 3), (6, "_1", None, "b", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, "").collect()) == [1, 4, 5]
