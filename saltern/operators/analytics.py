@@ -2,11 +2,13 @@
 
 ``lines``: formulation_id, line_no, raw_name, normalized_name, amount, unit. Reference tables
 (prices, regulatory rules, substitution rules) are small files of an installation; `theta` counts
-them before it broadcasts, and blocks on shared words beyond that.
+them before it broadcasts, and deals larger ones into blocks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +29,19 @@ ROLES = [
 
 
 def theta(left: DataFrame, rules: DataFrame, condition: Column, how: str = "inner") -> DataFrame:
-    """A containment join with a reference table of a checked size."""
+    """A containment join with a reference table of any size.
+
+    Beyond the bound, an inner join is the union of joins with blocks of about ``BROADCAST_ROWS``
+    rows, dealt by a hash of the whole row; ``left`` is then read once for each block.
+    """
     n = rules.count()
-    if n > BROADCAST_ROWS:
-        raise ValueError(f"a reference table of {n} rows; at most {BROADCAST_ROWS} are joined by containment")
-    return left.join(F.broadcast(rules), condition, how)
+    if n <= BROADCAST_ROWS:
+        return left.join(F.broadcast(rules), condition, how)
+    if how != "inner":
+        raise ValueError(f"a reference table of {n} rows; at most {BROADCAST_ROWS} are joined by containment unless the join is inner")
+    blocks = -(-n // BROADCAST_ROWS)
+    block = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rules.columns]), F.lit(blocks))
+    return reduce(DataFrame.union, [left.join(F.broadcast(rules.filter(block == k)), condition) for k in range(blocks)])
 
 
 def either_way(a: Column, b: Column) -> Column:

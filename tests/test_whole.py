@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from saltern.operators import retrieval, warehouse
+from saltern.operators import analytics, retrieval, rules, warehouse
 from saltern.plans import queries
 
 
@@ -85,3 +85,16 @@ def test_bm25_fills_up(spark):
     got = {q: [r["doc_id"] for r in rows if r["query_id"] == q] for q in "abc"}
     assert got == {"a": [7, 0, 1, 2], "b": [0, 1, 2, 3], "c": [0, 1, 2, 3]}
     assert [r["score"] for r in rows if r["query_id"] == "b"] == [0.0] * 4
+
+
+def test_large_reference_tables_are_joined_in_blocks(spark, monkeypatch):
+    prices = spark.createDataFrame([(f"name{k}", float(k), k) for k in range(20)] + [("wax", 9.0, 20), ("wax", 9.0, 20)], "ingredient string, price double, pos int")
+    lines = spark.createDataFrame([("f", k, f"Name{k} extra", f"name{k}") for k in (1, 13, 19)] + [("f", 9, "Gum", None)], "formulation_id string, line_no int, raw_name string, normalized_name string")
+    items = "id string, name string, ingredients array<struct<raw_name:string,normalized_name:string,amount:double,unit:string,phase:string>>, source_text string, vector_text string, extraction_method string, chunk_texts array<string>"
+    f = rules.facts(spark.createDataFrame([("f", "Baby shampoo", [("Wax", "wax", 9.0, "%", None)] * 2, None, None, "table", None)], items))
+    ranges = spark.createDataFrame([(k, f"c{k}", "wax", 1.0, 2.0, 3.0) for k in range(9)], "pos int, category string, member string, typical_min double, typical_max double, hard_max double")
+    run = lambda: (sorted(map(str, analytics.line_prices(lines, prices).collect())), sorted(map(str, rules.ingredient_range(ranges)(f, rules.CONFIG).collect())), analytics.theta(lines, prices, lines["normalized_name"].contains("name") & (prices["ingredient"] == "wax")).count())
+    want = run()
+    assert len(want[1]) == 2 and want[2] == 6
+    monkeypatch.setattr(analytics, "BROADCAST_ROWS", 4)
+    assert run() == want
