@@ -55,6 +55,14 @@ def drop_written(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", by: str = "node", salts: int = 16) -> DataFrame:
+    """Join where one key may hold much of ``left`` and ``right`` has one row a key: each row of
+    ``right`` goes to ``salts`` tasks, and ``left`` is dealt among them by ``by``."""
+    right = right.withColumn("saltern_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    left = left.withColumn("saltern_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("long"))
+    return left.join(right, [key, "saltern_salt"], how).drop("saltern_salt")
+
+
 def fold_is(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32(doc_id as text) mod modulus == remainder; a null id is in no fold (false)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

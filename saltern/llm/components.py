@@ -7,10 +7,12 @@ Each round is written to the shared folder; nothing is collected but two numbers
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saltern.llm.common import drop_written, written
+from saltern.llm.packing import runs
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -48,3 +50,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def _print(stars: DataFrame) -> tuple:
     mark = F.xxhash64("a", "b").cast("decimal(38,0)")
     return tuple(stars.agg(F.count("*"), F.sum(mark)).first())
+
+
+def least_linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n numbered nodes, the smallest one that links reach from it. ``a`` is sorted."""
+    label = np.arange(n)
+    if not len(a):
+        return label
+    first_a, _ = runs(a)
+    order = np.argsort(b, kind="stable")
+    sorted_b, back = b[order], a[order]
+    first_b, _ = runs(sorted_b)
+    while True:
+        before = label.copy()
+        label[a[first_a]] = np.minimum(label[a[first_a]], np.minimum.reduceat(label[b], first_a))
+        label[sorted_b[first_b]] = np.minimum(label[sorted_b[first_b]], np.minimum.reduceat(label[back], first_b))
+        label = np.minimum(label, label[label])
+        if (label == before).all():
+            return label

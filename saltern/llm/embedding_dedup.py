@@ -13,7 +13,7 @@ Equal vectors of a label form a class, and only classes are hashed. A bucket's r
 row blocks of ``ROWS``; each pair of row blocks is a tile, and tiles are dealt to groups by hash, so
 memory is bounded for any bucket. A pair is counted where it meets first (smallest table, then
 smallest bucket), which both rows' vectors tell, so nothing is gathered to drop repeats. A tile
-returns counts of links and a spanning forest: rows grow with vectors, never with pairs.
+returns counts of links and, for each node, one that its links lead to: rows grow with vectors, never with pairs.
 
 Defined results: a vector that is null, empty, zero or has a null or non-finite component, or whose
 label is null, links with nothing; so do vectors of different lengths. Repeated rows are links of
@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saltern.llm.common import drop_written, written
-from saltern.llm.components import components
-from saltern.llm.ngram_join import forest
+from saltern.llm.components import components, least_linked
 
 ROWS, RECALL, SEED, ALTERNATIVES = 1024, 0.9995, 20240, 2
 #: Vectors that one bucket holds on average, and bytes of vectors in a group of tiles.
@@ -210,10 +209,11 @@ def _tiles(hashes: Hashes, threshold: float, wide: bool):
             pairs = pairs[good]
             links += np.bincount(pairs[:, 0], weights=copies[pairs[:, 1]], minlength=len(nodes)).astype(np.int64)
             links += np.bincount(pairs[:, 1], weights=copies[pairs[:, 0]], minlength=len(nodes)).astype(np.int64)
-        tree, some = forest(pairs[:, 0], pairs[:, 1]), np.flatnonzero(links)
-        out_a = [*(int(nodes[x]) for x, _ in tree), *nodes[some].tolist()]
-        out_b = [*(int(nodes[y]) for _, y in tree), *[None] * len(some)]
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "links": pa.array([*[0] * len(tree), *links[some].tolist()], pa.int64())})
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        label, some = least_linked(pairs[:, 0], pairs[:, 1], len(nodes)), np.flatnonzero(links)
+        tree = np.flatnonzero(label != np.arange(len(nodes)))
+        out_b = [*nodes[label[tree]].tolist(), *[None] * len(some)]
+        return pa.table({"a": pa.array(np.concatenate([nodes[tree], nodes[some]])), "b": pa.array(out_b, pa.int64()), "links": pa.array(np.concatenate([np.zeros(len(tree), np.int64), links[some]]))})
 
     return run
 

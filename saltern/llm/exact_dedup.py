@@ -51,6 +51,20 @@ def located(docs: DataFrame) -> DataFrame:
         return written(docs, "dedup-input").withColumn("saltern_at", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
 
 
+def spot(at: str = "saltern_at") -> Column:
+    """A locator as one number; the row index tells the rare equal ones apart."""
+    return F.xxhash64(f"{at}.file", f"{at}.row")
+
+
+def without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` of `located` without those whose locators ``gone.at`` has."""
+    gone = written(gone.select(spot("at").alias("saltern_spot"), F.col("at.row").alias("saltern_row")), "dedup-gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    rows = rows.withColumns({"saltern_spot": spot(), "saltern_row": F.col("saltern_at.row")})
+    return rows.join(gone, ["saltern_spot", "saltern_row"], "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+
+
 def _stream(spark: SparkSession, arrivals: str, schema, state_dir: str) -> DataFrame:
     """Take the new arrivals up into the state; the state as a table."""
     before = {k: spark.conf.get(k, None) for k in STORE}
@@ -124,5 +138,5 @@ def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=s
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
     """``docs`` without the rows that are copies of the one that stays."""
     rows = located(docs)
-    gone = _decide(_columns(rows, key, text), digest, new_path(docs.sparkSession, "dedup"), None).filter(~F.col("kept")).select(F.col("at").alias("saltern_gone"))
-    return rows.join(gone, F.col("saltern_at") == F.col("saltern_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = _decide(_columns(rows, key, text), digest, new_path(docs.sparkSession, "dedup"), None)
+    return without(rows, found.filter(~F.col("kept")), docs.columns)

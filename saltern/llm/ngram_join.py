@@ -1,25 +1,27 @@
 """N-gram Jaccard join: blocked sparse products of document by n-gram incidence.
 
 A document is the set of its distinct word n-grams (64-bit hashes). Equal sets form a class, and
-only classes are compared. Two stages then find every link between different classes:
-
-Blocking. If J(A, B) >= t, A and B differ in at most D n-grams, where D follows from the smaller
-size. Cut the hash range into P > D parts: at least P - D parts are equal in both. For its size
-step, a class emits a fingerprint of each part's n-grams; sizes near a step's lower end also emit
-for the step below, so any two classes whose sizes allow a link meet under one step. Parts that
-are empty count as equal too: P allows for a number of them, and a class with more emits them as
-well. So no link is lost, whatever the threshold, and classes that share a passage or a common
-line, but not most of their text, hardly ever meet. Fingerprints that at least two classes share
-join these into candidate components.
-
-Product. A component is a block, or, where that sends fewer rows, each of its shared fingerprints
-is. A block's
-rows are cut into row blocks of ``TILE_BYTES``, and each pair of row blocks is a tile of its own
-task. The tile multiplies its two incidence matrices, ``ROWS`` by ``ROWS``, over columns that both
-sides have, in column blocks, and accumulates overlap counts; pairs whose sizes or counts are below the bound that their
-sizes give are discarded. A tile returns counts of links by class and a spanning forest of its
-links, so rows grow with documents, never with pairs. Only a block whose members are all nearly
-alike costs products in the square of its size, in tiles of bounded memory.
+only classes are compared. Two stages then find every link between different classes.
+
+Candidates. If J(A, B) >= t, A has at most |A| - ceil(t |A|) n-grams that B lacks. So in any order of
+all n-grams, both have their first common one among the first |A| - ceil(t |A|) + 1, and the smaller
+one of them even among its first |A| - ceil(2t / (1 + t) |A|) + 1. The order is rarest first. Texts
+are read once: those of about ``FLUSH`` n-grams go together, send each of their n-grams with the
+number of their rows that hold it to a bucket of the hash range, and get its frequency back, packed,
+so that a frequent n-gram is one entry for each flush and no more. (A flush sends a row to each
+bucket, yet never more rows than it has n-grams.) N-grams that only one class has lead to no
+partner; a class whose first n-grams are all such is done. So classes that share passages or common
+lines, but also hold text of their own, never meet. What is left meets by n-gram and size step, where
+one could be the smaller one; candidate components follow from each meeting's smallest member.
+
+Product. A candidate component is a tile of its own or, where large, is cut by size steps into row
+blocks of ``TILE_BYTES``, and each pair of row blocks of equal or neighbouring steps is a tile. A
+tile multiplies its two incidence matrices, ``ROWS`` by ``ROWS``, over the columns that both have:
+columns with few entries as sparse outer products, full ones as matrix products in column blocks.
+Overlap counts accumulate, and pairs below the bound that their sizes give are discarded. A tile
+returns counts of links by class and, for each node, one linked node that leads to the smallest, so
+rows grow with documents, never with pairs. Only members of one candidate component cost products in
+the square of their number, in tiles of bounded memory.
 
 Defined results: a null or empty text, or one without words, has an empty set and no links, and is
 its own component. With fewer words than n, the whole sequence is the one n-gram. Repeated rows
@@ -37,20 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltern.llm.common import drop_written, written
-from saltern.llm.components import components
-from saltern.llm.exact_dedup import located
-from saltern.llm.packing import expand, mix as _mix, squeeze
+from saltern.llm.common import drop_written, spread_join, written
+from saltern.llm.components import components, least_linked
+from saltern.llm.exact_dedup import located, spot, without
+from saltern.llm.packing import expand, mix as _mix, runs as _runs, squeeze
 
 ROWS, COLUMNS = 1024, 4096
-#: Bytes of the sets in one row block of a tile, on average.
-TILE_BYTES, SPLIT = 8 << 20, 8
-#: Fingerprints that one task of the blocking stage sorts, on average.
-PER_BUCKET = 1_000_000
-#: Rows up to which the locators of block members (about 400 bytes each) are broadcast to the
+#: Bytes of the sets in one row block of a tile, on average, and its rows.
+TILE_BYTES, TILE_ROWS = 4 << 20, 8192
+#: N-grams of the texts that are packed together, and of one bucket, on average.
+FLUSH, PER_BUCKET = 1_000_000, 2_000_000
+#: Rows up to which the members of candidate components (about 80 bytes each) are broadcast to the
 #: second scan of the texts; with more, the scan's rows are shuffled to them.
-BROADCAST_ROWS = 100_000
-STEP = 1.4
+BROADCAST_ROWS = 400_000
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -69,239 +70,237 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-class Steps:
-    """Size steps and their numbers of parts, for a threshold of num/den; bytes of a fingerprint."""
+class Bounds:
+    """What sizes allow, for a threshold of num/den."""
 
-    def __init__(self, num: int, den: int, width: int = 8):
-        self.num, self.den, self.width, self.low = num, den, width, [1]
+    def __init__(self, num: int, den: int):
+        self.num, self.den, self.low = num, den, [1]
 
-    def _upto(self, n: int) -> None:
-        while self.low[-1] <= n:
-            self.low.append(max(self.low[-1] + 1, int(self.low[-1] * max(STEP, 1.05 * self.den / self.num))))
+    def first(self, n: np.ndarray) -> np.ndarray:
+        """N-grams, rarest first, among which a set of n meets any partner."""
+        return n + 1 + (-self.num * n) // self.den
 
-    def of(self, n: int) -> list[int]:
-        """Steps under which a set of n members emits."""
-        self._upto(n)
-        step = int(np.searchsorted(self.low, n, side="right")) - 1
-        below = []
-        while step - len(below) > 0 and -(-self.num * n // self.den) <= self.low[step - len(below)] - 1:
-            below.append(step - len(below) - 1)
-        return [step, *below]
+    def first_small(self, n: np.ndarray) -> np.ndarray:
+        """Those among which it meets a partner that is not smaller."""
+        return n + 1 + (-2 * self.num * n) // (self.num + self.den)
 
-    def parts(self, step: int) -> tuple[int, int]:
-        """The number of parts, and the empty ones that it allows for."""
-        self._upto(self.low[step] + 1) if step + 1 >= len(self.low) else None
-        differ = (self.low[step + 1] - 1) * (self.den - self.num) // self.num
-        mean = (differ + 1) * np.exp(-self.low[step] / (differ + 1))
-        empty = int(np.ceil(mean + 3 * np.sqrt(mean))) if differ else 0
-        return differ + 1 + empty, empty
+    def step(self, n: np.ndarray) -> np.ndarray:
+        """Size steps: partners are of the same or of neighbouring steps."""
+        while len(n) and self.low[-1] <= n.max():
+            self.low.append(max(self.low[-1] + 1, -(-self.low[-1] * self.den // self.num)))
+        return np.searchsorted(np.array(self.low), n, side="right") - 1
 
+    def meets_below(self, n: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Whether the step below has partners for a set of n."""
+        return (step > 0) & (-((-self.num * n) // self.den) < np.array(self.low)[step])
 
-def fingerprints(own: np.ndarray, steps: Steps) -> np.ndarray:
-    """One hash for each part of each step of a sorted set."""
-    if not len(own):
-        return np.zeros(0, np.int64)
-    mixed, out = _mix(own + np.uint64(0x5851F42D4C957F2D)), []
-    for step in steps.of(len(own)):
-        count, allowed = steps.parts(step)
-        part = ((own >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        held = part[first]
-        salt = np.uint64(step * 0x632BE59BD9B4E019 % (1 << 64))
-        out.append(_mix(np.add.reduceat(mixed, first) * _K[1] + _mix(held + np.uint64(1)) + salt))
-        if count - len(held) > allowed:
-            empty = np.setdiff1d(np.arange(count, dtype=np.uint64), held)
-            out.append(_mix(_mix(empty + np.uint64(1)) + salt))
-    return np.unique(np.concatenate(out) >> np.uint64(64 - 8 * steps.width)).view(np.int64)
 
-
-def _packed(prints: np.ndarray, width: int) -> bytes:
-    return prints.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes()
-
-
-def _unpacked(blob: bytes, width: int) -> np.ndarray:
-    own = np.frombuffer(blob, np.uint8).reshape(-1, width)
-    out = np.zeros((len(own), 8), np.uint8)
-    out[:, 8 - width :] = own
-    return out.reshape(-1).view(">u8").astype(np.int64)
-
-
-def _read(n: int, steps: Steps):
-    """(at, id, text) to (at, id, n, cls, prints)."""
+def _pack(n: int, bits: int):
+    """(at, id, text) to one row for each flush: its documents, and their n-grams as positions in the
+    flush's sorted distinct tokens (the first ``bits`` bits of their hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        node = TaskContext.get().partitionId() << 33
+        held, sets, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal node
+            at, id_ = (pa.concat_arrays([b.column(c) for b in held]) for c in ("at", "id"))
+            sizes = np.array([len(x) for x in sets], np.int64)
+            classes = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary())
+            nodes = np.arange(node, node + len(sets))
+            each = pa.StructArray.from_arrays([at, id_, pa.array(sizes), classes, pa.array(nodes)], names=["at", "id", "n", "cls", "node"])
+            tokens, index, counts = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+            packed = [squeeze(np.diff(index.astype(np.int32), prepend=np.int32(0))), squeeze(np.diff(tokens.view(np.int64), prepend=0)), squeeze(counts.astype(np.int64))]
+            node += len(sets)
+            docs_ = pa.ListArray.from_arrays(pa.array([0, len(sets)], pa.int32()), each)
+            return pa.RecordBatch.from_arrays([pa.array([int(nodes[0])]), docs_, *(pa.array([x], pa.binary()) for x in (squeeze(sizes), *packed))], names=["flush", "docs", "sizes", "index", "tokens", "counts"])
+
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                sizes, classes, prints = [], [], []
-                for cell in part.column("text"):
-                    own = shingles(cell.as_py(), n)
-                    sizes.append(len(own))
-                    classes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                    prints.append(_packed(fingerprints(own, steps), steps.width))
-                yield pa.RecordBatch.from_arrays([part.column("at"), part.column("id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(prints, pa.binary())], names=["at", "id", "n", "cls", "prints"])
+            start = 0
+            for row, cell in enumerate(batch.column("text")):
+                sets.append(shingles(cell.as_py(), n))
+                size += len(sets[-1]) + 16  # a document costs something even without n-grams
+                if size >= FLUSH:
+                    held.append(batch.slice(start, row + 1 - start))
+                    yield flush()
+                    held, sets, size, start = [], [], 0, row + 1
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+        if sets:
+            yield flush()
 
     return run
 
 
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the runs of a sorted array."""
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return first, np.diff(np.append(first, len(keys)))
-
-
-def _deal(buckets: int, width: int):
-    """(node, prints) to packed (bucket, prints, nodes, pivots). Prints that several nodes of a batch
-    share are known to be shared: all their nodes go to a negative bucket, with the smallest of them
-    as pivot, and that one to the print's own bucket."""
+def _ask(buckets: int, bits: int):
+    """(flush, tokens, counts) to one row for each bucket that the flush has tokens of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
         for batch in batches:
-            blobs = batch.column("prints").to_pylist()
-            lengths = np.array([len(x) // width for x in blobs], np.int64)
-            prints = _unpacked(b"".join(blobs), width)
-            nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), lengths)
-            order = np.lexsort((nodes, prints))
-            prints, nodes = prints[order], nodes[order]
-            first, count = _runs(prints)
-            number += 1
-            several = np.repeat(count > 1, count)
-            bucket = (_mix(prints[first].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            starts, sizes = _runs(bucket[by])
-            out = {"bucket": [], "prints": [], "nodes": [], "pivots": []}
-            for s, size in zip(starts, sizes, strict=True):
-                at = first[by[s : s + size]]
-                out["bucket"].append(int(bucket[by[s]]))
-                out["prints"].append(squeeze(np.diff(prints[at], prepend=0)))
-                out["nodes"].append(squeeze(nodes[at]))
-                out["pivots"].append(None)
-            shared_prints, shared_nodes, shared_pivots = prints[several], nodes[several], np.repeat(nodes[first], count)[several]
-            for s in range(0, len(shared_prints), PER_BUCKET // 8):
-                out["bucket"].append(-1 - (hash((number, s, int(nodes[0]))) % buckets))
-                out["prints"].append(squeeze(np.diff(shared_prints[s : s + PER_BUCKET // 8], prepend=0)))
-                out["nodes"].append(squeeze(shared_nodes[s : s + PER_BUCKET // 8]))
-                out["pivots"].append(squeeze(shared_pivots[s : s + PER_BUCKET // 8]))
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int64()), ("prints", pa.binary()), ("nodes", pa.binary()), ("pivots", pa.binary())]))
+            for flush, tokens, counts in zip(*(batch.column(c).to_pylist() for c in ("flush", "tokens", "counts")), strict=True):
+                tokens, counts = np.cumsum(expand(tokens, np.int64)), expand(counts, np.int64)
+                first, size = _runs((tokens >> (bits - 32)) * buckets >> 32)
+                bucket = ((tokens[first] >> (bits - 32)) * buckets >> 32).tolist()
+                parts = [slice(s, s + k) for s, k in zip(first.tolist(), size.tolist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array(bucket, pa.int64()), "flush": pa.array([flush] * len(parts), pa.int64()),
+                    "tokens": pa.array([squeeze(np.diff(tokens[p], prepend=0)) for p in parts], pa.binary()),
+                    "counts": pa.array([squeeze(counts[p]) for p in parts], pa.binary()),
+                })
 
     return run
 
 
-def _shared(group: pa.Table) -> pa.Table:
-    """The (print, node, pivot) rows of prints that at least two nodes have."""
-    prints = np.concatenate([np.cumsum(expand(x, np.int64)) for x in group.column("prints").to_pylist()])
-    nodes = np.concatenate([expand(x, np.int64) for x in group.column("nodes").to_pylist()])
-    if group.column("bucket")[0].as_py() < 0:
-        pivots = np.concatenate([expand(x, np.int64) for x in group.column("pivots").to_pylist()])
-    else:
-        order = np.lexsort((nodes, prints))
-        prints, nodes = prints[order], nodes[order]
-        first, count = _runs(prints)
-        several = np.repeat(count > 1, count)
-        pivots = np.repeat(nodes[first], count)[several] if len(first) else nodes
-        prints, nodes = prints[several], nodes[several]
-    return pa.table({"print": prints, "node": nodes, "pivot": pivots})
+def _answer(group: pa.Table) -> pa.Table:
+    """Each flush's tokens of one bucket by frequency over all rows; tokens with more than one are named."""
+    tokens = [np.cumsum(expand(x, np.int64)) for x in group.column("tokens").to_pylist()]
+    lengths = [len(x) for x in tokens]
+    every = np.concatenate(tokens)
+    order = np.argsort(every, kind="stable")
+    first, size = _runs(every[order])
+    counts = np.concatenate([expand(x, np.int64) for x in group.column("counts").to_pylist()])[order]
+    frequency = np.empty(len(every), np.int64)
+    frequency[order] = np.repeat(np.add.reduceat(counts, first), size)
+    ends = np.cumsum(lengths)
+    own = [slice(e - k, e) for e, k in zip(ends.tolist(), lengths, strict=True)]
+    named = [squeeze(np.diff(every[s][frequency[s] > 1], prepend=0)) for s in own]
+    return pa.table({"flush": group.column("flush"), "bucket": group.column("bucket"), "frequency": pa.array([squeeze(frequency[s]) for s in own], pa.binary()), "named": pa.array(named, pa.binary())})
+
+
+def _prefixes(num: int, den: int):
+    """A flush and its answers to the first n-grams of its classes: rows (token, step, node, n, small, own)."""
+
+    def run(flush: pa.Table, answers: pa.Table) -> pa.Table:
+        bounds = Bounds(num, den)
+        out = {k: np.zeros(0, np.int64) for k in ("token", "step", "node", "n")} | {"small": np.zeros(0, bool)}
+        if flush.num_rows and answers.num_rows:
+            answers = answers.sort_by("bucket")
+            frequency = np.concatenate([expand(x, np.int64) for x in answers.column("frequency").to_pylist()])
+            token = np.zeros(len(frequency), np.int64)
+            token[frequency > 1] = np.concatenate([np.cumsum(expand(x, np.int64)) for x in answers.column("named").to_pylist()])
+            sizes = expand(flush["sizes"][0].as_py(), np.int64)
+            index = np.cumsum(expand(flush["index"][0].as_py(), np.int32))
+            copies = np.zeros(len(sizes), np.int64)  # 0: another row stands for this one's class
+            start = flush["flush"][0].as_py()
+            for x in flush["reps"][0].as_py():
+                copies[x["node"] - start] = x["copies"]
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            alone = np.bincount(doc, weights=frequency[index] == copies[doc], minlength=len(sizes))
+            first = bounds.first(sizes)
+            keep = ((copies > 0) & (alone < first))[doc]
+            doc, index = doc[keep], index[keep]
+            order = np.lexsort((token[index], frequency[index], doc))
+            doc, index = doc[order], index[order]
+            begin, size = _runs(doc)
+            at = np.arange(len(doc)) - np.repeat(begin, size)
+            keep = (at < first[doc]) & (frequency[index] > copies[doc])
+            doc, index, at = doc[keep], index[keep], at[keep]
+            n = sizes[doc]
+            step = bounds.step(n)
+            below = bounds.meets_below(n, step) if len(n) else np.zeros(0, bool)
+            small = at < bounds.first_small(n)
+            out = {
+                "token": np.concatenate([token[index], token[index[below]]]), "step": np.concatenate([step, step[below] - 1]),
+                "node": np.concatenate([doc, doc[below]]) + start, "n": np.concatenate([n, n[below]]),
+                "small": np.concatenate([small, np.zeros(below.sum(), bool)]),
+            }
+        return pa.table(out)
+
+    return run
 
 
-def _sets(n: int):
-    """(node, copies, tiles, text) to (node, copies, tiles, own)."""
+def _sets(n: int, keep: list[str]):
+    """(text, ...) to (..., own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 own = [shingles(t.as_py(), n).tobytes() for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "copies", "tiles")), pa.array(own, pa.binary())], names=["node", "copies", "tiles", "own"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(own, pa.binary())], names=[*keep, "own"])
 
     return run
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Overlap counts of two lists of sets: the product of their incidence matrices."""
+    """Overlap counts of two lists of sets: the product of their incidence matrices.
+
+    Columns with few entries are outer products of their row lists; the others are multiplied as
+    blocks of ``COLUMNS``."""
+    out = np.zeros((len(a), len(b)), np.int64)
     every = np.concatenate([*a, *b]) if a and b else np.zeros(0, np.uint64)
-    out = np.zeros((len(a), len(b)), np.float32)
     if not len(every):
         return out
     row_a, row_b = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
-    own_a, own_b = every[: len(row_a)], every[len(row_a) :]
-    columns = np.intersect1d(own_a, own_b)
-    at_a, at_b = np.searchsorted(columns, own_a), np.searchsorted(columns, own_b)
-    good_a = columns[np.minimum(at_a, len(columns) - 1)] == own_a if len(columns) else np.zeros(len(own_a), bool)
-    good_b = columns[np.minimum(at_b, len(columns) - 1)] == own_b if len(columns) else np.zeros(len(own_b), bool)
-    row_a, at_a, row_b, at_b = row_a[good_a], at_a[good_a], row_b[good_b], at_b[good_b]
-    for low in range(0, len(columns), COLUMNS):
-        width = min(COLUMNS, len(columns) - low)
-        in_a, in_b = (at_a >= low) & (at_a < low + width), (at_b >= low) & (at_b < low + width)
-        x, y = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+    columns, index = np.unique(every, return_inverse=True)
+    at_a, at_b = index[: len(row_a)], index[len(row_a) :]
+    count_a, count_b = np.bincount(at_a, minlength=len(columns)), np.bincount(at_b, minlength=len(columns))
+    entries = count_a * count_b
+    sparse, full = (entries > 0) & (entries * 50 < len(a) * len(b)), entries * 50 >= len(a) * len(b)
+    if sparse.any():
+        in_a, in_b = np.flatnonzero(sparse[at_a]), np.flatnonzero(sparse[at_b])
+        in_a, in_b = in_a[np.argsort(at_a[in_a], kind="stable")], in_b[np.argsort(at_b[in_b], kind="stable")]
+        ends_b = np.cumsum(np.where(sparse, count_b, 0))
+        of_a = at_a[in_a]
+        times = count_b[of_a]
+        x = np.repeat(row_a[in_a], times)
+        within = np.arange(len(x)) - np.repeat(np.cumsum(times) - times, times)
+        y = row_b[in_b][np.repeat(ends_b[of_a] - times, times) + within]
+        out += np.bincount(x * len(b) + y, minlength=out.size).reshape(out.shape)
+    number = np.cumsum(full) - 1
+    keep_a, keep_b = full[at_a], full[at_b]
+    row_a, at_a, row_b, at_b = row_a[keep_a], number[at_a[keep_a]], row_b[keep_b], number[at_b[keep_b]]
+    for low in range(0, int(full.sum()), COLUMNS):
+        in_a, in_b = (at_a >= low) & (at_a < low + COLUMNS), (at_b >= low) & (at_b < low + COLUMNS)
+        x, y = np.zeros((len(a), COLUMNS), np.float32), np.zeros((len(b), COLUMNS), np.float32)
         x[row_a[in_a], at_a[in_a] - low] = 1
         y[row_b[in_b], at_b[in_b] - low] = 1
-        out += x @ y.T
+        out += (x @ y.T).astype(np.int64)
     return out
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of links between numbered nodes."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = root(x), root(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
-
-
-def _tile(steps: Steps):
+def _tile(num: int, den: int):
     """Links of one tile: rows (a, b, links). A row with b null counts a's links."""
 
-    num, den = steps.num, steps.den
-
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("side", "ascending"), ("node", "ascending")])
-        left, right, print_ = group["left"][0].as_py(), group["right"][0].as_py(), group["print"][0].as_py()
-        side = group["side"].to_numpy()
+        group = group.sort_by([("node", "ascending")])
+        one = {c: group[c][0].as_py() for c in ("lu", "li", "ru", "ri")}
+        unit, side = group["unit"].to_numpy(), group["side"].to_numpy()
         nodes, copies = group["node"].to_numpy(), group["copies"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in group["own"].to_pylist()]
         sizes = np.array([len(x) for x in sets], np.int64)
-        rows_a = np.flatnonzero(side == left)
-        rows_b = rows_a if left == right else np.flatnonzero(side == right)
-        found_a, found_b = [], []
+        same = (one["lu"], one["li"]) == (one["ru"], one["ri"])
+        rows_a = np.flatnonzero((unit == one["lu"]) & (side == one["li"]))
+        rows_b = rows_a if same else np.flatnonzero((unit == one["ru"]) & (side == one["ri"]))
+        links, ends = np.zeros(len(nodes), np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for s in range(0, len(rows_a), ROWS):
-            for u in range(0, len(rows_b), ROWS):
+            for u in range(s if same else 0, len(rows_b), ROWS):
                 ra, rb = rows_a[s : s + ROWS], rows_b[u : u + ROWS]
                 na, nb = sizes[ra][:, None], sizes[rb][None, :]
                 possible = np.minimum(na, nb) * den >= num * np.maximum(na, nb)
-                if left == right:
-                    possible &= nodes[ra][:, None] < nodes[rb][None, :]
+                if same:
+                    possible &= ra[:, None] < rb[None, :]
                 ka, kb = possible.any(axis=1), possible.any(axis=0)
                 if not ka.any():
                     continue
                 ra, rb, possible = ra[ka], rb[kb], possible[np.ix_(ka, kb)]
-                counts = overlaps([sets[i] for i in ra], [sets[i] for i in rb]).astype(np.int64)
-                both = sizes[ra][:, None] + sizes[rb][None, :]
-                i, j = np.nonzero(possible & (counts * (den + num) >= num * both))
-                found_a.append(ra[i])
-                found_b.append(rb[j])
-        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        tree = forest(a, b)
-        if print_ is not None:  # a pair may meet under several prints: the smallest counts it
-            own = {int(i): fingerprints(sets[i], steps) for i in np.unique(np.concatenate([a, b]))}
-            first = np.array([np.intersect1d(own[i], own[j], assume_unique=True)[0] == print_ for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
-            a, b = a[first], b[first]
-        links = np.bincount(a, weights=copies[b], minlength=len(nodes)) + np.bincount(b, weights=copies[a], minlength=len(nodes))
+                counts = overlaps([sets[i] for i in ra], [sets[i] for i in rb])
+                linked = possible & (counts * (den + num) >= num * (sizes[ra][:, None] + sizes[rb][None, :]))
+                links[ra] += linked @ copies[rb]
+                links[rb] += copies[ra] @ linked
+                i, j = np.nonzero(linked)
+                label = least_linked(ra[i], rb[j], len(nodes))
+                some = np.flatnonzero(label != np.arange(len(nodes)))
+                ends.append((some, label[some]))
+        a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
         some = np.flatnonzero(links)
-        out_a = [*(int(nodes[x]) for x, _ in tree), *nodes[some].tolist()]
-        out_b = [*(int(nodes[y]) for _, y in tree), *[None] * len(some)]
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "links": pa.array([*[0] * len(tree), *links[some].astype(np.int64).tolist()], pa.int64())})
+        return pa.table({
+            "a": pa.array(np.concatenate([nodes[a], nodes[some]])), "b": pa.array([*nodes[b].tolist(), *[None] * len(some)], pa.int64()),
+            "links": pa.array(np.concatenate([np.zeros(len(a), np.int64), links[some]])),
+        })
 
     return run
 
@@ -317,72 +316,86 @@ def _columns(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col("saltern_at").alias("at"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
 
 
+def _candidates(flushes: DataFrame, reps: DataFrame, buckets: int, bits: int, num: int, den: int) -> DataFrame:
+    """(node, n, component, unit) of the classes that may have partners."""
+    asks = flushes.select("flush", "tokens", "counts").mapInArrow(_ask(buckets, bits), "bucket long, flush long, tokens binary, counts binary")
+    answers = asks.groupBy("bucket").applyInArrow(_answer, "flush long, bucket long, frequency binary, named binary")
+    held = reps.groupBy("flush").agg(F.collect_list(F.struct("node", "copies")).alias("reps"))  # as many as a flush has documents
+    whole = flushes.select("flush", "sizes", "index").join(held, "flush")
+    found = whole.groupBy("flush").cogroup(answers.groupBy("flush")).applyInArrow(_prefixes(num, den), "token long, step long, node long, n long, small boolean")
+    found = written(found, "join-first")
+    met = found.groupBy("token", "step").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.max("small").alias("small"))
+    met = met.filter("small AND pivot <> last").select("token", "step", "pivot")
+    near = components(found.join(met, ["token", "step"]).select("node", "pivot").distinct(), "node", "pivot")
+    sizes = found.groupBy("node").agg(F.min("n").alias("n"), F.max("step").alias("unit"))
+    near = written(near.join(sizes, "node"), "join-near")
+    drop_written(found)
+    return near
+
+
+def _tiles(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``near`` with each node's row block (unit, side) and the numbers of row blocks of its step and both neighbours.
+
+    A component that fits into one row block has one unit, -1. Also the table of components that do not."""
+    cuts = F.greatest(F.ceil(F.sum("n") * 8 / TILE_BYTES), F.ceil(F.count("*") / TILE_ROWS)).cast("int").alias("cut")
+    totals = near.groupBy("component").agg(cuts)
+    large = written(totals.filter("cut > 1").select("component"), "join-large")
+    units = spread_join(near, large, "component").groupBy("component", "unit").agg(cuts)
+    units = units.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("unit", "cut"))).alias("cuts"))  # few: sizes differ by a factor
+    near = spread_join(near, units, "component", "left")
+    cut = lambda k: F.when(F.col("cuts").isNull(), F.lit(k == 0).cast("int")).otherwise(F.coalesce(F.try_element_at("cuts", F.col("unit") + k), F.lit(0)))
+    near = near.select("node", "component", F.when(F.col("cuts").isNull(), F.lit(-1)).otherwise(F.col("unit")).cast("long").alias("unit"), *[cut(k).alias(name) for k, name in ((-1, "below"), (0, "level"), (1, "above"))])
+    return near.withColumn("side", F.pmod(F.xxhash64("node"), F.col("level")).cast("int")), large
+
+
 def _join(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     kinds = rows.schema
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # Fingerprints of different parts rarely agree by chance: 14 bits more than their number takes.
-    steps = Steps(num, den, min(8, max(4, -(-(int(size // 15 + 1).bit_length() + 14) // 8))))
-    base = rows.mapInArrow(_read(n, steps), f"at struct<file:string,row:long>, id {kinds['id'].dataType.simpleString()}, n long, cls binary, prints binary")
-    base = written(base.withColumn("node", F.monotonically_increasing_id()), "join-base")
-    own = base.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("node", "at", "n", "prints")).alias("x"), F.count("*").alias("copies"), F.min("id").alias("least"))
-    classes = written(own.select("x.node", "x.at", "x.n", "x.prints", "copies", "cls", "least"), "join-classes")
-
-    total = classes.agg(F.coalesce(F.sum(F.octet_length("prints")), F.lit(0))).first()[0] // steps.width
-    buckets = max(8, -(-total // PER_BUCKET))
-    dealt = classes.select("node", "prints").mapInArrow(_deal(buckets, steps.width), "bucket long, prints binary, nodes binary, pivots binary")
-    shared = written(dealt.groupBy("bucket").applyInArrow(_shared, "print long, node long, pivot long"), "join-shared")
-
-    near = written(components(shared.filter("node <> pivot").select("node", "pivot").distinct(), "node", "pivot"), "join-near")
-    near_n = near.join(classes.select("node", "n"), "node")
-    # A component is one block; from SPLIT row blocks on, each of its fingerprints is instead where
-    # that sends less to tiles. Only members of such components meet the fingerprints again.
-    cuts = lambda c: F.ceil(F.col(c) * 8 / TILE_BYTES).cast("int")
-    totals = near_n.groupBy("component").agg(F.sum("n").alias("total"))
-    vast = written(totals.filter(cuts("total") >= SPLIT), "join-vast")
-    plain = near.join(totals, "component").select("node", "component", F.col("component").alias("block"), F.lit(None).cast("long").alias("print"), F.col("total").alias("weight"))
-    if vast.isEmpty():
-        blocks = plain.drop("component")
-    else:
-        inside = near_n.join(vast, "component")
-        seen = shared.select("print", "node").distinct().join(inside, "node")
-        weights = seen.groupBy("print").agg(F.sum("n").alias("weight"))
-        seen = seen.join(weights, "print")
-        costs = seen.groupBy("component").agg(F.sum(F.col("n") * cuts("weight")).alias("by_print"), F.first("total").alias("total"))
-        apart = written(costs.filter(F.col("total") * cuts("total") > 2 * F.col("by_print")).select("component"), "join-apart")
-        wide = seen.join(apart, "component").select("node", F.col("print").alias("block"), "print", "weight")
-        blocks = plain.join(apart, "component", "left_anti").drop("component").unionByName(wide)
-    blocks = blocks.withColumn("cut", cuts("weight"))
-    blocks = blocks.withColumn("side", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
-    tiles = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    tile = F.struct("block", "print", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side")
-    wanted = tiles.groupBy("node").agg(F.collect_list(tile).alias("tiles"))  # as many as its blocks' cuts
-
-    wanted = written(wanted.join(classes.select("node", "at", "copies"), "node"), "join-wanted")
-    listed = F.broadcast(wanted.drop("tiles")) if wanted.count() <= BROADCAST_ROWS else wanted.drop("tiles")
-    sets = rows.join(listed, "at").select("node", "copies", "text")
-    few = wanted.agg(F.coalesce(F.sum(F.size("tiles")), F.lit(0))).first()[0] <= BROADCAST_ROWS
-    sets = sets.join((F.broadcast if few else (lambda x: x))(wanted.select("node", "tiles")), "node")
-    sets = sets.select("node", "copies", "tiles", "text").mapInArrow(_sets(n), f"node long, copies long, tiles {wanted.schema['tiles'].dataType.simpleString()}, own binary")
-    work = sets.select("node", "copies", "own", F.explode("tiles").alias("t")).select("t.*", "node", "copies", "own")
-    links = written(work.groupBy("block", "print", "left", "right").applyInArrow(_tile(steps), "a long, b long, links long"), "join-links")
-    for done in (shared, near, wanted):
+    bits = min(56, max(32, int(size // 6 + 1).bit_length() + 10))  # about one n-gram in a thousand meets another's token
+    each = f"array<struct<at:struct<file:string,row:long>,id:{kinds['id'].dataType.simpleString()},n:long,cls:binary,node:long>>"
+    flushes = written(rows.mapInArrow(_pack(n, bits), f"flush long, docs {each}, sizes binary, index binary, tokens binary, counts binary"), "join-flushes")
+    base = flushes.select("flush", F.explode("docs").alias("d")).select("flush", "d.*")
+    own = base.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("node", "flush", "n", spot("at").alias("spot"), F.col("at.row").alias("row"))).alias("x"), F.count("*").alias("copies"), F.min("id").alias("least"))
+    classes = written(own.select("x.*", "copies", "cls", "least"), "join-classes")
+
+    total = base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    near = _candidates(flushes, classes.select("flush", "node", "copies"), max(8, -(-total // PER_BUCKET)), bits, num, den)
+    placed, large = _tiles(near)
+    wanted = written(placed.join(classes.select("node", "spot", "row", "copies"), "node"), "join-wanted")
+    listed = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    keep = ["node", "copies", "component", "unit", "side", "below", "level", "above"]
+    sets = rows.select(spot("at").alias("spot"), F.col("at.row").alias("row"), "text").join(listed, ["spot", "row"]).select("text", *keep)
+    sets = sets.mapInArrow(_sets(n, keep), "node long, copies long, component long, unit long, side int, below int, level int, above int, own binary")
+    tile = lambda lu, li, ru, ri: F.struct(lu.alias("lu"), li.cast("int").alias("li"), ru.alias("ru"), ri.cast("int").alias("ri"))
+    unit, side = F.col("unit"), F.col("side")
+    blocks = lambda c, f: F.when(F.col(c) > 0, F.transform(F.sequence(F.lit(0), F.col(c) - 1), f)).otherwise(F.array())
+    tiles = F.concat(
+        blocks("level", lambda j: tile(unit, F.least(side, j), unit, F.greatest(side, j))),
+        blocks("above", lambda j: tile(unit, side, unit + 1, j)),
+        blocks("below", lambda j: tile(unit - 1, j, unit, side)),
+    )
+    work = sets.select("component", "unit", "side", "node", "copies", "own", F.explode(tiles).alias("t")).select("t.*", "component", "unit", "side", "node", "copies", "own")
+    links = written(work.groupBy("component", "lu", "li", "ru", "ri").applyInArrow(_tile(num, den), "a long, b long, links long"), "join-links")
+    for done in (near, large, wanted):
         drop_written(done)
 
     joined = components(links.filter("b IS NOT NULL"))
     counted = links.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
-    found = classes.select("cls", "node", "copies", "least").join(joined, "node", "left").join(counted, "node", "left")
-    found = found.withColumn("component", F.coalesce("component", "node"))
-    ids = found.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = found.join(ids, "component").select("cls", "component", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = base.select("at", "id", "n", "cls", "node").join(found, "cls", "left")
-    return out.select("at", "id", F.col("n").alias("n_shingles"), "component", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "node")
+    linked = written(classes.select("cls", "node", "copies", "least").join(joined, "node").join(counted, "node", "left"), "join-linked")
+    drop_written(links)
+    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = spread_join(linked, ids, "component").select("cls", "component", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    alone = classes.filter("copies > 1").join(linked.select("cls"), "cls", "left_anti").select("cls", F.col("node").alias("component"), F.col("least").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
+    out = base.select("at", "id", "n", "cls", "node").join(linked.unionByName(alone), "cls", "left")
+    component, component_id = (F.when(F.col("n_links").isNull(), F.col(single)).otherwise(F.col(found)) for single, found in (("node", "component"), ("id", "component_id")))
+    return out.select("at", "id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNotNull(), component).alias("component"), component_id.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "node")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row of each component: the smallest id, then the first row. Rows without
     n-grams stay."""
     rows = located(docs)
-    found = _join(_columns(rows, key, text), n, num, den)
-    first = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node", "at")).alias("x"))
-    gone = found.filter("component IS NOT NULL").join(first, "component").filter(F.col("at") != F.col("x.at")).select(F.col("at").alias("saltern_gone"))
-    return rows.join(gone, F.col("saltern_at") == F.col("saltern_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = written(_join(_columns(rows, key, text), n, num, den).filter("n_links > 0").select("at", "id", "component", "node"), "join-found")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node", "at")).alias("x"))
+    gone = spread_join(found, first, "component").filter(F.col("at") != F.col("x.at")).select("at")
+    return without(rows, gone, docs.columns)

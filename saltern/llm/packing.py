@@ -1,4 +1,4 @@
-"""Integers as compressed bytes, and a mixing function for hashes."""
+"""Integers as compressed bytes, runs of sorted ones, and a mixing function for hashes."""
 
 from __future__ import annotations
 
@@ -14,6 +14,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of a sorted array."""
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(keys)))
+
+
 def squeeze(x: np.ndarray) -> bytes:
     """Integers as byte planes, compressed."""
     import zstandard

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from saltern.llm import exact_dedup, language_id, lm_scoring, ngram_join, queries, secret_scan, sentencepiece_codec, source_mixing, toxicity
+from saltern.llm import components, exact_dedup, language_id, lm_scoring, ngram_join, queries, secret_scan, sentencepiece_codec, source_mixing, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, at string, node long, block long, ids string, score string"
 
@@ -209,10 +209,12 @@ def near_copies(seed, groups=6, size=30, length=60, edits=6):
 
 @pytest.mark.parametrize(("n", "num", "den", "rows_in_block"), [(4, 85, 100, 1024), (5, 80, 100, 8), (2, 50, 100, 8)])
 def test_join_is_brute_force(spark, monkeypatch, n, num, den, rows_in_block):
-    monkeypatch.setattr(ngram_join, "ROWS", rows_in_block)
-    monkeypatch.setattr(ngram_join, "TILE_BYTES", rows_in_block << 8)
-    monkeypatch.setattr(ngram_join, "SPLIT", 2)
+    """Also with row blocks, flushes and buckets of few rows, and with shuffles instead of broadcasts."""
+    if rows_in_block < 1024:
+        for name, value in {"ROWS": rows_in_block, "TILE_BYTES": rows_in_block << 8, "COLUMNS": 16, "FLUSH": 300, "PER_BUCKET": 500, "BROADCAST_ROWS": 0}.items():
+            monkeypatch.setattr(ngram_join, name, value)
     rows = near_copies(n)
+    rows += [(len(rows) + k, f"a line that very many share in full {'x' * k} end{k % 7}") for k in range(60)]
     out = ngram_join.join(docs(spark, rows), n=n, num=num, den=den).collect()
     assert sorted((str(r["id"]), r["n_shingles"], str(r["component_id"]), r["n_links"]) for r in out) == brute_join(rows, n, num, den)
 
@@ -224,23 +226,31 @@ def test_join_edges(spark):
     assert ngram_join.join(docs(spark, [])).count() == 0
 
 
-def test_fingerprints_meet():
-    """Any two sets that reach the threshold share a fingerprint."""
+def test_bounds_hold():
+    """Sets that reach the threshold meet among their first members, in one of their size steps."""
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    steps = ngram_join.Steps(85, 100, 8)
-    for n in [1, 2, 5, 6, 7, 12, 13, 30, 47, 48, 100, 101, 333, 1000]:
-        for _ in range(20):
-            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
-            least = -(-85 * n // 100)
-            keep = rng.integers(least, n + 1)
-            extra = max(0, int((100 * keep - 85 * n) // 85)) if keep < n else int(keep * 15 // 85)
-            b = np.concatenate([a[:keep], rng.integers(0, 1 << 63, rng.integers(0, extra + 1)).astype(np.uint64)])
-            inter, union = keep, n + len(b) - keep
-            if 100 * inter >= 85 * union:
-                x, y = ngram_join.fingerprints(np.sort(a), steps), ngram_join.fingerprints(np.sort(b), steps)
-                assert len(np.intersect1d(x, y)), (n, len(b), keep)
+    for num, den in ((85, 100), (80, 100), (50, 100)):
+        bounds = ngram_join.Bounds(num, den)
+        for small in [*range(1, 60), 99, 100, 101, 333, 1000]:
+            for large in range(small, small * den // num + 2):
+                least = -(-num * (small + large) // (num + den))
+                if least > small or den * least < num * (small + large - least):
+                    continue
+                n = np.array([small, large])
+                assert (n - least < bounds.first(n)).all() and small - least < bounds.first_small(n)[0]
+                step = bounds.step(n)
+                assert step[1] == step[0] or step[1] == step[0] + 1 and bounds.meets_below(n, step)[1]
+
+
+def test_overlaps_and_labels():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.integers(0, 400, rng.integers(0, 90))).astype(np.uint64) for _ in range(k)] for k in (70, 50))
+    assert (ngram_join.overlaps(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+    assert ngram_join.overlaps(a, []).shape == (70, 0)
+    assert components.least_linked(np.array([1, 1, 4, 6]), np.array([3, 5, 5, 7]), 9).tolist() == [0, 1, 2, 1, 1, 1, 6, 6, 8]
 
 
 # Language model
