@@ -6,6 +6,8 @@ Patterns that oracles check stay in the common subset of Java's and RE2's regula
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,9 +60,15 @@ PRODUCT_TAGS = [
     ("deodorant", r"(?i)\bdeodorant\b|\bantiperspirant\b"),
     ("cleanser", r"(?i)\bcleanser\b|\bfacial\s+wash\b|\bcleansing\b"),
     ("toner", r"(?i)\btoner\b"),
-    ("gel", r"(?i)\bgel\b|\bshower\s+(gel|bath)\b"),
+    ("gel", r"(?i)\bgel\b|\bshower\s+(?:gel|bath)\b"),
 ]
 
+#: Of each tag's pattern, lower-cased pieces of which every match holds one.
+TAG_WORDS = {
+    "baby": ["baby"], "anti_dandruff": ["dandruff"], "shampoo": ["sham"], "conditioner": ["condition", "leave"], "cream": ["cream"], "lotion": ["lotion"], "soap": ["soa", "cleaner"],
+    "sunscreen": ["sunscreen", "solar", "suntan", "spf"], "makeup": ["make", "lipstick", "lip"], "deodorant": ["deodorant", "antiperspirant"], "cleanser": ["cleans", "facial"], "toner": ["toner"], "gel": ["gel", "shower"],
+}
+
 # The signs of a formula in a chunk.
 FORMULA_SIGNS = {
     "keyword": r"(?i)\b(ingredient|ingredients|inqredient|raw materials|formula|formulation|procedure|parts|recipe|wt\.?|w/w)\b",
@@ -137,8 +145,12 @@ def tokens(text: Column) -> Column:
 
 
 def product_tags(text: Column) -> Column:
-    """array<string> of the tags whose pattern the text has."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(t)) for t, p in PRODUCT_TAGS]))
+    """array<string> of the tags whose pattern the text has.
+
+    Patterns run only on texts with one of the pattern's words (`TAG_WORDS`), which is a plain search."""
+    low = F.lower(text)
+    has = lambda t: reduce(or_, [low.contains(w) for w in TAG_WORDS[t]])
+    return F.array_compact(F.array(*[F.when(has(t) & text.rlike(p), F.lit(t)) for t, p in PRODUCT_TAGS]))
 
 
 def is_formula(text: Column) -> Column:
