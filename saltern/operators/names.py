@@ -111,10 +111,11 @@ def ocr_summary(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count_if(count > 0).alias("documents_with_ocr"), F.coalesce(F.sum(F.when(count > 0, count)), F.lit(0)).alias("total_ocr_pages"))
 
 
-def resolve_totals(aliases: DataFrame, sure: float = 0.75) -> DataFrame:
-    """One row: materials that have a name, and those that someone should look at."""
-    named = F.col("canonical_name").isNotNull()
-    return aliases.agg(F.count_if(named).alias("resolved"), F.count_if(~named | (F.coalesce("confidence", F.lit(0.0)) < sure)).alias("needs_review"))
+def resolve_totals(aliases: DataFrame, sure: float = 0.7) -> DataFrame:
+    """One row: materials with a sure (or manual) name, and all others, which someone should look at."""
+    manual = F.col("source").eqNullSafe("manual") if "source" in aliases.columns else F.lit(False)
+    good = F.col("canonical_name").isNotNull() & (manual | (F.coalesce("confidence", F.lit(0.0)) >= sure))
+    return aliases.agg(F.count_if(good).alias("resolved"), F.count_if(~good).alias("needs_review"))
 
 
 def corpus_names(lines: DataFrame) -> DataFrame:
@@ -130,6 +131,6 @@ def by_route(results: DataFrame) -> DataFrame:
 def price_sample(costs: DataFrame) -> DataFrame:
     """One row: priced recipes, their share and mean price, and the upper middle of their coverage."""
     priced = costs.filter("cost_per_kg IS NOT NULL")
-    middle = F.element_at(F.sort_array(F.collect_list("covered_percent")), (F.floor(F.count("*") / 2) + 1).cast("int"))
+    middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY covered_percent DESC)")  # of an even number, the upper one
     out = priced.agg(F.count("*").alias("priced"), F.avg("cost_per_kg").alias("mean_cost_per_kg"), F.when(F.count("*") > 0, middle).alias("median_coverage"))
     return out.crossJoin(costs.agg(F.count("*").alias("sampled"))).withColumn("share_priced", F.when(F.col("sampled") > 0, F.col("priced") / F.col("sampled")).otherwise(0.0))

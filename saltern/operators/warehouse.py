@@ -3,55 +3,82 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from saltern.functions.arabic import ARABIC_NAMES
 from saltern.functions.text import SPACES, arabic_key, canonical_key, has_arabic, ingredient_name
 from saltern.operators.catalog import best
 
-# Rows of an upload that are no materials.
-SKIP = r"(?i)^(\d+([.,]\d+)?|balance|total|payment|opening balance|closing balance|null|none|n/?a|-+)$"
+# What names rows of an upload that are no materials, and names that stand for none.
+SKIP = r"(?i)رصيد|دفعة|فاتورة|خصم|إجمالي|مجموع|تسوية|بدل\s*تلف|balance|payment|invoice|total|opening"
+NO_NAMES = ["nan", "none", "null", "-"]
+# Headers of an upload's name, quantity and stock-keeping columns.
+NAME_HEADER = r"(?i)^(material|ingredient|name|description|item|product|raw|component|بيان|البيان|المادة|الصنف|المنتج|اسم|الوصف)s?$"
+QTY_HEADER = r"(?i)^(qty|quantity|amount|stock|الكمية|كمية)$"
+SKU_HEADER = r"(?i)^(sku|code|id|item_?code|الكود|كود)$"
+HEADER_ROW = r"(?i)بيان|المادة|material|ingredient|description|الصنف"
+# Confidences of resolved names by stage (the fuzzy ones at most so much).
+ARABIC_EXACT, ARABIC_FUZZY, RULES, CORPUS = 0.93, 0.88, 0.95, 0.92
 #: Rows of an upload that are kept, by default.
 MAX_ROWS = 2000
 
 
+def upload_key(raw: Column) -> Column:
+    """What tells materials of an upload apart: the name, trimmed in lower case, with Arabic letters folded."""
+    name = F.btrim(raw, F.lit(SPACES))
+    return F.lower(F.when(has_arabic(raw), arabic_key(raw)).otherwise(name))
+
+
+def is_material(name: Column) -> Column:
+    """Whether a trimmed name of an upload is a material, and no total, payment or number."""
+    return (F.char_length(name) >= 2) & ~F.lower(name).isin(NO_NAMES) & ~name.rlike(SKIP) & ~name.rlike("^[0-9]+$")
+
+
 def merge_upload(rows: DataFrame, max_rows: int | None = MAX_ROWS) -> DataFrame:
-    """One row for each canonical name of ``rows`` (pos, raw_name, sku, qty as text): the first
+    """One row for each `upload_key` of ``rows`` (pos, raw_name, sku, qty as text): the first
     spelling, the first sku, the sum of quantities (null if none is a number)."""
-    own = rows.filter((F.btrim("raw_name", F.lit(SPACES)) != "") & ~F.btrim("raw_name", F.lit(SPACES)).rlike(SKIP))
+    name = F.btrim("raw_name", F.lit(SPACES))
+    own = rows.filter(F.coalesce(is_material(name), F.lit(False)))
     qty = F.replace(F.col("qty").cast("string"), F.lit(","), F.lit("")).try_cast("double")
-    own = own.select("pos", F.btrim("raw_name", F.lit(SPACES)).alias("raw_name"), F.when(F.btrim("sku") != "", F.btrim("sku")).alias("sku"), qty.alias("qty"), canonical_key(F.col("raw_name")).alias("key"))
+    own = own.select("pos", name.alias("raw_name"), F.when(F.btrim("sku") != "", F.btrim("sku")).alias("sku"), qty.alias("qty"), upload_key(F.col("raw_name")).alias("key"))
     out = own.groupBy("key").agg(F.min(F.struct("pos", "raw_name")).alias("first"), F.min(F.when(F.col("sku").isNotNull(), F.struct("pos", "sku"))).alias("s"), F.sum("qty").alias("qty"))
     out = out.select("key", F.col("first.raw_name").alias("raw_name"), F.col("s.sku").alias("sku"), "qty")
     return out if max_rows is None else out.orderBy("raw_name", "key").limit(max_rows)
 
 
-def name_column(columns: list[str], sample: dict[str, list[str]] | None = None) -> str:
-    """The column of an upload that holds names: by its header, else by Arabic text, else the first."""
-    import re
-
-    for c in columns:
-        if re.search(r"(?i)\b(material|ingredient|item|product|name|description|inci)\b|المادة|الصنف|اسم", c):
-            return c
+def name_column(columns: list[str]) -> str:
+    """The column of an upload that holds names: by its header, else one with an Arabic header, else the first."""
     for c in columns:
-        if any(re.search("[؀-ۿ]", v or "") for v in (sample or {}).get(c, [])):
+        if re.search(NAME_HEADER, c.strip()):
             return c
-    return columns[0]
+    return next((c for c in columns if re.search("[\u0600-\u06ff]", c)), columns[0])
+
+
+def optional_column(columns: list[str], header: str) -> str | None:
+    return next((c for c in columns if re.search(header, c.strip())), None)
 
 
 def _ratio(a: str, b: str) -> float:
-    """100 times twice the longest common subsequence over both lengths."""
+    """100 times twice the longest common subsequence over both lengths.
+
+    The subsequence's length comes from a whole row of the table at a time, as the bits of one
+    integer: a bit is cleared where the length grows."""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for k, y in enumerate(b, 1):
-            left, row[k] = row[k], left + 1 if x == y else max(row[k], row[k - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    places: dict[str, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = (row + hit | row - hit) & full
+    return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
 def set_ratio(a: str, b: str) -> float:
@@ -158,15 +185,22 @@ def fuzzy_match(names: DataFrame, known: DataFrame, threshold: float = 82.0, sco
     return best(scored, ["name"], [F.col("score").desc(), F.col("match")])
 
 
-def resolve(materials: DataFrame, overrides: DataFrame, arabic: DataFrame, corpus: DataFrame, arabic_threshold: float = 88.0, corpus_threshold: float = 82.0, vectors: DataFrame | None = None) -> DataFrame:
-    """(material_id, canonical_name, source, confidence), by the first stage that knows the name:
-    override, Arabic dictionary (exact, then fuzzy), rules, names of the corpus, embeddings.
+def arabic_names(spark: SparkSession) -> DataFrame:
+    """(key, canonical_name): the dictionary of Arabic trade names."""
+    return spark.createDataFrame(list(ARABIC_NAMES.items()), "key string, canonical_name string")
+
+
+def resolve(materials: DataFrame, overrides: DataFrame, arabic: DataFrame | None, corpus: DataFrame, arabic_threshold: float = 88.0, corpus_threshold: float = 82.0, vectors: DataFrame | None = None) -> DataFrame:
+    """(material_id, raw_name, canonical_name, source, confidence), by the first stage that knows the
+    name: override, Arabic dictionary (exact, then fuzzy), rules, names of the corpus, embeddings.
+    A name that no stage knows has nulls.
 
-    ``overrides``: key, canonical_name; ``arabic``: key, canonical_name; ``corpus``: match;
-    ``vectors``: raw_name, canonical_name, similarity, already filtered by its own threshold. Rules
-    resolve every name that is not Arabic, so the later stages see Arabic names alone.
+    ``overrides``: key, canonical_name; ``arabic`` (None: `arabic_names`): key, canonical_name;
+    ``corpus``: match; ``vectors``: raw_name, canonical_name, similarity, already filtered by its own
+    threshold. Rules resolve every name that is not Arabic, so the later stages see Arabic names alone.
     """
-    own = materials.select(F.col("id").alias("material_id"), "raw_name", F.lower(F.btrim("raw_name", F.lit(SPACES))).alias("key"), arabic_key(F.col("raw_name")).alias("ar"))
+    arabic = arabic_names(materials.sparkSession) if arabic is None else arabic
+    own = materials.select(F.col("id").alias("material_id"), "raw_name", F.lower(F.btrim("raw_name", F.lit(SPACES))).alias("key"), F.lower(arabic_key(F.col("raw_name"))).alias("ar"))
     out = own.join(overrides.select("key", F.col("canonical_name").alias("c0")), "key", "left")
     out = out.join(arabic.select(F.col("key").alias("ar"), F.col("canonical_name").alias("c1")), "ar", "left")
     left = own.filter(has_arabic(F.col("raw_name"))).select(F.col("ar").alias("name"))
@@ -179,8 +213,11 @@ def resolve(materials: DataFrame, overrides: DataFrame, arabic: DataFrame, corpu
     else:
         out = out.withColumns({"c5": F.lit(None).cast("string"), "s5": F.lit(None).cast("double")})
     rules = F.when(~has_arabic(F.col("raw_name")), F.nullif(ingredient_name(F.col("raw_name")), F.lit("")))
-    stages = [("override", "c0", F.lit(1.0)), ("arabic", "c1", F.lit(0.95)), ("arabic", "c2", F.col("s2") / 100), ("rules", rules, F.lit(0.9)), ("fuzzy", "c4", F.col("s4") / 100), ("embedding", "c5", F.col("s5"))]
-    pick = F.coalesce(*[F.when((F.col(c) if isinstance(c, str) else c).isNotNull(), F.struct((F.col(c) if isinstance(c, str) else c).alias("canonical_name"), F.lit(s).alias("source"), v.cast("double").alias("confidence"))) for s, c, v in stages])
+    stages = [
+        ("override", F.col("c0"), F.lit(1.0)), ("arabic", F.col("c1"), F.lit(ARABIC_EXACT)), ("arabic", F.col("c2"), F.least(F.lit(ARABIC_FUZZY), F.col("s2") / 100)),
+        ("rules", rules, F.lit(RULES)), ("corpus", F.col("c4"), F.least(F.lit(CORPUS), F.col("s4") / 100)), ("embedding", F.col("c5"), F.col("s5")),
+    ]
+    pick = F.coalesce(*[F.when(c.isNotNull(), F.struct(canonical_key(c).alias("canonical_name"), F.lit(s).alias("source"), v.cast("double").alias("confidence"))) for s, c, v in stages])
     return out.select("material_id", "raw_name", pick.alias("x")).select("material_id", "raw_name", "x.canonical_name", "x.source", "x.confidence")
 
 
@@ -233,8 +270,19 @@ def coverage_lists(lines: DataFrame, stock: DataFrame, threshold: float | None =
     return own.groupBy("formulation_id").agg(pick(F.col("held")).alias("matched"), pick(~F.col("held")).alias("missing"))
 
 
+# Names of formulations that are none.
+JUNK_FORMULATION = r"(?i)^(wt\s*%|wt%|\d+\.?\d*\s*%|formulation\s*\d*|page\s*\d+|cosmetic and toiletry formulations\s*$)"
+
+
+def is_junk_formulation(name: Column) -> Column:
+    """Whether a formulation's name is too short, a number or a page's heading; null counts as short."""
+    own = F.btrim(F.coalesce(name, F.lit("")), F.lit(SPACES))
+    return (F.char_length(own) < 5) | own.rlike(JUNK_FORMULATION) | own.rlike("^[0-9]+$")
+
+
 def discover(covered: DataFrame, formulations: DataFrame, costs: DataFrame, min_coverage: float = 50.0, limit: int = 100) -> DataFrame:
-    """What can be made, best first: tier, coverage, cost (unknown last), name."""
+    """What can be made, best first: tier, coverage, cost (unknown last), name. Junk names are left out."""
+    formulations = formulations.filter(~is_junk_formulation(F.col("name")))
     rows = covered.filter(F.col("coverage_pct") >= min_coverage).join(formulations, covered["formulation_id"] == formulations["id"]).join(costs, "formulation_id", "left")
     rank = F.when(F.col("tier") == "makeable", 0).when(F.col("tier") == "partial", 1).otherwise(2)
     return rows.orderBy(rank, F.col("coverage_pct").desc(), F.coalesce("cost_per_kg", F.lit(1e9)), F.lower("name"), "id").limit(limit)

@@ -162,9 +162,9 @@ def test_structured_search(spark):
 
 
 def test_warehouse(spark):
-    up = spark.createDataFrame([(0, " SLS ", None, "1,000"), (1, "Sodium lauryl sulfate", "S1", "2"), (2, "Total", None, "5"), (3, "Glycerine", None, "x")], "pos long, raw_name string, sku string, qty string")
+    up = spark.createDataFrame([(0, " SLS ", None, "1,000"), (1, "Sodium lauryl sulfate", "S1", "2"), (2, "Total", None, "5"), (3, "Glycerine", None, "x"), (4, "sls", "S2", "1"), (5, "Payment received", None, "1"), (6, "أكواجل", None, "1"), (7, "اكواجل ", None, "2"), (8, "12", None, "1"), (9, "رصيد افتتاحي", None, "1")], "pos long, raw_name string, sku string, qty string")
     got = {r["key"]: (r["raw_name"], r["sku"], r["qty"]) for r in warehouse.merge_upload(up).collect()}
-    assert got == {"sodium lauryl sulfate": ("SLS", "S1", 1002.0), "glycerin": ("Glycerine", None, None)}
+    assert got == {"sls": ("SLS", "S2", 1001.0), "sodium lauryl sulfate": ("Sodium lauryl sulfate", "S1", 2.0), "glycerine": ("Glycerine", None, None), "اكواجل": ("أكواجل", None, 3.0)}
     stock = spark.createDataFrame([("water",), ("glycerin",)], "name string")
     cover = warehouse.coverage(lines(spark, [("f", "Water", 1.0, "%"), ("f", "Glycerin", 1.0, "%"), ("f", "Wax", 1.0, "%")]), stock).first()
     assert (cover["counted"], cover["coverage_pct"], cover["tier"]) == (2, 50.0, "partial")
@@ -173,6 +173,12 @@ def test_warehouse(spark):
     mats = spark.createDataFrame([(1, "جليسرين"), (2, "Parfum"), (3, "Mystery")], "id long, raw_name string")
     out = {r["material_id"]: (r["canonical_name"], r["source"]) for r in warehouse.resolve(mats, spark.createDataFrame([("mystery", "water")], "key string, canonical_name string"), arabic, spark.createDataFrame([("glycerin",)], "match string")).collect()}
     assert out == {1: ("glycerin", "arabic"), 2: ("fragrance", "rules"), 3: ("water", "override")}
+    names = spark.createDataFrame([(1, "توين 20"), (2, "توين 200"), (3, "Parfum"), (4, "مادة مجهولة تماما")], "id long, raw_name string")
+    out = {r["material_id"]: (r["canonical_name"], r["source"], r["confidence"]) for r in warehouse.resolve(names, spark.createDataFrame([], "key string, canonical_name string"), None, spark.createDataFrame([("glycerin",)], "match string")).collect()}
+    assert out == {1: ("polysorbate 20", "arabic", 0.93), 2: ("polysorbate 20", "arabic", 0.88), 3: ("fragrance", "rules", 0.95), 4: (None, None, None)}
+    junk = spark.createDataFrame([("Wt %",), ("12 %",), ("Page 12",), ("abc",), (None,), ("Baby Shampoo",)], "n string").select(warehouse.is_junk_formulation(F.col("n"))).collect()
+    assert [r[0] for r in junk] == [True] * 5 + [False]
+    assert warehouse.name_column(["qty", "الصنف"]) == "الصنف" and warehouse.name_column(["a", "Ingredients"]) == "Ingredients" and warehouse.optional_column(["x", "Item_Code"], warehouse.SKU_HEADER) == "Item_Code"
 
 
 def test_follow_ups(spark):

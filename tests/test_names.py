@@ -23,7 +23,7 @@ def test_signals_and_types(spark):
 
 def test_reports(spark):
     assert tuple(N.ocr_summary(spark.createDataFrame([("a", 3), ("b", 0), ("c", None)], "doc_id string, ocr_pages_count int")).first()) == (1, 3)
-    assert tuple(N.resolve_totals(spark.createDataFrame([("water", 0.9), ("wax", 0.5), (None, None)], "canonical_name string, confidence double")).first()) == (2, 2)
+    assert tuple(N.resolve_totals(spark.createDataFrame([("water", 0.9), ("wax", 0.5), (None, None)], "canonical_name string, confidence double")).first()) == (1, 2)
     out = N.price_sample(spark.createDataFrame([(1.0, 0.1), (2.0, 0.2), (None, 0.0)], "cost_per_kg double, covered_percent double")).first()
     assert (out["priced"], out["median_coverage"], out["sampled"]) == (2, 0.2, 3)
     assert N.price_sample(spark.createDataFrame([], "cost_per_kg double, covered_percent double")).first()["share_priced"] == 0.0
