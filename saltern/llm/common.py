@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saltern.sources.shared import delete, drop_written, exists, new_path, shared_dir, written
+
+__all__ = ["delete", "drop_written", "exists", "new_path", "shared_dir", "written"]
+
 #: `[\x20\x09-\x0D]`, the white space of every contract here.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -18,43 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local master may run without the setting; it then gets a folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        found = tempfile.mkdtemp(prefix="saltern-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/saltern/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.saltern_path = path
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete a table of `written` that nothing reads any more."""
-    path = getattr(df, "saltern_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", by: str = "node", salts: int = 16) -> DataFrame:
     """Join where one key may hold much of ``left`` and ``right`` has one row a key: each row of
     ``right`` goes to ``salts`` tasks, and ``left`` is dealt among them by ``by``."""
