@@ -4,7 +4,9 @@ Each row arrives as (locator, id, digest, length); the locator is the file and r
 its text. A streaming aggregation keyed by digest keeps, in a RocksDB state store without expiry,
 the number of rows and the stable row: most code points, then smallest id, then first locator.
 The state lives on the executors' disks and in the shared folder, so a later run with the same
-``state_dir`` takes up only the new arrivals. On hits, that is digests with more than one row, the
+``state_dir`` takes up only the new arrivals: rows whose locators have not arrived yet. So a run
+that failed, before or after its arrivals were written, is simply tried again. (Input that is not
+read from files gets locators of its own in each run, and so arrives anew.) On hits, that is digests with more than one row, the
 rows' whole normalised texts are read again through their locators and the smallest and largest
 text of each digest are compared byte by byte; as both are pre-aggregated before the shuffle, a hot
 group sends one row a task. Rows of a digest with different texts are grouped by their texts.
@@ -16,17 +18,21 @@ and text are not looked at. Everything is DataFrame operations.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltern.llm.common import drop_written, new_path, written
+from saltern.llm.common import delete, drop_written, exists, new_path, written
 
 #: The state store. Without the second setting, RocksDB sets 4 MB of disk aside for each state
-#: partition's manifest, however small the partition.
+#: partition's manifest, however small the partition; the others bound its memory in an executor.
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 #: A micro-batch takes up so many arrival files at most.
 FILES_PER_TRIGGER = 10_000
@@ -100,13 +106,16 @@ def _decide(rows: DataFrame, digest, state_dir: str, reread) -> DataFrame:
     spark = rows.sparkSession
     own, points = normalised(F.col("text")), F.char_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
     new = rows.select(F.col("saltern_at").alias("at"), "id", digest(own).alias("digest"), points.alias("points"))
+    if exists(spark, f"{state_dir}/arrivals"):  # a row arrives once, however often a run is tried again
+        known = spark.read.schema(new.schema).parquet(f"{state_dir}/arrivals").select(F.col("at").alias("known"))
+        new = new.join(known, spot("at").eqNullSafe(spot("known")) & (F.col("at") == F.col("known")), "left_anti")
     new.write.mode("append").parquet(f"{state_dir}/arrivals")
     arrivals = spark.read.schema(new.schema).parquet(f"{state_dir}/arrivals")
     state = _stream(spark, f"{state_dir}/arrivals", new.schema, state_dir)
 
     files = arrivals.select("at.file").distinct().join(rows.select("saltern_at.file").distinct(), "file", "left_anti")
     if earlier := [r["file"] for r in files.collect()]:  # as many as the scan's own file listing holds
-        rows = rows.unionByName(reread(earlier))
+        rows = rows.unionByName(reread([unquote(f) for f in earlier]))  # locators name files as URLs do
     hits = _hit_texts(rows, arrivals, state)
     bounds = hits.groupBy("digest").agg(F.min("own").alias("low"), F.max("own").alias("high"))
     differing = written(bounds.filter("low <> high").select("digest"), "dedup-differing")
@@ -137,6 +146,8 @@ def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=s
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
     """``docs`` without the rows that are copies of the one that stays."""
-    rows = located(docs)
-    found = _decide(_columns(rows, key, text), digest, new_path(docs.sparkSession, "dedup"), None)
-    return without(rows, found.filter(~F.col("kept")), docs.columns)
+    rows, state_dir = located(docs), new_path(docs.sparkSession, "dedup")
+    found = _decide(_columns(rows, key, text), digest, state_dir, None)
+    out = without(rows, found.filter(~F.col("kept")), docs.columns)
+    delete(docs.sparkSession, state_dir)  # the decisions are written by now
+    return out

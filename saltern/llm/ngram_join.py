@@ -44,11 +44,13 @@ from saltern.llm.components import components, least_linked
 from saltern.llm.exact_dedup import located, spot, without
 from saltern.llm.packing import expand, mix as _mix, runs as _runs, squeeze
 
-ROWS, COLUMNS = 1024, 4096
+ROWS, COLUMNS = 1024, 2048
+#: Entries of sparse outer products that are added at once (and one row's more).
+PRODUCTS = 1_000_000
 #: Bytes of the sets in one row block of a tile, on average, and its rows.
 TILE_BYTES, TILE_ROWS = 4 << 20, 8192
 #: N-grams of the texts that are packed together, and of one bucket, on average.
-FLUSH, PER_BUCKET = 1_000_000, 2_000_000
+FLUSH, PER_BUCKET = 500_000, 1_000_000
 #: Rows up to which the members of candidate components (about 80 bytes each) are broadcast to the
 #: second scan of the texts; with more, the scan's rows are shuffled to them.
 BROADCAST_ROWS = 400_000
@@ -244,12 +246,14 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         in_a, in_b = np.flatnonzero(sparse[at_a]), np.flatnonzero(sparse[at_b])
         in_a, in_b = in_a[np.argsort(at_a[in_a], kind="stable")], in_b[np.argsort(at_b[in_b], kind="stable")]
         ends_b = np.cumsum(np.where(sparse, count_b, 0))
-        of_a = at_a[in_a]
-        times = count_b[of_a]
-        x = np.repeat(row_a[in_a], times)
-        within = np.arange(len(x)) - np.repeat(np.cumsum(times) - times, times)
-        y = row_b[in_b][np.repeat(ends_b[of_a] - times, times) + within]
-        out += np.bincount(x * len(b) + y, minlength=out.size).reshape(out.shape)
+        upto = np.cumsum(count_b[at_a[in_a]])
+        cuts = np.searchsorted(upto, np.arange(PRODUCTS, upto[-1] + PRODUCTS, PRODUCTS), side="left") + 1
+        for low, high in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+            part = in_a[low:high]
+            times = count_b[at_a[part]]
+            within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            y = row_b[in_b][np.repeat(ends_b[at_a[part]] - times, times) + within]
+            out += np.bincount(np.repeat(row_a[part], times) * len(b) + y, minlength=out.size).reshape(out.shape)
     number = np.cumsum(full) - 1
     keep_a, keep_b = full[at_a], full[at_b]
     row_a, at_a, row_b, at_b = row_a[keep_a], number[at_a[keep_a]], row_b[keep_b], number[at_b[keep_b]]
@@ -376,26 +380,31 @@ def _join(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     )
     work = sets.select("component", "unit", "side", "node", "copies", "own", F.explode(tiles).alias("t")).select("t.*", "component", "unit", "side", "node", "copies", "own")
     links = written(work.groupBy("component", "lu", "li", "ru", "ri").applyInArrow(_tile(num, den), "a long, b long, links long"), "join-links")
-    for done in (near, large, wanted):
-        drop_written(done)
+    drop_written(near, large, wanted)
 
     joined = components(links.filter("b IS NOT NULL"))
     counted = links.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
-    linked = written(classes.select("cls", "node", "copies", "least").join(joined, "node").join(counted, "node", "left"), "join-linked")
+    linked = kept = written(classes.select("cls", "node", "copies", "least").join(joined, "node").join(counted, "node", "left"), "join-linked")
     drop_written(links)
     ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = spread_join(linked, ids, "component").select("cls", "component", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     alone = classes.filter("copies > 1").join(linked.select("cls"), "cls", "left_anti").select("cls", F.col("node").alias("component"), F.col("least").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
     out = base.select("at", "id", "n", "cls", "node").join(linked.unionByName(alone), "cls", "left")
     component, component_id = (F.when(F.col("n_links").isNull(), F.col(single)).otherwise(F.col(found)) for single, found in (("node", "component"), ("id", "component_id")))
-    return out.select("at", "id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNotNull(), component).alias("component"), component_id.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "node")
+    out = out.select("at", "id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNotNull(), component).alias("component"), component_id.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "node")
+    out.saltern_tables = [flushes, classes, kept]
+    return out
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row of each component: the smallest id, then the first row. Rows without
     n-grams stay."""
     rows = located(docs)
-    found = written(_join(_columns(rows, key, text), n, num, den).filter("n_links > 0").select("at", "id", "component", "node"), "join-found")
+    every = _join(_columns(rows, key, text), n, num, den)
+    found = written(every.filter("n_links > 0").select("at", "id", "component", "node"), "join-found")
+    drop_written(*every.saltern_tables)
     first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node", "at")).alias("x"))
     gone = spread_join(found, first, "component").filter(F.col("at") != F.col("x.at")).select("at")
-    return without(rows, gone, docs.columns)
+    out = without(rows, gone, docs.columns)
+    drop_written(found)
+    return out
