@@ -3,8 +3,8 @@
 Documents are leaves of a domain-language-source tree. A node's budget goes to its children in
 proportion to their weights, no child getting more than its subtree can give (its tokens times
 ``max_epochs``); what a child cannot take goes to its siblings, so a shortage is made up among
-siblings first, and reaches other subtrees only through a parent that is itself exhausted. Each
-leaf then takes whole seeded epochs and, of the next epoch, the longest prefix in seeded order
+siblings first, and reaches other subtrees only through a parent that is itself exhausted. A leaf with a weight of 0 at any level can take nothing, and no node above it counts on
+it. Each leaf then takes whole seeded epochs and, of the next epoch, the longest prefix in seeded order
 whose tokens fit: documents whose hash does not exceed the leaf's cutoff.
 
 Only leaf totals meet in windows. The cutoff comes from totals of ``SLICES`` hash slices a leaf and
@@ -19,6 +19,9 @@ takes everything ``max_epochs`` times. Columns that the result adds replace thos
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,11 +76,12 @@ def fill(children: DataFrame, parent: list[str], own: str) -> DataFrame:
 def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]] | None = None, fraction: float = 0.5, total: int | None = None, max_epochs: int = 3) -> DataFrame:
     """``leaves`` (domain, lang, source, supply) with ``budget`` (tokens), ``epochs`` (whole ones) and ``rest``."""
     weights = weights or {}
-    leaves = leaves.withColumn("cap", (F.col("supply") * max_epochs).cast("double"))
+    usable = reduce(and_, [_weight(level, weights) > 0 for level in LEVELS])
+    leaves = leaves.withColumn("cap", F.when(usable, F.col("supply") * max_epochs).otherwise(0).cast("double"))
     root = leaves.agg(F.sum("cap").alias("cap"), F.sum("supply").alias("supply")).select(F.least("cap", F.lit(float(total)) if total is not None else F.floor(F.col("supply") * F.lit(float(fraction))).cast("double")).alias("budget"))
     parent, above = [], root
     for depth, level in enumerate(LEVELS):
-        nodes = leaves.groupBy(*parent, level).agg(F.sum("cap").alias("cap")).withColumn("weight", _weight(level, weights))
+        nodes = leaves.filter("cap > 0").groupBy(*parent, level).agg(F.sum("cap").alias("cap")).withColumn("weight", _weight(level, weights))
         nodes = nodes.join(above, parent) if parent else nodes.crossJoin(F.broadcast(above))  # the root is one row
         parent = [*parent, level]
         above = fill(nodes, parent[:-1] or [F.lit(0)], level).select(*parent, F.col("share").alias("budget"))
