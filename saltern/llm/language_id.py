@@ -8,10 +8,13 @@ common n-grams, the landmarks' weights fold into one matrix of n-gram by languag
 texts is scored by one product of its presence matrix with that matrix.
 
 Bounds: the sample holds at most ``PER_LANG`` texts a language and ``MAX_SAMPLE`` in all, taken in
-the order of a hash of the id; it is all that reaches the driver. Every text is scored whole.
+the order of a hash of the id; their distinct n-grams are all that reaches the driver. Presence
+matrices, of the sample as of texts to score, are made in blocks of ``CELLS`` cells. Every text is
+scored whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. Rows whose id or
-lang is null are not learned from. Without anything to learn from, every text is ``und``. Of
+lang is null are not learned from; of an id with several texts in one language, the greatest is
+learned from, once. Without anything to learn from, every text is ``und``. Of
 equally likely languages, the first in alphabetical order is taken. Repeated rows each get a row.
 """
 
@@ -30,6 +33,7 @@ from saltern.llm.common import in_training
 
 MAX_N = 3
 PER_LANG, MAX_SAMPLE, LANDMARKS, RIDGE, SHARPNESS = 300, 3000, 256, 1e-2, 6.0
+CELLS = 8 << 20
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -55,10 +59,22 @@ def _distinct_grams(points: np.ndarray) -> int:
     return total
 
 
+def presence(text: str) -> np.ndarray:
+    """A text's distinct n-grams, n = 1 to MAX_N: characters of 21 bits, the first lowest, from 1 on."""
+    points = _points(text) + 1
+    out, grams = [np.unique(points)], points
+    for n in range(2, MAX_N + 1):
+        grams = grams[:-1] | (points[n - 1 :] << (21 * (n - 1)))
+        out.append(np.unique(grams))
+    return np.concatenate(out)
+
+
 class Model:
     """Weights by n-gram and language, and the alphabet that codes n-grams."""
 
-    def __init__(self, texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+    def __init__(self, samples: list, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+        """samples: texts, or what `presence` gives for them."""
+        samples = [presence(x) if isinstance(x, str) else x for x in samples]
         self.langs = sorted(set(langs))
         rank: dict[str, int] = {}
         order = []
@@ -66,17 +82,27 @@ class Model:
             rank[lang] = rank.get(lang, 0) + 1
             order.append((rank[lang], lang, i))
         chosen = [i for _, _, i in sorted(order)[:landmarks]]  # round robin over languages
-        points = [_points(t) for t in texts]
-        alphabet = np.unique(np.concatenate([points[i] for i in chosen])) if chosen else np.zeros(0, np.int64)
-        self.alphabet, self.size = alphabet, len(alphabet) + 1
-        coded = [self._grams(p) for p in points]
-        self.columns = np.unique(np.concatenate([coded[i] for i in chosen])) if chosen else np.zeros(0, np.int64)
-        own = np.array([max(1, _distinct_grams(p)) for p in points], float)
-        x = np.zeros((len(texts), len(self.columns)), np.float32)
-        for row, grams in zip(x, coded, strict=True):
-            row[self._columns_of(grams)] = 1
-        m = x[chosen]
-        kernel = (x @ m.T).astype(float) / np.sqrt(own[:, None] * own[chosen][None, :])
+        held = np.unique(np.concatenate([samples[i] for i in chosen])) if chosen else np.zeros(0, np.int64)
+        self.alphabet = held[held < 1 << 21] - 1
+        self.size = len(self.alphabet) + 1
+        codes = self._codes(held)
+        by_code = np.argsort(codes)
+        self.columns, column_of = codes[by_code], np.argsort(by_code)
+        own = np.array([max(1, len(x)) for x in samples], float)
+        at = []
+        for x in samples:
+            k = np.minimum(np.searchsorted(held, x), max(0, len(held) - 1))
+            at.append(column_of[k[held[k] == x]] if len(held) else k[:0])
+        kernel, m = np.zeros((len(samples), len(chosen))), np.zeros((len(chosen), len(held)), bool)
+        for row, i in enumerate(chosen):
+            m[row, at[i]] = True
+        width = max(1, CELLS // max(1, len(samples)))
+        for low in range(0, len(held), width):
+            x = np.zeros((len(samples), min(width, len(held) - low)), np.float32)
+            for row, c in enumerate(at):
+                x[row, c[(c >= low) & (c < low + width)] - low] = 1
+            kernel += x @ m[:, low : low + width].T.astype(np.float32)
+        kernel /= np.sqrt(own[:, None] * own[chosen][None, :])
         values, vectors = np.linalg.eigh(kernel[chosen])
         good = values > 1e-8 * max(values.max(initial=0), 1e-300)
         to_feature = vectors[:, good] / np.sqrt(values[good])
@@ -87,11 +113,25 @@ class Model:
         mean = np.average(features, axis=0, weights=weight)
         self.bias = np.average(target, axis=0, weights=weight)
         centred = features - mean
-        a = (centred * weight[:, None]).T @ centred + ridge * len(texts) * np.eye(centred.shape[1]) / max(1, centred.shape[1])
+        a = (centred * weight[:, None]).T @ centred + ridge * len(samples) * np.eye(centred.shape[1]) / max(1, centred.shape[1])
         w = np.linalg.solve(a, (centred * weight[:, None]).T @ (target - self.bias))
         self.bias = self.bias - mean @ w
         beta = to_feature @ w
-        self.weights = (m.T.astype(float) @ (beta / np.sqrt(own[chosen])[:, None])).astype(np.float32)
+        beta = (beta / np.sqrt(own[chosen])[:, None]).astype(np.float32)
+        step = max(1, CELLS // max(1, len(chosen)))
+        self.weights = np.concatenate([np.zeros((0, len(self.langs)), np.float32), *[m[:, low : low + step].T.astype(np.float32) @ beta for low in range(0, len(held), step)]])
+
+    def _codes(self, held: np.ndarray) -> np.ndarray:
+        """The model's codes of n-grams that `presence` gives, all of whose characters are known."""
+        mask = (1 << 21) - 1
+        first = np.searchsorted(self.alphabet, (held & mask) - 1) + 1
+        out, n = first.astype(np.int64), np.ones(len(held), np.int64)
+        for k in range(1, MAX_N):
+            point = held >> (21 * k) & mask
+            more = point > 0
+            out = np.where(more, out * self.size + np.searchsorted(self.alphabet, point - 1) + 1, out)
+            n += more
+        return out + np.where(n > 1, (n - 1) * self.size**MAX_N, 0)
 
     def _grams(self, points: np.ndarray) -> np.ndarray:
         """Codes of n-grams whose characters are all in the alphabet, with repeats."""
@@ -124,6 +164,11 @@ class Model:
 
     def score(self, texts: list[str], lookup: np.ndarray | None = None) -> np.ndarray:
         """Texts by languages."""
+        rows = max(1, CELLS // (len(self.columns) + 1))
+        parts = [self._score(texts[k : k + rows], lookup) for k in range(0, len(texts), rows)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.langs)))
+
+    def _score(self, texts: list[str], lookup: np.ndarray | None) -> np.ndarray:
         x = np.zeros((len(texts), len(self.columns) + 1), np.float32)
         own = np.ones(len(texts))
         for k, text in enumerate(texts):
@@ -152,15 +197,23 @@ def fit(df: DataFrame, fold: tuple[int, int] | None = (4, 2), text: str = "text"
     under = F.lit(None).cast("double")
     limits = F.create_map(*[F.lit(x) for lang_, n in counts.items() for x in (lang_, min(1.0, (1.5 * want + 20) / n))])
     under = F.try_element_at(limits, F.col("l"))
-    found = rows.filter(F.col("h") <= under).collect()
-    found.sort(key=lambda r: (r["l"], r["h"], r["k"], r["t"]))
-    texts, langs, taken = [], [], {}
-    for r in found:
-        if taken.get(r["l"], 0) < want and _LETTER.search(r["t"]):
-            taken[r["l"]] = taken.get(r["l"], 0) + 1
-            texts.append(r["t"])
-            langs.append(r["l"])
-    return Model(texts, langs) if texts else None
+    chosen = rows.filter(F.col("h") <= under).groupBy("k", "l").agg(F.max("t").alias("t"), F.first("h").alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("t").to_pylist()
+            good = pa.array([k for k, t in enumerate(texts) if _LETTER.search(t)], pa.int64())
+            grams = [presence(texts[k]) for k in good.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(good) for c in ("l", "h")), pa.array(grams, pa.list_(pa.int64()))], names=["l", "h", "grams"])
+
+    found = chosen.select("l", "h", "t").mapInArrow(run, "l string, h double, grams array<long>").toArrow().sort_by([("l", "ascending"), ("h", "ascending")])
+    samples, langs, taken, column = [], [], {}, found["grams"]
+    for k, lang_ in enumerate(found["l"].to_pylist()):
+        if taken.get(lang_, 0) < want:
+            taken[lang_] = taken.get(lang_, 0) + 1
+            samples.append(column[k].values.to_numpy())
+            langs.append(lang_)
+    return Model(samples, langs) if samples else None
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
