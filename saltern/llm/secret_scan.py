@@ -8,9 +8,11 @@ an identifier (``access`` or ``id``) and a secret (``assign``, ``hex`` or ``secr
 are linked, however far apart, and an endpoint of that scope belongs to them. A scope is a block
 of text without a blank line.
 
-The join is an equi-join on row and scope with the scopes that hold both: rows grow with the
-spans, never with their pairs. Spans of one text stay in an array, which is as large as the text
-at most.
+Of each text only the lengths of matches and of the gaps between them are kept; running sums over
+them give positions, and a running count of blank lines gives scopes, so a text with very many
+spans costs no more than sorting them. The join is an equi-join on row and scope with the scopes
+that hold both: rows grow with the spans, never with their pairs. The spans of one text come back
+as an array, which is as large as the text at most.
 
 Spans are ``kind:start:end`` in code points, the end exclusive. A null text counts as empty; an
 empty text has no spans. Repeated rows, null ids and other columns (dropped, but for the id) are
@@ -19,7 +21,9 @@ fine: rows are told apart by a number given when the spans are written.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saltern.llm.common import written
@@ -45,42 +49,26 @@ KINDS = [*BASE, *WEAK]
 SPANS = "array<struct<start:long,rank:int,end:long,kind:string>>"
 
 
-def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start, rank, end, kind>> of one kind's matches.
+PART = "array<struct<gap:long,len:long,good:boolean>>"
+
 
-    Matches and the pieces between them alternate; running lengths give positions.
-    """
-    pattern = _QUICK.get(kind, pattern)
+def _parts(text: Column, pattern: str, group: int = 0, good: Callable[[Column], Column] | None = None) -> Column:
+    """For each match the length of the gap before it, its own length, and whether it counts."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     value = F.regexp_extract_all(text, F.lit(pattern), group) if group else found
-    good = lambda m, v: F.char_length(v) >= least
-    if kind == "secret":
-        good = lambda m, v: v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.char_length(x["gap"])
-        end = begin + F.char_length(x["m"])
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(good(x["m"], x["v"]), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
     parts = F.arrays_zip(found.alias("m"), value.alias("v"), F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"))
-    parts = F.transform(parts, lambda x: F.struct(x["m"].alias("m"), x["v"].alias("v"), x["gap"].alias("gap")))
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPANS))
-
+    size = lambda x: F.char_length(x).cast("long")
+    each = lambda x: F.struct(size(x["gap"]).alias("gap"), size(x["m"]).alias("len"), (good(x["v"]) if good else F.lit(True)).alias("good"))
+    return F.when(text.rlike(pattern), F.transform(parts, each).cast(PART))
 
-def _breaks(text: Column) -> Column:
-    """Starts of the blank lines that part scopes."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
-    found = F.regexp_extract_all(text, F.lit(BREAK), 0)
-    parts = F.arrays_zip(found.alias("m"), F.slice(F.split(text, BREAK, -1), 1, F.size(found)).alias("gap"))
-    parts = F.transform(parts, lambda x: F.struct(x["m"].alias("m"), x["gap"].alias("gap")))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.char_length(x["gap"])
-        return F.struct((begin + F.char_length(x["m"])).alias("at"), F.array_append(acc["out"], begin).alias("out"))
-
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+def _kind(text: Column, kind: str) -> Column:
+    pattern, group, least = (BASE | WEAK)[kind]
+    if kind == "secret":
+        good = lambda v: v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]")
+    else:
+        good = lambda v: F.char_length(v) >= least
+    return _parts(text, _QUICK.get(kind, pattern), group, good)
 
 
 def link(parts: DataFrame) -> DataFrame:
@@ -94,18 +82,28 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: the id, ``base`` and ``linked``: arrays of struct<start, rank, end, kind>."""
     text_ = F.coalesce(F.col("t"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t"))
-    base = F.array_sort(F.concat(*[_spans(text_, k, *v) for k, v in BASE.items()]))
-    rows = rows.select("id", "t", base.alias("base"))
-    strong_id, strong_secret = F.exists("base", lambda s: s["kind"] == "access"), F.exists("base", lambda s: s["kind"] != "access")
-    maybe = (strong_id | text_.rlike(WEAK["id"][0])) & (strong_secret | text_.rlike(WEAK["secret"][0]))
-    weak = F.when(maybe, F.concat(*[_spans(text_, k, *v) for k, v in WEAK.items()]))
-    breaks = F.when(maybe, _breaks(text_))
-    found = written(rows.select(F.monotonically_increasing_id().alias("row"), "id", "base", weak.alias("weak"), breaks.alias("breaks")), "secret-spans")
-    parts = found.filter("weak IS NOT NULL").select("row", "breaks", F.explode(F.concat("base", "weak")).alias("s"))
-    parts = parts.select("row", F.size(F.filter("breaks", lambda b: b < F.col("s.start"))).alias("scope"), "s.start", "s.end", "s.rank", "s.kind")
-    linked = link(parts).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("linked"))
+    rows = rows.select("id", "t", *[_kind(text_, k).alias(k) for k in BASE])
+    good = lambda k: F.coalesce(F.exists(k, lambda x: x["good"]), F.lit(False))
+    maybe = (good("access") | text_.rlike(WEAK["id"][0])) & (good("assign") | good("hex") | text_.rlike(WEAK["secret"][0]))
+    weak = {k: F.when(maybe, _kind(text_, k)) for k in WEAK}
+    every = {k: F.col(k) for k in BASE} | weak | {"break": F.when(maybe, _parts(text_, BREAK))}
+    found = F.array_compact(F.array(*[F.when(at.isNotNull(), F.struct(F.lit(rank).alias("rank"), at.alias("at"))) for rank, at in enumerate(every.values())]))
+    found = written(rows.select(F.monotonically_increasing_id().alias("row"), "id", maybe.alias("maybe"), found.alias("found")), "secret-spans")
+
+    parts = found.select("row", "maybe", F.explode("found").alias("f")).select("row", "maybe", "f.rank", F.posexplode("f.at").alias("pos", "x"))
+    upto = F.sum(F.col("x.gap") + F.col("x.len")).over(Window.partitionBy("row", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.withColumn("end", upto).filter("x.good").select("row", "maybe", "rank", (F.col("end") - F.col("x.len")).alias("start"), "end")
+    blank = F.col("rank") == len(KINDS)
+    before = F.count_if(blank).over(Window.partitionBy("row").orderBy("start", blank).rowsBetween(Window.unboundedPreceding, 0))
+    kinds = F.array(*map(F.lit, [*KINDS, "break"]))
+    parts = parts.withColumns({"scope": before, "kind": F.element_at(kinds, F.col("rank") + 1)}).filter(~blank)
+    parts = written(parts, "secret-parts")
+    spans = parts.filter(F.col("rank") < len(BASE)).select("row", F.struct("start", "rank", "end", "kind").alias("s"), F.lit(False).alias("weak"))
+    spans = spans.unionByName(link(parts.filter("maybe")).select("row", F.struct("start", "rank", "end", "kind").alias("s"), F.lit(True).alias("weak")))
+    pick = lambda weak: F.array_sort(F.collect_list(F.when(F.col("weak") == weak, F.col("s"))))
+    spans = spans.groupBy("row").agg(pick(False).alias("base"), pick(True).alias("linked"))
     none = F.array().cast(SPANS)
-    return found.join(linked, "row", "left").select("id", "base", F.coalesce("linked", none).alias("linked"))
+    return found.select("row", "id").join(spans, "row", "left").select("id", F.coalesce("base", none).alias("base"), F.coalesce("linked", none).alias("linked"))
 
 
 def joined(spans: Column) -> Column:
