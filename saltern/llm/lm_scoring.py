@@ -6,13 +6,13 @@ context. The training documents of one block in ``DELETED`` are held out of the
 expectation-maximisation on their events, with the counts of the other blocks, gives the weights;
 the scores then use the counts of all training documents. Counts come from every training token.
 
-Documents belong to blocks by a hash. One pass hashes every n-gram and sends, for each bucket of
+Documents belong to blocks by a hash of their place, so repeated rows are dealt like any. One pass hashes every n-gram and sends, for each bucket of
 hashes, the distinct (n-gram, block) pairs with their training counts as packed bytes. A bucket
 adds up counts and answers each block with the counts of the block's n-grams, in hash order; the
 block's documents, brought together by a second shuffle, have the same n-grams in the same order,
 so counts alone travel back. Words keep enough hash bits that two of them hardly ever share a
-hash in a corpus of that size; longer n-grams keep 16 bits more than the logarithm of the number
-of tokens, so about one lookup in 65,000 meets another n-gram's count. Blocks and buckets grow in
+hash in a corpus of that size; longer n-grams keep 24 bits more than the logarithm of the number
+of tokens, so about one lookup in 17 million meets another n-gram's count. Blocks and buckets grow in
 number with the corpus and not in size; repeated n-grams are merged before the shuffle.
 
 Only the events' histogram (bucket by quantised estimates, bounded by its cells) and a few totals
@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltern.llm.common import drop_written, fold_is, in_training, written
+from saltern.llm.exact_dedup import located, spot
 from saltern.llm.packing import expand, mix, squeeze
 
 BLOCK_BYTES, BATCH_BYTES, PER_BUCKET, DELETED = 8 << 20, 6 << 20, 1_000_000, 16
@@ -70,7 +71,7 @@ def _grams(tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray
 
 def _bits(tokens: int, order: int) -> int:
     need = math.log2(max(2, tokens))
-    return max(40, min(64, math.ceil(2 * need + 2 if order == 1 else need + 16)))
+    return max(40, min(64, math.ceil(2 * need + 2 if order == 1 else need + 24)))
 
 
 def _bucket_of(grams: np.ndarray, bits: int, buckets: int) -> np.ndarray:
@@ -122,7 +123,7 @@ def _ask(order: int, bits: list[int], buckets: int):
 
 def _answer(group: pa.Table) -> pa.Table:
     """One bucket's answers: (block, level, bucket, counts, retained). Block -1 has the totals:
-    tokens, distinct, and tokens without the deleted blocks."""
+    tokens, distinct words, and tokens without the deleted blocks."""
     level, bucket = group["level"][0].as_py(), group["bucket"][0].as_py()
     grams = np.concatenate([np.cumsum(expand(x, np.uint64), dtype=np.uint64) for x in group["grams"].to_pylist()])
     blocks = np.concatenate([expand(x, np.uint32) for x in group["blocks"].to_pylist()])
@@ -133,7 +134,7 @@ def _answer(group: pa.Table) -> pa.Table:
     pair = np.unique((blocks.astype(np.uint64) << np.uint64(32)) | rank.astype(np.uint64))
     block, rank = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
     edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist()
-    out = {"block": [-1], "level": [level], "bucket": [bucket], "counts": [np.array([total.sum(), (total > 0).sum(), kept.sum()], np.uint64).tobytes()], "retained": [None]}
+    out = {"block": [-1], "level": [level], "bucket": [bucket], "counts": [None], "retained": [None], "tokens": [int(total.sum())], "words": [int((total > 0).sum())], "kept": [int(kept.sum())]}
     for s, e in zip(edges, [*edges[1:], len(block)], strict=True):
         at = rank[s:e]
         out["block"].append(int(block[s]))
@@ -141,7 +142,9 @@ def _answer(group: pa.Table) -> pa.Table:
         out["bucket"].append(bucket)
         out["counts"].append(squeeze(total[at]))
         out["retained"].append(squeeze(kept[at]) if block[s] % DELETED == 0 else None)
-    return pa.table(out, schema=pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int64()), ("counts", pa.binary()), ("retained", pa.binary())]))
+        for c in ("tokens", "words", "kept"):
+            out[c].append(None)
+    return pa.table(out, schema=pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int64()), ("counts", pa.binary()), ("retained", pa.binary()), *((c, pa.int64()) for c in ("tokens", "words", "kept"))]))
 
 
 def _counts(docs: pa.Table, answers: pa.Table, order: int, bits: list[int], column: str) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -252,13 +255,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: tuple[
     blocks = DELETED * max(2, -(-int(size[0]) // (BLOCK_BYTES * DELETED)))
     about = max(1, int(size[0]) // 6 + size[1])
     buckets, bits = max(8, -(-about // PER_BUCKET)), [_bits(about, k + 1) for k in range(order)]
-    rows = docs.select(id_.alias("id"), body.alias("text"), train.alias("train"), F.pmod(F.xxhash64(id_, body), F.lit(blocks)).alias("block"))
+    rows = located(docs).select(id_.alias("id"), body.alias("text"), train.alias("train"), F.pmod(spot(), F.lit(blocks)).alias("block"))
 
     asked = rows.select("block", "train", "text").mapInArrow(_ask(order, bits, buckets), "level int, bucket long, grams binary, blocks binary, counts binary")
-    answers = written(asked.groupBy("level", "bucket").applyInArrow(_answer, "block long, level int, bucket long, counts binary, retained binary"), "lm-answers")
-    totals = [np.frombuffer(r["counts"], np.uint64) for r in answers.filter("block = -1 AND level = 0").select("counts").collect()]  # a row for each bucket
-    tokens, distinct, kept = (float(sum(int(t[i]) for t in totals)) for i in range(3))
-    answers = answers.filter("block >= 0")
+    answers = written(asked.groupBy("level", "bucket").applyInArrow(_answer, "block long, level int, bucket long, counts binary, retained binary, tokens long, words long, kept long"), "lm-answers")
+    totals = answers.filter("block = -1 AND level = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words", "kept")]).first()
+    tokens, distinct, kept = map(float, totals)
+    answers = answers.filter("block >= 0").drop("tokens", "words", "kept")
     starts = float(size[2])
 
     deleted = rows.filter(F.col("block") % DELETED == 0)
