@@ -18,7 +18,7 @@ PLAIN_WORDS = ["cream", "lotion", "shampoo", "conditioner", "gel", "formula", "f
 RECIPE_TYPES = {
     "anti_dandruff": r"anti[-\s]?dandruff|antidandruff", "baby": r"\bbaby\b", "shampoo": r"\bshampoo\b|\bshamdoo\b", "cream": r"\bcream\b", "lotion": r"\blotion\b", "conditioner": r"\bcondition",
     "sunscreen": r"\bsun|spf|solar|uv", "soap": r"\bsoap\b|hand\s+cleaner", "makeup": r"\blipstick\b|make[-\s]?up", "deodorant": r"\bdeodorant\b|antiperspirant", "cleanser": r"\bcleanse|facial\s+wash",
-    "toner": r"\btoner\b", "gel": r"\bgel\b|shower\s+(gel|bath)",
+    "toner": r"\btoner\b", "gel": r"\bgel\b|shower\s+(?:gel|bath)",
 }
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltern.operators import analytics
 from saltern.operators.catalog import best
+from saltern.operators.names import has_ingredient, has_types, matches_signals, same_title
 from saltern.plans.intent import Brief
 
 COST_SLACK = 1.1
@@ -27,32 +30,81 @@ def preferred_score(names: Column, preferred: tuple[str, ...]) -> Column:
     return F.least(F.lit(24.0), reduce(lambda a, b: a + b, hits, F.lit(0.0)))
 
 
-def scored(formulations: DataFrame, types: list[str], required: list[str] = (), titles: list[str] = (), brief: Brief | None = None, trusted: tuple[str, ...] = ()) -> DataFrame:
-    """``formulations`` (id, name, product_types, doc_id, names: array of line names, and cost_per_kg
-    and compliance where a brief is given) with ``breakdown`` and ``score`` from 0 to 100."""
+# Modifiers that a question and a recipe may share.
+MODIFIERS = [r"(?i)\banti[-\s]?dandruff\b|\bantidandruff\b", r"(?i)\bbaby\b", r"(?i)\bsulfate[-\s]?free\b", r"(?i)\bhand\s+(and\s+)?(nail\s+)?cream\b"]
+HAND_CREAM, TUBE, NAMED_HAND_CREAM = r"(?i)\bhand\s+cream\b", r"(?i)\btube[-\s]?dispensed\b", r"(?i)\bhand\s+(and\s+)?(nail\s+)?cream\b"
+
+
+def _first(default: float, *cases: tuple[Column, float]) -> Column:
+    """The points of the first case that holds."""
+    return F.coalesce(*[F.when(test, points) for test, points in cases], F.lit(default))
+
+
+def name_bonus(name: Column, types: list[str], question: str) -> Column:
+    """Points of a lower-cased name for what the question is after."""
+    parts = [F.lit(0.0)]
+    if "baby" in types:
+        parts.append(_first(0.0, (name.contains("baby") & name.contains("shampoo"), 10.0)))
+    if "anti_dandruff" in types:
+        parts.append(_first(0.0, (F.replace(name, F.lit("-"), F.lit("")).contains("dandruff"), 10.0)))
+        if "shampoo" in types:
+            tight = F.regexp_replace(name, "[ -]", "")
+            parts.append(_first(0.0, (tight.contains("shamdoo") | name.contains("shampoo"), 12.0), (name.contains("lotion"), -10.0)))
+    if re.search(HAND_CREAM, question):
+        parts.append(_first(0.0, (name.rlike(TUBE), 18.0), (name.rlike(NAMED_HAND_CREAM), 8.0), (name.contains("baby"), -15.0), (name.contains("shampoo"), -10.0)))
+    return reduce(add, parts)
+
+
+def scored(formulations: DataFrame, types: list[str], required: list[str] = (), titles: list[str] = (), brief: Brief | None = None, trusted: tuple[str, ...] = (), question: str = "") -> DataFrame:
+    """``formulations`` (id, name, product_types, doc_id, source_text, ingredients: lines with
+    raw_name and normalized_name, names: array of line names, and cost_per_kg and compliance where a
+    brief is given) with ``breakdown`` and ``score`` from 0 to 100.
+
+    ``required`` are ingredients and ``titles`` the recipes that the question names."""
     brief = brief or Brief()
-    name, n = F.lower("name"), F.size("names")
-    all_types = F.forall(F.array(*map(F.lit, types)), lambda t: F.array_contains("product_types", t)) if types else None
-    found = [F.exists("names", lambda x, t=t: x.contains(t.lower())) for t in required]
-    hits = reduce(lambda a, b: a + b, [f.cast("int") for f in found], F.lit(0))
+    name, n, source = F.lower("name"), F.size("names"), F.coalesce("source_text", F.lit(""))
+    hits = reduce(add, [has_ingredient(t, F.col("ingredients"), F.col("name"), source).cast("int") for t in required], F.lit(0))
+    titled = [_first(-18.0, (same_title(F.lit(t), F.col("name")), 48.0), (same_title(F.lit(t), F.concat_ws("\n", "name", F.substring(source, 1, 500))), 28.0)) for t in titles]
+    shared = [F.lit(True) for p in MODIFIERS if re.search(p, question)]  # the question's own words count among the recipe's
     cap = 8.0 if required or titles else 20.0
     parts: dict[str, Column] = {
-        "product_type_match": F.when(all_types, 40.0).otherwise(0.0) if types else F.lit(20.0),
+        "product_type_match": _first(0.0, (has_types(list(types), F.col("product_types"), F.col("name"), source), 40.0)) if types else F.lit(20.0),
+        "modifier_match": F.lit(30.0 if shared else 0.0),
         "ingredient_completeness": F.least(n, F.lit(15)) / 15.0 * cap,
-        "source_quality": F.when(reduce(lambda a, b: a | b, [F.col("doc_id").startswith(p) for p in trusted], F.lit(False)), 10.0).otherwise(5.0),
+        "source_quality": _first(5.0, (reduce(or_, [F.col("doc_id").startswith(p) for p in trusted], F.lit(False)), 10.0)),
+        "name_bonus": name_bonus(name, list(types), question),
         "preferred_ingredients": preferred_score(F.col("names"), brief.preferred),
-        "ingredient_match": F.when(hits == len(required), 45.0).when(hits > 0, hits * 12.0 - 8.0).otherwise(-30.0) if required else F.lit(0.0),
-        "named_formula": F.when(reduce(lambda a, b: a | b, [name.contains(t.lower()) for t in titles], F.lit(False)), 48.0).otherwise(-18.0) if titles else F.lit(0.0),
+        "ingredient_match": _first(-30.0, (hits == len(required), 45.0), (hits > 0, hits * 12.0 - 8.0)) if required else F.lit(0.0),
+        "named_formula": F.greatest(*titled, F.lit(-18.0)) if titles else F.lit(0.0),
     }
     if brief.markets:
-        parts["compliance"] = F.when(F.col("compliance") == "fail", -100.0).when(F.col("compliance") == "warn", -12.0).otherwise(4.0)
+        parts["compliance"] = _first(4.0, (F.col("compliance") == "fail", -100.0), (F.col("compliance") == "warn", -12.0))
     if brief.cost_target is not None:
         parts["cost_target"] = cost_score(F.col("cost_per_kg"), brief.cost_target)
-    total = reduce(lambda a, b: a + b, parts.values())
+    if re.search(HAND_CREAM, question):
+        parts["hand_cream_title"] = _first(0.0, (name.rlike(TUBE), 25.0), (name.rlike(NAMED_HAND_CREAM), 10.0), (name.contains("baby") | name.contains("shampoo"), -20.0))
+    total = reduce(add, parts.values())
     out = formulations.withColumn("breakdown", F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v.cast("double"))]))
     return out.withColumn("score", F.least(F.lit(100.0), F.greatest(F.lit(0.0), total)))
 
 
+def tiers(types: list[str], required: list[str] = (), titles: list[str] = (), question: str = "") -> list[Column]:
+    """Orders that precede the score, the last re-sort first: named recipes and required ingredients,
+    shampoos where one against dandruff is asked for, hand creams by their titles."""
+    name, source = F.lower("name"), F.coalesce("source_text", F.lit(""))
+    out = []
+    if titles or required:
+        named = reduce(or_, [same_title(F.lit(t), F.col("name")) for t in titles], F.lit(False))
+        hits = reduce(add, [has_ingredient(t, F.col("ingredients"), F.col("name"), source).cast("int") for t in required], F.lit(0))
+        every = hits == len(required)
+        out.append(_first(3, (named & every, 0), (named | (every if required else F.lit(False)), 1), (hits > 0, 2)))
+    if {"anti_dandruff", "shampoo"} <= set(types):
+        out.append(_first(1, (F.replace(name, F.lit(" "), F.lit("")).contains("sham"), 0)))
+    if re.search(HAND_CREAM, question):
+        out.append(_first(2, (name.rlike(TUBE), 0), (name.rlike(NAMED_HAND_CREAM), 1)))
+    return out
+
+
 def brief_filter(rows: DataFrame, brief: Brief) -> DataFrame:
     """Rows without banned lines (either name containing the other), failures, or too high a price."""
     for term in brief.banned:
@@ -64,8 +116,25 @@ def brief_filter(rows: DataFrame, brief: Brief) -> DataFrame:
     return rows
 
 
-def structured_search(formulations: DataFrame, types: list[str], limit: int = 5, **how) -> DataFrame:
-    """The best recipes: scored, the best of each name, filtered by the brief, and cut."""
-    rows = scored(formulations.filter(F.size("names") >= 2), types, **how)
+def structured_search(formulations: DataFrame, types: list[str], limit: int = 5, brief: Brief | None = None, **how) -> DataFrame:
+    """The best recipes: scored over the whole catalogue, the best of each name, filtered by the
+    brief, re-sorted by `tiers` and cut. Titles, ingredients and modifiers come from the question
+    (`answers.signals`) as ``titles``, ``required`` and ``question``."""
+    for c, kind in (("source_text", "string"), ("ingredients", "array<struct<raw_name:string,normalized_name:string>>")):
+        if c not in formulations.columns:
+            lines = F.transform("names", lambda x: F.struct(x.alias("raw_name"), x.alias("normalized_name")))
+            formulations = formulations.withColumn(c, lines if c == "ingredients" else F.lit(None).cast(kind))
+    rows = scored(formulations.filter(F.size("names") >= 2), types, brief=brief, **how)
     rows = best(rows.withColumn("name_key", F.substring(F.lower("name"), 1, 80)), ["name_key"], [F.col("score").desc(), F.size("names").desc(), F.col("id")]).drop("name_key")
-    return brief_filter(rows, how.get("brief") or Brief()).orderBy(F.col("score").desc(), "id").limit(limit)
+    order = tiers(types, how.get("required", ()), how.get("titles", ()), how.get("question", ""))
+    return brief_filter(rows, brief or Brief()).orderBy(*order, F.col("score").desc(), "id").limit(limit)
+
+
+def route_hint(found: DataFrame, required: list[str] = (), titles: list[str] = (), direct: float = 80.0, hybrid: float = 50.0) -> str:
+    """direct, hybrid or fallback for the rows of `structured_search` (a few): by the best score; a
+    best row that does not meet what was named is no direct answer."""
+    rows = found.withColumn("met", matches_signals(list(required), list(titles)) if required or titles else F.lit(True)).select("score", "met").collect()
+    top = max((r["score"] for r in rows), default=0.0)
+    if top >= direct and rows[0]["met"]:
+        return "direct"
+    return "hybrid" if top >= hybrid else "fallback"
