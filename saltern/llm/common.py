@@ -19,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch of whole texts.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: from now on, the session's Arrow batches hold at most ``TEXT_ROWS`` rows, which
+    bounds what a Python worker and its executor hold of them off the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", by: str = "node", salts: int = 16) -> DataFrame:
     """Join where one key may hold much of ``left`` and ``right`` has one row a key: each row of
     ``right`` goes to ``salts`` tasks, and ``left`` is dealt among them by ``by``."""

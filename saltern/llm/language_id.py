@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saltern.llm.common import in_training
+from saltern.llm.common import in_training, small_batches
 
 MAX_N = 3
 PER_LANG, MAX_SAMPLE, LANDMARKS, RIDGE, SHARPNESS = 300, 3000, 256, 1e-2, 6.0
@@ -156,7 +156,7 @@ class Model:
 
     def lookup(self) -> np.ndarray | None:
         """Column by n-gram code, or -1; None where the alphabet makes it too large."""
-        if MAX_N * self.size**MAX_N > 1 << 25:
+        if MAX_N * self.size**MAX_N > 1 << 23:
             return None
         out = np.full(MAX_N * self.size**MAX_N + 1, -1, np.int32)
         out[self.columns] = np.arange(len(self.columns), dtype=np.int32)
@@ -186,6 +186,7 @@ def fit(df: DataFrame, fold: tuple[int, int] | None = (4, 2), text: str = "text"
     under which about 1.5 times the wanted rows lie, so one scan brings the sample and no window or
     sort sees the texts.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
     rows = rows.filter(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.col("t") != ""))
     rows = rows.filter(in_training(F.col("k"), *fold) if fold else F.col("k").isNotNull())
@@ -218,6 +219,7 @@ def fit(df: DataFrame, fold: tuple[int, int] | None = (4, 2), text: str = "text"
 
 def predict(df: DataFrame, model: Model | None, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``df`` with the predicted language and its score; columns of those names are replaced."""
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in (lang_pred, score)]
     df = df.select(*[F.col(f"`{c}`") for c in keep])
     if model is None:

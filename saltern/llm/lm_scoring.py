@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saltern.llm.common import drop_written, fold_is, in_training, written
+from saltern.llm.common import drop_written, fold_is, in_training, small_batches, written
 from saltern.llm.exact_dedup import located, spot
 from saltern.llm.packing import expand, mix, squeeze
 
@@ -249,6 +249,7 @@ def _score(order: int, bits: list[int], tokens: float, distinct: float, starts:
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: tuple[int, int] | None = (7, 2), order: int = 2) -> DataFrame:
     """One row a document: ``id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` (add-one unigrams) and ``score`` (the mixture), both log10 of the whole text."""
+    small_batches(docs.sparkSession)
     id_, body = F.col(f"`{key}`"), F.col(f"`{text}`")
     train: Column = in_training(id_, *fold) if fold else id_.isNotNull()
     size = docs.agg(F.coalesce(F.sum(F.octet_length(body)), F.lit(0)), F.count("*"), F.count_if(train)).first()

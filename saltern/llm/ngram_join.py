@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltern.llm.common import drop_written, spread_join, written
+from saltern.llm.common import drop_written, small_batches, spread_join, written
 from saltern.llm.components import components, least_linked
 from saltern.llm.exact_dedup import located, spot, without
 from saltern.llm.packing import expand, mix as _mix, runs as _runs, squeeze
@@ -353,6 +353,7 @@ def _tiles(near: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _join(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    small_batches(rows.sparkSession)
     kinds = rows.schema
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(56, max(32, int(size // 6 + 1).bit_length() + 10))  # about one n-gram in a thousand meets another's token

@@ -16,28 +16,38 @@ Other columns pass through untouched, whatever their names.
 
 from __future__ import annotations
 
+import array
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from saltern.llm.common import small_batches
+
 MARK = "▁"
 #: Chunks that one worker's table holds, and the longest chunk (characters) that it keeps.
-TABLE_ROWS, TABLE_CHUNK = 100_000, 64
+TABLE_ROWS, TABLE_CHUNK = 50_000, 64
 #: Texts of so many bytes (a single longer text aside) are segmented and handed back together.
 BATCH_BYTES = 2 << 20
 
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
+Table = tuple[dict[str, bytes], dict[str, str]]
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return array.array("i", ids).tobytes()
+
+
 class ChunkTable:
-    """Distinct marked word -> (ids, decoded text): the corpus's table, and one filled as other chunks are met."""
+    """Distinct marked word -> (ids as 32-bit bytes, decoded text): the corpus's table, and one filled
+    as other chunks are met."""
 
-    def __init__(self, model: bytes, rows: int = TABLE_ROWS, corpus: tuple[dict[str, list[int]], dict[str, str]] = ({}, {})):
+    def __init__(self, model: bytes, rows: int = TABLE_ROWS, corpus: Table = ({}, {})):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -51,20 +61,20 @@ class ChunkTable:
             and self.sp.encode("a  b ") == [*self.sp.encode("a"), *self.sp.encode(" b"), self.mark_id]
         )
 
-    def _restart(self, ids: dict[str, list[int]], texts: dict[str, str]) -> None:
+    def _restart(self, ids: dict[str, bytes], texts: dict[str, str]) -> None:
         self.ids, self.texts = self.corpus_ids | ids, self.corpus_texts | texts
 
-    def segment(self, chunks: list[str]) -> tuple[dict[str, list[int]], dict[str, str]]:
+    def segment(self, chunks: list[str]) -> Table:
         """Ids and decoded texts of distinct chunks, in one call of the library each."""
         ids = [x or [self.mark_id] for x in self.sp.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1)]
-        return dict(zip(chunks, ids, strict=True)), dict(zip(chunks, (" " + t for t in self.sp.decode(ids, num_threads=1)), strict=True))
+        return dict(zip(chunks, map(_bytes, ids), strict=True)), dict(zip(chunks, (" " + t for t in self.sp.decode(ids, num_threads=1)), strict=True))
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """For each text its ids, and what they decode to. The texts' new chunks are segmented together."""
         if not self.bounded:
             for text in texts:
                 ids = self.sp.encode(text)
-                yield ids, self.sp.decode(ids)
+                yield _bytes(ids), self.sp.decode(ids)
             return
         split = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         missing = list(set().union(*split).difference(self.ids))
@@ -77,7 +87,7 @@ class ChunkTable:
         self.ids.update(new_ids)
         self.texts.update(new_texts)
         for chunks in split:
-            yield list(chain.from_iterable(map(self.ids.__getitem__, chunks))), "".join(map(self.texts.__getitem__, chunks))[1:]
+            yield b"".join(map(self.ids.__getitem__, chunks)), "".join(map(self.texts.__getitem__, chunks))[1:]
         if len(kept) < len(missing):
             for c in set(missing).difference(kept):
                 del self.ids[c], self.texts[c]
@@ -85,7 +95,7 @@ class ChunkTable:
             self._restart({}, {})
 
 
-def corpus_table(df: DataFrame, model: bytes, text: str = "text", rows: int = TABLE_ROWS) -> tuple[dict[str, list[int]], dict[str, str]]:
+def corpus_table(df: DataFrame, model: bytes, text: str = "text", rows: int = TABLE_ROWS) -> Table:
     """Ids and decoded texts of the ``rows`` most frequent chunks of all texts, each segmented once."""
     chunks = F.regexp_extract_all(F.concat(F.lit(MARK), F.replace(F.col(f"`{text}`"), F.lit(" "), F.lit(MARK))), F.lit(_CHUNK.pattern), 0)
     counts = df.filter(F.col(f"`{text}`") != "").select(F.explode(chunks).alias("chunk")).filter(F.char_length("chunk") <= TABLE_CHUNK).groupBy("chunk").agg(F.count("*").alias("n"))
@@ -96,16 +106,14 @@ def corpus_table(df: DataFrame, model: bytes, text: str = "text", rows: int = TA
         for batch in batches:
             own = batch.column("chunk").to_pylist()
             ids, texts = table.segment(own) if own else ({}, {})
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array([ids[c] for c in own], pa.list_(pa.int32())), pa.array([texts[c] for c in own], pa.string())], names=["chunk", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array([ids[c] for c in own], pa.binary()), pa.array([texts[c] for c in own], pa.string())], names=["chunk", "ids", "decoded"])
 
-    found = top.mapInArrow(run, "chunk string, ids array<int>, decoded string").toArrow().to_pydict()
+    found = top.mapInArrow(run, "chunk string, ids binary, decoded string").toArrow().to_pydict()
     return dict(zip(found["chunk"], found["ids"], strict=True)), dict(zip(found["chunk"], found["decoded"], strict=True))
 
 
-def _mapper(model: bytes, text_at: int, schema: pa.Schema, rows: int, corpus: tuple[dict[str, list[int]], dict[str, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _mapper(model: bytes, text_at: int, schema: pa.Schema, rows: int, corpus: Table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import array
-
         table = None
         for whole in batches:
             table = table or ChunkTable(model, rows, corpus)
@@ -117,12 +125,12 @@ def _mapper(model: bytes, text_at: int, schema: pa.Schema, rows: int, corpus: tu
                     size += lengths[end]
                     end += 1
                 batch = whole.slice(start, end - start)
-                ids, offsets, decoded = array.array("i"), [0], []
+                ids, offsets, decoded = [], [0], []
                 for own, text in table.encode([x or "" for x in batch.column(text_at).to_pylist()]):
-                    ids.extend(own)
-                    offsets.append(len(ids))
+                    ids.append(own)
+                    offsets.append(offsets[-1] + len(own) // 4)
                     decoded.append(text)
-                values = pa.array(memoryview(ids) if len(ids) else [], pa.int32())
+                values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(ids))])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(decoded, pa.string())], names=[*schema.names])
                 start = end
@@ -136,6 +144,7 @@ def encode_decode(df: DataFrame, model_path: str, text: str = "text", ids: str =
     ``model_path`` is read on the driver and travels with the tasks (about 0.5 MB), as the table does. Columns named
     like ``ids`` or ``decoded`` are replaced.
     """
+    small_batches(df.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
     keep = [c for c in df.columns if c not in (ids, decoded)]

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saltern.llm.common import drop_written, in_training, written
+from saltern.llm.common import drop_written, in_training, small_batches, written
 
 # Identity terms in groups, each term a counterfactual of the others of its group.
 IDENTITY_GROUPS = [
@@ -221,6 +221,7 @@ def fit(df: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = (4, 2),
     keeps the join to about the sample's size. The sample is cut to its size where it lies, and
     written, as the groups and the features are taken from it in turn.
     """
+    small_batches(df.sparkSession)
     marks = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).filter(F.col("y").isin(0, 1))
     marks = marks.filter(in_training(F.col("k"), *fold) if fold else F.col("k").isNotNull())
     n = marks.select("k").distinct().count()
@@ -251,6 +252,7 @@ def fit(df: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = (4, 2),
 
 def score(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """``df`` with the probability that each whole text is toxic; a column of that name is replaced."""
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != score]
     df = df.select(*[F.col(f"`{c}`") for c in keep])
     at, names = keep.index(text), [*keep, score]
