@@ -226,3 +226,21 @@ def bounded(x: Column, digits: int) -> Column:
     """Rounding that gives the same double in every engine."""
     scale = 10.0**digits
     return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+
+
+# How a page's number is printed.
+PRINTED = [r"^\s*(\d{1,4})\s*$", r"(?i)(?:page|p\.)\s*(\d{1,4})", r"-\s*(\d{1,4})\s*-", r"^\s*(\d{1,4})\s*/\s*\d{1,4}\s*$"]
+
+
+def printed_page(text: Column, margin: float = 0.08) -> Column:
+    """The number printed on a page: the most frequent one of the short lines in its head and foot
+    (``margin`` of its lines, at least one, at either end); of equally frequent ones the smallest."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != "")
+    reach = F.greatest(F.lit(1), F.floor(F.size(lines) * margin).cast("int"))
+    band = F.concat(F.slice(lines, 1, reach), F.slice(lines, F.greatest(F.size(lines) - reach + 1, F.lit(1)), reach))
+    band = F.filter(F.when(F.size(lines) > 2 * reach, band).otherwise(lines), lambda x: F.char_length(x) <= 30)
+    number_in = lambda p: lambda x: F.regexp_extract(x, p, 1)
+    numbers = F.concat(*[F.transform(band, number_in(p)) for p in PRINTED])
+    numbers = F.filter(F.transform(numbers, lambda x: F.nullif(x, F.lit("")).cast("int")), lambda n: n.between(1, 9999))
+    counted = F.transform(F.array_distinct(numbers), lambda n: F.struct((-F.size(F.filter(numbers, lambda m: m == n))).alias("k"), n.alias("n")))
+    return F.array_min(counted)["n"]

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that end a product's name, and cues of ingredients and comparisons.
@@ -126,3 +126,44 @@ def evidence(hits: DataFrame, top: int = 5, quote: int = 280) -> DataFrame:
     score = F.col("score")
     label = F.when(score >= 0.7, "high").when(score >= 0.5, "medium").otherwise("low")
     return hits.filter(F.col("pos") < top).withColumns({"quote": F.substring("text", 1, quote), "confidence": label})
+
+
+# Levels of confidence, the first where none is given.
+CONFIDENCE = ["low", "medium", "high"]
+_OUTPUT = "answer string, citations array<struct<source_index:string,quote:string,confidence:string>>, formula_lines array<struct<ingredient:string,percentage:string,source_index:string>>"
+
+
+def model_output(raw: Column) -> Column:
+    """struct<answer, citations, formula_lines> of what a model wrote: a JSON object, also in a code
+    fence or within prose; without an answer in it, the whole text is the answer.
+
+    Citations without an index or a quote, and lines without an ingredient or with an index that is
+    no number, are dropped."""
+    text = F.btrim(F.regexp_replace(F.btrim(F.coalesce(raw, F.lit(""))), r"(?i)^```(?:json)?\s*|\s*```$", ""))
+    inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    found = F.coalesce(*[F.when(x["answer"].isNotNull(), x) for x in (F.from_json(text, _OUTPUT), F.from_json(inner, _OUTPUT))])
+    trimmed = lambda c: F.btrim(F.coalesce(c, F.lit("")))
+    index = lambda c: c.try_cast("int")
+    cited = F.filter(found["citations"], lambda c: index(c["source_index"]).isNotNull() & (trimmed(c["quote"]) != ""))
+    level = lambda c: F.when(F.lower(c).isin(CONFIDENCE), F.lower(c)).otherwise(CONFIDENCE[0])
+    cited = F.transform(cited, lambda c: F.struct(index(c["source_index"]).alias("source_index"), trimmed(c["quote"]).alias("quote"), level(c["confidence"]).alias("confidence")))
+    lines = F.filter(found["formula_lines"], lambda c: (trimmed(c["ingredient"]) != "") & (c["source_index"].isNull() | index(c["source_index"]).isNotNull()))
+    lines = F.transform(lines, lambda c: F.struct(trimmed(c["ingredient"]).alias("ingredient"), F.nullif(trimmed(c["percentage"]), F.lit("")).alias("percentage"), F.coalesce(index(c["source_index"]), F.lit(0)).alias("source_index")))
+    kinds = ("array<struct<source_index:int,quote:string,confidence:string>>", "array<struct<ingredient:string,percentage:string,source_index:int>>")
+    empty = [F.array().cast(k) for k in kinds]
+    return F.struct(F.btrim(F.coalesce(found["answer"], text)).alias("answer"), F.coalesce(cited.cast(kinds[0]), empty[0]).alias("citations"), F.coalesce(lines.cast(kinds[1]), empty[1]).alias("formula_lines"))
+
+
+# Scores from which a structured answer is given without a model, and a hit is used at all.
+DIRECT, USED = 80.0, 0.35
+
+
+def can_answer_directly(score: Column, route: Column, n_lines: Column) -> Column:
+    """Whether the best structured match answers a lookup by itself."""
+    return (score >= DIRECT) & (route == "lookup") & (n_lines >= 2)
+
+
+def usable(hits: DataFrame, least: float = USED) -> DataFrame:
+    """Hits of queries whose best score reaches the floor; other queries have no sources."""
+    top = hits.groupBy("query_id").agg(F.max("score").alias("top_")).filter(F.col("top_") >= least).select("query_id")
+    return hits.join(top, "query_id", "left_semi")

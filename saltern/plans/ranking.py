@@ -26,7 +26,8 @@ def cost_score(cost: Column, target: float | None) -> Column:
 
 def preferred_score(names: Column, preferred: tuple[str, ...]) -> Column:
     """Eight points for each preferred ingredient, 24 at most."""
-    hits = [F.when(F.exists(names, lambda n, t=t: n.contains(t.lower())), 8.0).otherwise(0.0) for t in preferred]
+    named = lambda t: F.exists(names, lambda n: n.contains(t))
+    hits = [F.when(named(t.lower()), 8.0).otherwise(0.0) for t in preferred]
     return F.least(F.lit(24.0), reduce(lambda a, b: a + b, hits, F.lit(0.0)))
 
 
@@ -107,8 +108,9 @@ def tiers(types: list[str], required: list[str] = (), titles: list[str] = (), qu
 
 def brief_filter(rows: DataFrame, brief: Brief) -> DataFrame:
     """Rows without banned lines (either name containing the other), failures, or too high a price."""
+    held = lambda t: F.exists("names", lambda x: analytics.either_way(x, F.lit(t)))
     for term in brief.banned:
-        rows = rows.filter(~F.exists("names", lambda x, t=term.lower(): analytics.either_way(x, F.lit(t))))
+        rows = rows.filter(~held(term.lower()))
     if brief.markets:
         rows = rows.filter(F.coalesce("compliance", F.lit("pass")) != "fail")
     if brief.cost_target is not None:
