@@ -12,9 +12,10 @@ Turns are range-partitioned by conversation and turn, so a conversation of any l
 segments of bounded size. A segment is a min-plus matrix (state before to state after); the
 matrices of conversations with several segments are multiplied in one small group, which gives
 each segment its first and last state, and the segments are traced independently. A task never
-holds more than a segment.
+holds more than a segment's roles: texts stay in Spark, and each turn's piece is put together there.
 
-Defined results: a null or unknown role must be relabelled; a null text is rendered as empty; a
+Defined results: a null or unknown role must be relabelled; a null text is rendered as empty; in
+texts ``<|`` becomes ``< |``, so that no text can open or close a turn; a
 null turn number comes first, and of equal numbers the order is by role, text and arrival; rows
 with a null conversation form one conversation. Every row is a turn: repeated rows are repeated
 turns, in which merging applies. Other columns are dropped.
@@ -133,16 +134,12 @@ def _chain(group: pa.Table) -> pa.Table:
     return pa.table({"dense": group["dense"], "seg": group["seg"], "first": pa.array(first[::-1], pa.int32()), "last": pa.array(last[::-1], pa.int32()), "final": [k == n - 1 for k in range(n)]})
 
 
-def _safe(text: str | None) -> str:
-    return (text or "").replace("<|", "< |")
-
-
 def _repair(_key, turns: pa.Table, ends: pa.Table) -> pa.Table:
     turns = turns.sort_by("pos")
     known = {d: (f, t, z) for d, f, t, z in zip(*(ends[c].to_pylist() for c in ("dense", "first", "last", "final")), strict=True)}
-    dense, texts = turns["dense"].to_pylist(), turns["text"].to_pylist()
+    dense = turns["dense"].to_pylist()
     roles = [_role(r) for r in turns["role"].to_pylist()]
-    out = {c: [] for c in ("new_role", "action", "inserted_before", "inserted_after", "cost", "rendered")}
+    out = {c: [] for c in ("new_role", "action", "inserted_before", "inserted_after", "cost", "before", "after")}
     for s, e in _spans(turns):
         first, last, final = known.get(dense[s], (START, None, True))
         costs = forward(roles[s:e], [0 if t == first else _FAR for t in range(4)])
@@ -151,17 +148,17 @@ def _repair(_key, turns: pa.Table, ends: pa.Table) -> pa.Table:
         for k, ((before, new, _, action, between), cost) in enumerate(moves):
             end = final and k == len(moves) - 1
             after = {1: ["assistant"], 0: ["user", "assistant"], 2: []}[new] if end else []
-            piece = JOIN + _safe(texts[s + k]) if action == "merge" else ("" if before == START else CLOSE) + (f"{OPEN}{ROLES[between]}\n{CLOSE}" if between >= 0 else "") + f"{OPEN}{ROLES[new]}\n{_safe(texts[s + k])}"
-            if end:
-                piece += CLOSE + "".join(f"{OPEN}{r}\n{CLOSE}" for r in after)
+            closed = "" if before == START else CLOSE
+            empty = f"{OPEN}{ROLES[between]}\n{CLOSE}" if between >= 0 else ""
+            out["before"].append(JOIN if action == "merge" else f"{closed}{empty}{OPEN}{ROLES[new]}\n")
+            out["after"].append(CLOSE + "".join(f"{OPEN}{r}\n{CLOSE}" for r in after) if end else "")
             out["new_role"].append(ROLES[new])
             out["action"].append(action)
             out["inserted_before"].append(ROLES[between] if between >= 0 else None)
             out["inserted_after"].append(",".join(after) or None)
             out["cost"].append(cost + (INSERT * len(after)))
-            out["rendered"].append(piece)
-    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
-    own = turns.select(["conv", "turn", "pos", "role"])
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    own = turns.select(["pos"])
     for (name, values), kind in zip(out.items(), kinds, strict=True):
         own = own.append_column(name, pa.array(values, kind))
     return own
@@ -183,9 +180,11 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     matrices = written(matrices, "chat-matrices")
     several = matrices.groupBy("dense").agg(F.count("*").alias("k")).filter("k > 1").select("dense")
     ends = matrices.join(several, "dense").groupBy("dense").applyInArrow(_chain, "dense long, seg int, first int, last int, final boolean")
-    kinds = dealt.schema
-    schema = f"conv {kinds['conv'].dataType.simpleString()}, turn {kinds['turn'].dataType.simpleString()}, pos long, role string, new_role string, action string, inserted_before string, inserted_after string, cost long, rendered string"
-    return dealt.groupBy("seg").cogroup(ends.groupBy("seg")).applyInArrow(_repair, schema)
+    schema = "pos long, new_role string, action string, inserted_before string, inserted_after string, cost long, before string, after string"
+    moves = dealt.select("dense", "role", "seg", "pos").groupBy("seg").cogroup(ends.groupBy("seg")).applyInArrow(_repair, schema)
+    safe = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
+    out = dealt.join(moves, "pos").withColumn("rendered", F.concat("before", safe, "after"))
+    return out.select("conv", "turn", "pos", "role", "new_role", "action", "inserted_before", "inserted_after", "cost", "rendered")
 
 
 def rendered(repaired: DataFrame) -> DataFrame:

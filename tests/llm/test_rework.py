@@ -193,3 +193,96 @@ def test_scores_are_brute_force(spark):
     for g, t in zip(got, texts, strict=True):
         z = model.bias + sum(w for x, w in model.weights.items() if x in toxicity.features(toxicity.words_of(t)))
         assert math.isclose(g, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
+# Chats
+
+
+def test_registered_chats_are_cheapest(spark, sf):
+    from test_others import cheapest
+
+    from saltern.llm import chat_format
+
+    turns, cost = {}, Counter()
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        turns.setdefault(r["conv_id"], []).append((r["turn"], r["role"]))
+    for r in queries.op7_chat_format(spark, sf).collect():
+        cost[r["conv_id"]] += r["cost"]
+    short = {c: sorted(x, key=lambda t: (t[0], t[1] or "")) for c, x in turns.items() if len(x) <= 7}
+    assert len(short) > 10 and {c: cost[c] for c in short} == {c: cheapest([chat_format._role(r) for _, r in x]) for c, x in short.items()}
+
+
+def test_long_turns_stay_whole(spark):
+    from saltern.llm import chat_format
+
+    text = "<|x " * 400_000
+    rows = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r["rendered"] for r in chat_format.repair(rows).collect()}
+    assert got[0] == "<|im_start|>user\n" + text.replace("<|", "< |") and got[1].endswith("y<|im_end|>\n")
+
+
+# Pipeline
+
+
+def plain_pipeline(rows, sf_dir):
+    """The stages written out: letters, normal forms, all pairs of n-grams, the mixing query's SQL, the library."""
+    import duckdb
+    import sentencepiece
+    from test_texts import words
+
+    rows = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    groups = {}
+    for r in rows:
+        groups.setdefault("".join(c for c in r[1] if c not in " \t\n\x0b\x0c\r"), []).append(r)
+    rows = [min(g, key=lambda r: (-len(r[1]), r[0] is None, r[0] or 0)) for g in groups.values()]
+    sets = []
+    for r in rows:
+        w = words(r[1])
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both * 100 >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    parts = {}
+    for i, r in enumerate(rows):
+        parts.setdefault(find(i), []).append(r)
+    rows = [min(p, key=lambda r: (r[0] is None, r[0] or 0)) for p in parts.values()]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [r[:5] for r in rows])
+    times = Counter(r[0] for r in db.sql(f"SELECT doc_id FROM ({queries.oracle_sql()['op6_source_mixing']})").fetchall())
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
+    return sorted((r[0] is None, r[0] or 0, sp.encode(r[1])) for r in rows for _ in range(times[r[0]]))
+
+
+def test_pipeline_is_plain(spark, tmp_path):
+    """Null ids, repeated and near rows, empty and very long texts, and extra columns with clashing names."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = []
+    for k in range(150):
+        text = " ".join(rng.choice(("der die das und nicht haus baum" if k % 2 else "the of and with this house tree").split()) + str(rng.randrange(40)) for _ in range(rng.randrange(1, 60)))
+        rows.append((k, text, rng.choice(["de", "en", None]), f"src{k % 4}", len(text)))
+    rows += [(200 + k, rows[k][1] + " tail", "en", "src1", 9) for k in range(0, 40, 2)] + [(300 + k, f" {rows[k][1]} ", "de", None, 9) for k in range(20)]
+    rows += [rows[5], rows[5], (None, rows[7][1], "de", "src0", 1), (400, None, "en", "src0", 0), (401, "", None, None, 0), (402, "12 34", "en", "src0", 5), (403, "word " * 50_000 + "end", "en", "src9", 250_003)]
+    frame = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, at string, node long, component long")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, list(r["ids"])) for r in out) == plain_pipeline(rows, str(tmp_path))
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
