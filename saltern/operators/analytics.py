@@ -96,24 +96,41 @@ def costs(lines: DataFrame, prices: DataFrame) -> DataFrame:
     return out.select("formulation_id", bounded(F.when(F.col("covered") > 0, F.col("cost")), 4).alias("cost_per_kg"), bounded(share, 4).alias("covered_percent"), F.transform("missing", lambda x: x["raw_name"]).alias("missing"))
 
 
+def _regulated(lines: DataFrame, rules: DataFrame, markets: list[str]) -> DataFrame:
+    """(formulation_id, raw_name, rule, over, source): lines that a rule of the markets names. Only
+    distinct names meet the rules."""
+    own = F.lower(F.coalesce(F.when(F.col("normalized_name") != "", F.col("normalized_name")), F.when(ingredient_name(F.col("raw_name")) != "", ingredient_name(F.col("raw_name"))), F.col("raw_name")))
+    asked = rules.filter(F.upper("market").isin([m.strip().upper() for m in markets if m.strip()]))
+    source = F.col("source_ref") if "source_ref" in rules.columns else F.lit(None).cast("string")
+    asked = asked.select(F.explode(F.concat(F.array(F.lower("ingredient")), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.lower))).alias("term"), F.lower("status").alias("rule"), "max_percent", source.alias("source")).filter("term <> ''")
+    used = lines.select("formulation_id", "raw_name", "amount", "unit", own.alias("name_"))
+    names = used.select("name_", F.lower("raw_name").alias("raw_")).distinct()
+    hits = theta(names, asked, either_way(F.col("name_"), F.col("term")) | either_way(F.col("raw_"), F.col("term")))
+    hits = hits.select(F.col("name_").alias("n_"), F.col("raw_").alias("r_"), "rule", "max_percent", "source").distinct()
+    both = used.join(hits, used["name_"].eqNullSafe(hits["n_"]) & F.lower(used["raw_name"]).eqNullSafe(hits["r_"]))
+    over = F.coalesce((F.col("unit") == "%") & (F.col("amount") > F.col("max_percent")), F.lit(False))
+    return both.select("formulation_id", "raw_name", "rule", over.alias("over"), "source")
+
+
 def compliance(lines: DataFrame, rules: DataFrame, markets: list[str]) -> DataFrame:
     """(formulation_id, status): fail, warn or pass over the given markets.
 
     ``rules``: ingredient, aliases, market, status, max_percent. A name matches where one contains
     the other, in either direction, aliases too; a limit needs an amount in per cent.
     """
-    own = F.lower(F.coalesce(F.when(F.col("normalized_name") != "", F.col("normalized_name")), F.when(ingredient_name(F.col("raw_name")) != "", ingredient_name(F.col("raw_name"))), F.col("raw_name")))
-    asked = rules.filter(F.upper("market").isin([m.strip().upper() for m in markets if m.strip()]))
-    asked = asked.select(F.explode(F.concat(F.array(F.lower("ingredient")), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.lower))).alias("term"), F.lower("status").alias("rule"), "max_percent").filter("term <> ''")
-    names = lines.select("formulation_id", "amount", "unit", own.alias("name"), F.lower("raw_name").alias("raw"))
-    hits = theta(names, asked, either_way(F.col("name"), F.col("term")) | either_way(F.col("raw"), F.col("term")))
-    over = (F.col("unit") == "%") & (F.col("amount") > F.col("max_percent"))
-    level = F.when(F.col("rule") == "prohibited", 2).when((F.col("rule") == "restricted") & F.coalesce(over, F.lit(False)), 2).when(F.col("rule") == "restricted", 1).otherwise(0)
-    worst = hits.groupBy("formulation_id").agg(F.max(level).alias("level"))
+    level = F.when(F.col("rule") == "prohibited", 2).when((F.col("rule") == "restricted") & F.col("over"), 2).when(F.col("rule") == "restricted", 1).otherwise(0)
+    worst = _regulated(lines, rules, markets).groupBy("formulation_id").agg(F.max(level).alias("level"))
     every = lines.select("formulation_id").distinct().join(worst, "formulation_id", "left")
     return every.select("formulation_id", F.when(F.col("level") == 2, "fail").when(F.col("level") == 1, "warn").otherwise("pass").alias("status"))
 
 
+def regulatory_findings(lines: DataFrame, rules: DataFrame, markets: list[str]) -> DataFrame:
+    """Findings of the regulatory family, as the rule engine's: an error for a prohibited name, a
+    warning for another rule's; they cap the status and do not enter the score."""
+    rule = F.col("rule")
+    return _regulated(lines, rules, markets).select("formulation_id", F.concat(F.lit("regulatory."), rule).alias("rule_id"), F.lit("regulatory").alias("family"), F.when(rule == "prohibited", "error").otherwise("warning").alias("severity"), F.col("raw_name").alias("ingredient"), rule.alias("observed"))
+
+
 def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     """Lines by key: ``side`` (left, right or both), with both amounts; equal ones are left out."""
     def keyed(lines: DataFrame, name: str) -> DataFrame:
@@ -136,16 +153,48 @@ def roles(lines: DataFrame) -> DataFrame:
     return rows.groupBy("formulation_id", "role").agg(F.count("*").alias("n"), F.transform(names, lambda x: x["raw_name"]).alias("examples"))
 
 
-def rule_substitutes(lines: DataFrame, rules: DataFrame, banned: tuple[str, ...] = ()) -> DataFrame:
-    """(formulation_id, name, substitute, confidence): of rules whose name matches the line's either way."""
-    asked = rules.select(F.explode(F.concat(F.array(F.lower("from")), F.transform(F.coalesce("aliases_from", F.array().cast("array<string>")), F.lower))).alias("term"), F.col("to").alias("substitute"), "confidence")
+def rule_substitutes(lines: DataFrame, rules: DataFrame, banned: tuple[str, ...] = (), types: DataFrame | None = None) -> DataFrame:
+    """(formulation_id, name, substitute, confidence): of rules whose name matches the line's either
+    way. With ``types`` (formulation_id, product_types), rules for product types are for recipes
+    that share one."""
+    typed = "product_types" in rules.columns and types is not None
+    asked = rules.select(F.explode(F.concat(F.array(F.lower("from")), F.transform(F.coalesce("aliases_from", F.array().cast("array<string>")), F.lower))).alias("term"), F.col("to").alias("substitute"), "confidence", *([F.col("product_types").alias("for_types")] if typed else []))
     own = lines.select("formulation_id", F.lower(F.coalesce("normalized_name", "raw_name")).alias("name"))
-    hits = theta(own, asked, either_way(F.col("name"), F.col("term")))
+    names = own.select("name").distinct()
+    hits = own.join(theta(names, asked, either_way(F.col("name"), F.col("term"))), "name")
     for term in banned:
         hits = hits.filter(~either_way(F.lower("substitute"), F.lit(term.lower())))
+    if typed:
+        hits = hits.join(types.select("formulation_id", "product_types"), "formulation_id", "left")
+        hits = hits.filter((F.size(F.coalesce("for_types", F.array())) == 0) | F.coalesce(F.arrays_overlap("for_types", "product_types"), F.lit(False)))
     return hits.groupBy("formulation_id", "name", "substitute").agg(F.max("confidence").alias("confidence"))
 
 
+def peer_substitutes(recipe: DataFrame, ingredient: str, formulations: DataFrame, lines: DataFrame, peers: int = 40, top: int = 5) -> DataFrame:
+    """(formulation_id, name, substitute, confidence): what the surest ``peers`` formulations with all
+    of the recipe's product types hold most often, if the recipe holds the ingredient.
+
+    ``recipe``: one row of ``formulations`` (id, product_types, confidence)."""
+    wanted = canonical_key(F.lit(ingredient))
+    name = F.lower(F.coalesce(F.when(F.col("normalized_name") != "", F.col("normalized_name")), F.col("raw_name")))
+    held = lines.join(recipe.select(F.col("id").alias("formulation_id")), "formulation_id").filter(F.lower(F.coalesce("normalized_name", F.lit(""))).contains(wanted) | F.lower("raw_name").contains(wanted)).select(F.col("formulation_id").alias("id")).distinct()
+    own = recipe.join(held, "id").select(F.col("id").alias("own"), F.coalesce("product_types", F.array().cast("array<string>")).alias("types"))
+    like = formulations.join(F.broadcast(own), F.size(F.array_except("types", "product_types")) == 0).orderBy(F.col("confidence").desc(), "id").limit(peers)  # own is one row
+    found = lines.join(like.filter("id <> own").select(F.col("id").alias("formulation_id"), "own"), "formulation_id").select("own", name.alias("substitute"))
+    counts = found.filter(~either_way(F.col("substitute"), wanted)).groupBy("own", "substitute").agg(F.count("*").alias("n"))
+    counts = counts.orderBy(F.col("n").desc(), "substitute").limit(top)
+    return counts.select(F.col("own").alias("formulation_id"), wanted.alias("name"), "substitute", co_confidence(F.col("n")).alias("confidence"))
+
+
+def suggest_substitutions(recipe: DataFrame, ingredient: str, formulations: DataFrame, lines: DataFrame, rules: DataFrame, banned: tuple[str, ...] = (), limit: int = 5) -> DataFrame:
+    """(formulation_id, name, substitute, confidence): rules for the ingredient and peers' ingredients,
+    of each substitute the surer, the surest first."""
+    one = recipe.select(F.col("id").alias("formulation_id"), "product_types", F.lit(ingredient.lower()).alias("raw_name"), F.lit(None).cast("string").alias("normalized_name"))
+    by_rule = rule_substitutes(one, rules, banned, one).withColumn("name", canonical_key(F.lit(ingredient)))
+    both = merge_suggestions(by_rule.withColumn("substitute", F.lower("substitute")), peer_substitutes(recipe, ingredient, formulations, lines), key=["formulation_id", "name", "substitute"])
+    return both.orderBy(F.col("confidence").desc(), "substitute").limit(limit)
+
+
 def co_occurrence(lines: DataFrame, group: str = "formulation_id", name: str = "normalized_name", top: int = 5, most: int = 500) -> DataFrame:
     """(name, other, n, pos): what a name most often shares a formulation with.
 

@@ -155,7 +155,7 @@ def model_output(raw: Column) -> Column:
 
 
 # Scores from which a structured answer is given without a model, and a hit is used at all.
-DIRECT, USED = 80.0, 0.35
+DIRECT, USED = 80.0, 0.30
 
 
 def can_answer_directly(score: Column, route: Column, n_lines: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from saltern.functions import text as T
 from saltern.functions.text import bounded
 from saltern.operators import analytics, catalog, conversations, evaluate, names, retrieval, rules, warehouse
-from saltern.plans import answers, intent, ranking
+from saltern.plans import answers, chat, intent, ranking
 from saltern.plans.queries import LINES, _round, formulations_of, lines_of, read
 from saltern.sources import recipes, tables
 from saltern.sources.shared import new_path
@@ -321,6 +321,85 @@ def q96_threads(spark: SparkSession, d: str) -> DataFrame:
     return conversations.latest_message(read(spark, d, "conversations")).orderBy(F.desc("turn"), "conv_id").limit(30).select("conv_id", "turn")
 
 
+# Sources, substitution, regulation and routing
+
+
+@query("""WITH d AS (SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') || '_' || p_partkey AS doc_id, p_partkey FROM part WHERE p_partkey % 2 = 0),
+a AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_name || ' ' || p_partkey WHEN 2 THEN upper(p_name) || '_' || p_partkey ELSE p_name || '_' || p_partkey || '_tail' END AS asked, p_partkey FROM part),
+s AS (SELECT asked, trim(regexp_replace(lower(trim(asked)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM a),
+x AS (SELECT s.asked, d.doc_id, s.slug FROM s JOIN d ON s.slug = d.doc_id),
+n AS (SELECT s.asked, min(d.doc_id) AS doc_id FROM s JOIN d ON starts_with(d.doc_id, s.slug) OR starts_with(s.slug, d.doc_id) WHERE s.asked NOT IN (SELECT asked FROM x) GROUP BY 1)
+SELECT asked, doc_id FROM x UNION ALL SELECT asked, doc_id FROM n""")
+def q97_resolve_sources(spark: SparkSession, d: str) -> DataFrame:
+    part, k = read(spark, d, "part"), F.col("p_partkey")
+    known = part.filter("p_partkey % 2 = 0").select(F.concat(T.slug(F.concat("p_name", F.lit(".pdf"))), F.lit("_"), k).alias("doc_id"))
+    asked = part.select(F.when(k % 4 == 0, F.concat("p_name", F.lit(" "), k)).when(k % 4 == 2, F.concat(F.upper("p_name"), F.lit("_"), k)).otherwise(F.concat("p_name", F.lit("_"), k, F.lit("_tail"))).alias("asked"))
+    return tables.resolve_sources(asked, known)
+
+
+_REGULATED = [("hot anvil", [], "EU", "prohibited", None, "annex 2"), ("red", ["blue bolt"], "EU", "restricted", 30.0, "annex 3"), ("cold ring", [], "JP", "prohibited", None, "law")]
+
+
+@query(f"""WITH {LINES}, r(term, status) AS (VALUES ('hot anvil', 'prohibited'), ('red', 'restricted'), ('blue bolt', 'restricted'))
+SELECT formulation_id, 'regulatory.' || status AS rule_id, CASE status WHEN 'prohibited' THEN 'error' ELSE 'warning' END AS severity, raw_name AS ingredient, count(*) AS n FROM l JOIN r ON contains(normalized_name, term) OR contains(term, normalized_name) GROUP BY ALL""")
+def q98_regulatory_findings(spark: SparkSession, d: str) -> DataFrame:
+    table = spark.createDataFrame(_REGULATED, "ingredient string, aliases array<string>, market string, status string, max_percent double, source_ref string")
+    found = analytics.regulatory_findings(lines_of(spark, d), table, ["eu"])
+    return found.groupBy("formulation_id", "rule_id", "severity", "ingredient").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {LINES}, t AS (SELECT formulation_id, list(DISTINCT tag) AS types FROM l GROUP BY 1), r(f, s, types, c) AS (VALUES ('anvil', 'brass rod', ['PROMO'], 8e-1), ('bolt', 'brass screw', [], 7e-1), ('gizmo', 'brass rod', ['LARGE', 'SMALL'], 6e-1))
+SELECT formulation_id, normalized_name AS name, s AS substitute, max(c) AS confidence FROM l JOIN t USING (formulation_id) JOIN r ON contains(normalized_name, f) OR contains(f, normalized_name)
+WHERE len(r.types) = 0 OR list_has_any(r.types, t.types) GROUP BY ALL""")
+def q99_typed_substitutes(spark: SparkSession, d: str) -> DataFrame:
+    lines = lines_of(spark, d)
+    types = lines.groupBy("formulation_id").agg(F.collect_set("tag").alias("product_types"))
+    table = spark.createDataFrame([("anvil", [], "brass rod", ["PROMO"], 0.8), ("bolt", [], "brass screw", [], 0.7), ("gizmo", [], "brass rod", ["LARGE", "SMALL"], 0.6)], "`from` string, aliases_from array<string>, `to` string, product_types array<string>, confidence double")
+    return analytics.rule_substitutes(lines, table, types=types)
+
+
+_ASKED = "CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'good morning ' || p_name WHEN 2 THEN 'give me a baby shampoo formula' WHEN 3 THEN 'compare lotion and cream instead of ' || p_name ELSE 'why is ' || p_name || ' used' END"
+
+
+@query(f"""WITH q AS (SELECT p_partkey, p_size, p_partkey % 5 AS k, {_ASKED} AS text FROM part),
+o AS (SELECT p_partkey AS query_id, k, text, CASE WHEN p_size > 10 THEN p_size * 2e0 END AS top, CASE WHEN p_size > 10 THEN p_size % 3 + 1 ELSE 0 END AS n, p_size / 1e2 AS hit FROM q)
+SELECT query_id, CASE k WHEN 1 THEN 'unknown' WHEN 2 THEN 'lookup' WHEN 3 THEN 'compare' WHEN 4 THEN 'reasoning' ELSE 'unknown' END AS route,
+       CASE WHEN k = 0 THEN 'empty' WHEN k = 1 THEN 'chitchat' WHEN k < 4 AND coalesce(top, 0) >= 80 AND n >= CASE k WHEN 3 THEN 2 ELSE 1 END THEN 'direct' WHEN k < 4 AND coalesce(top, 0) >= 50 THEN 'hybrid' WHEN hit >= 3e-1 OR n > 0 THEN 'model' ELSE 'failed' END AS outcome,
+       CASE WHEN contains(text, 'instead of') THEN 'scale_to_batch,substitute_ingredient' ELSE 'scale_to_batch' END AS actions FROM o""")
+def q100_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    part = read(spark, d, "part")
+    asked = part.select(F.col("p_partkey").alias("query_id"), F.expr(_ASKED).alias("text"))
+    recipes_ = part.filter("p_size > 10").select(F.col("p_partkey").alias("query_id"), "p_size", F.explode(F.sequence(F.lit(0), F.col("p_size") % 3)).alias("k")).select("query_id", (F.col("p_size") * 2.0 - F.col("k")).alias("score"), (F.col("k") == 0).alias("met"))
+    hits = part.select(F.col("p_partkey").alias("query_id"), (F.col("p_size") / 100).alias("score"), F.lit(0).alias("pos"))
+    out = chat.outcomes(asked, recipes_, hits)
+    return out.select("query_id", "route", "outcome", F.array_join("actions", ",").alias("actions"))
+
+
+@query(f"""WITH {LINES}, f AS (SELECT o_orderkey AS id, o_orderpriority || ' ' || o_custkey AS name, o_totalprice AS c, (SELECT count(*) FROM l WHERE formulation_id = o_orderkey) AS n FROM orders),
+b AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY n DESC, c DESC, id) AS r FROM f WHERE n >= 3) SELECT id, n, 'Formula: ' || name AS head FROM b WHERE r = 1 ORDER BY n DESC, c DESC, id LIMIT 25""")
+def q101_sample_recipes(spark: SparkSession, d: str) -> DataFrame:
+    items = lines_of(spark, d).groupBy(F.col("formulation_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("line_no", "raw_name", "amount", "unit"))).alias("ingredients"))
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", "o_orderpriority", "o_custkey").alias("name"), F.col("o_totalprice").alias("confidence")).join(items, "id")
+    out = tables.sample_recipes(rows, 25).join(rows.select("id", F.size("ingredients").cast("long").alias("n")), "id")
+    return out.select("id", "n", F.substring_index("text", "\n", 1).alias("head"))
+
+
+@query(f"""WITH {LINES}, one AS (SELECT min(o_orderkey) AS id FROM orders WHERE EXISTS (SELECT 1 FROM l WHERE formulation_id = o_orderkey AND contains(normalized_name, 'gizmo'))),
+t AS (SELECT formulation_id AS id, list(DISTINCT tag) AS types FROM l GROUP BY 1), p AS (SELECT t.id, o_totalprice AS c FROM t JOIN orders ON o_orderkey = t.id WHERE list_has_all(t.types, (SELECT types FROM t WHERE id = (SELECT id FROM one)))),
+k AS (SELECT id FROM p ORDER BY c DESC, id LIMIT 40), n AS (SELECT normalized_name AS s, count(*) AS n FROM l JOIN k ON k.id = formulation_id WHERE k.id <> (SELECT id FROM one) AND NOT contains(normalized_name, 'gizmo') GROUP BY 1 ORDER BY n DESC, s LIMIT 5),
+u AS (SELECT s, least(9e-1, 5e-1 + 8e-2 * n) AS c FROM n UNION ALL SELECT 'brass rod', 7e-1)
+SELECT (SELECT id FROM one) AS formulation_id, 'gizmo' AS name, s AS substitute, {_round('max(c)', 6)} AS confidence FROM u GROUP BY s ORDER BY confidence DESC, s LIMIT 5""")
+def q102_suggest_substitutions(spark: SparkSession, d: str) -> DataFrame:
+    """The feature is one recipe and one of its ingredients, here of the first order with a gizmo."""
+    lines = lines_of(spark, d)
+    types = lines.groupBy(F.col("formulation_id").alias("id")).agg(F.collect_set("tag").alias("product_types"))
+    forms = formulations_of(spark, d).select("id", "confidence").join(types, "id")
+    one = lines.filter(F.col("normalized_name").contains("gizmo")).agg(F.min("formulation_id").alias("id"))
+    rules_ = spark.createDataFrame([("gizmo", ["widget"], "Brass Rod", None, 0.7)], "`from` string, aliases_from array<string>, `to` string, product_types array<string>, confidence double")
+    out = analytics.suggest_substitutions(forms.join(F.broadcast(one), "id"), "Gizmo", forms, lines, rules_)
+    return out.withColumn("confidence", bounded(F.col("confidence"), 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltern.functions.text import page_text, slug
-from saltern.operators.catalog import upsert
+from saltern.operators.catalog import best, upsert
 
 
 class Table:
@@ -108,3 +108,28 @@ def sample_excerpts(chunks: DataFrame, n: int, seed: str, least: int = 80) -> Da
     """A seeded sample of distinct chunks with enough text."""
     rows = chunks.filter(F.char_length("text") >= least).withColumn("head_", F.substring("text", 1, 200)).dropDuplicates(["head_"])
     return rows.orderBy(F.xxhash64("head_", F.lit(seed))).limit(n).drop("head_")
+
+
+def resolve_sources(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(asked, doc_id): each asked name's document: by its id, its lower-case id, its slug, else the
+    first id that begins with the slug or that the slug begins with. ``asked``: asked; ``known``: doc_id."""
+    own = asked.select("asked").distinct().withColumn("key", F.btrim("asked")).filter("key <> ''")
+    own = own.withColumn("slug", F.btrim(F.regexp_replace(F.lower("key"), r"[^a-z0-9]+", "_"), F.lit("_")))
+    keys = own.select("asked", F.posexplode(F.array("key", F.lower("key"), "slug")).alias("stage", "try"))
+    exact = keys.join(known.select("doc_id").distinct(), F.col("try") == F.col("doc_id")).groupBy("asked").agg(F.min_by("doc_id", "stage").alias("doc_id"))
+    # A prefix of either side is an equi-join on the slug's own prefixes and on the ids' prefixes.
+    left = own.join(exact, "asked", "left_anti").filter("slug <> ''")
+    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda k: F.substring(F.col(c), F.lit(1), k))
+    longer = known.select("doc_id", F.explode(prefixes("doc_id")).alias("slug")).join(left, "slug").select("asked", "doc_id")
+    shorter = left.select("asked", F.explode(prefixes("slug")).alias("doc_id")).join(known.select("doc_id"), "doc_id").select("asked", "doc_id")
+    near = longer.unionByName(shorter).groupBy("asked").agg(F.min("doc_id").alias("doc_id"))
+    return exact.unionByName(near)
+
+
+def sample_recipes(formulations: DataFrame, n: int, least: int = 3, shown: int = 12, most: int = 1200) -> DataFrame:
+    """(id, text): the richest recipes (id, name, confidence, ingredients), one of each name, as excerpts."""
+    rows = formulations.filter(F.size("ingredients") >= least).withColumn("head_", F.substring(F.lower("name"), 1, 60))
+    rows = best(rows, ["head_"], [F.size("ingredients").desc(), F.col("confidence").desc(), F.col("id")])
+    line = lambda x: F.concat(F.lit("- "), x["raw_name"], F.when(x["amount"].isNotNull(), F.concat_ws(" ", F.lit(""), x["amount"].cast("string"), x["unit"])).otherwise(""))
+    text = F.concat_ws("\n", F.concat(F.lit("Formula: "), "name"), F.array_join(F.transform(F.slice("ingredients", 1, shown), line), "\n"))
+    return rows.orderBy(F.size("ingredients").desc(), F.col("confidence").desc(), "id").limit(n).select("id", F.substring(text, 1, most).alias("text"))

@@ -62,3 +62,25 @@ def test_named_boost_and_gates(spark):
     assert {r["query_id"] for r in answers.usable(hits).collect()} == {"a"}
     direct = spark.createDataFrame([(90.0, "lookup", 3), (90.0, "compare", 3), (70.0, "lookup", 3)], "s double, r string, n int").select(answers.can_answer_directly(*map(retrieval.F.col, "srn")))
     assert [r[0] for r in direct.collect()] == [True, False, False]
+
+
+def test_validate_all(spark):
+    from saltern.operators import rules
+
+    line = lambda n, a, u="%": {"raw_name": n, "normalized_name": n.lower(), "amount": a, "unit": u, "phase": None}
+    rows = [("a", "Fine cream", [line("Water", 60.0), line("Glycerin", 40.0)], 0.5), ("b", "Old cream", [line("Water", 60.0), line("Formaldehyde", 40.0)], 0.5), ("c", "", [line("Water", None, None)], 0.5)]
+    forms = spark.createDataFrame([(*r, "Water 60 Glycerin 40 Formaldehyde", None, "table", None) for r in rows], "id string, name string, ingredients array<struct<raw_name:string,normalized_name:string,amount:double,unit:string,phase:string>>, confidence double, source_text string, vector_text string, extraction_method string, chunk_texts array<string>")
+    lines = forms.selectExpr("id AS formulation_id", "inline(ingredients)")
+    law = spark.createDataFrame([("formaldehyde", None, "EU", "prohibited", None, "annex")], "ingredient string, aliases array<string>, market string, status string, max_percent double, source_ref string")
+    plain = {r["formulation_id"]: r for r in rules.validate_all(forms, lines).collect()}
+    assert {r["compliance"] for r in plain.values()} == {"skipped"} and plain["a"]["status"] == plain["b"]["status"] == "verified" and plain["c"]["status"] == "review"
+    checked = {r["formulation_id"]: r for r in rules.validate_all(forms, lines, regulation=law, markets=("eu",)).collect()}
+    assert (checked["b"]["status"], checked["b"]["compliance"]) == ("review", "fail") and checked["b"]["precision_score"] == plain["b"]["precision_score"]
+    assert (checked["a"]["status"], checked["a"]["compliance"]) == ("verified", "pass") and checked["a"]["confidence"] == pytest.approx(0.8)
+
+
+def test_stuck_topics(spark):
+    from saltern.plans import chat
+
+    rows = spark.createDataFrame([(["cream"], ["shampoo"], ["shampoo"]), ([], ["shampoo"], ["shampoo"]), (["shampoo"], ["shampoo"], ["shampoo"]), (["cream"], ["shampoo"], ["cream"]), ([], [], ["cream"])], "a array<string>, b array<string>, c array<string>")
+    assert [r[0] for r in rows.select(chat.stuck_topic(*map(retrieval.F.col, "abc"))).collect()] == [True, True, False, False, False]
