@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from saltern.functions.text import quote_in, squeeze
+from saltern.operators.analytics import theta
 from saltern.operators.catalog import best
 
 
@@ -65,6 +66,6 @@ def find_quotes(quotes: DataFrame, chunks: DataFrame, head: int = 40) -> DataFra
     near = texts.select("key", F.explode(F.array_distinct(F.split("clean", " "))).alias("word")).join(probe.filter("word IS NOT NULL"), "word").select("key", "quote_id", "head")
     found = texts.join(near, "key").filter(F.col("clean").contains(F.col("head"))).select("quote_id", "key")
     short = probe.filter("word IS NULL").select("quote_id", "head")
-    if not short.isEmpty():  # a head of one or two words: compared with all chunks, as a stated query set
-        found = found.union(texts.crossJoin(F.broadcast(short)).filter(F.col("clean").contains(F.col("head"))).select("quote_id", "key"))
+    if not short.isEmpty():  # a head of one or two words: compared with all chunks, as a stated query set, in blocks
+        found = found.union(theta(texts, short, F.col("clean").contains(F.col("head"))).select("quote_id", "key"))
     return found.distinct().withColumn("verified", F.lit(True))

@@ -94,8 +94,8 @@ def best_for_targets(ranked: DataFrame, targets: list[str]) -> DataFrame:
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("target")) for k, t in enumerate(targets[:3])]))
     rows = ranked.select("id", "name", "score", wanted.alias("w")).select("id", "name", "score", "w.*")
     rows = rows.withColumn("same", same_title(F.col("target"), F.col("name")))
-    order = [F.col("same").desc(), F.when(F.col("same"), F.char_length("name")), F.col("score").desc(), F.col("id")]
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(*order))).filter("r = 1")
+    first = F.struct((~F.col("same")).alias("other"), F.when(F.col("same"), F.char_length("name")).alias("length"), (-F.col("score")).alias("rank"), "id")
+    rows = rows.groupBy("k", "target").agg(F.min(first).getField("id").alias("id"))  # a row a target; minima are taken before the shuffle
     first = F.row_number().over(Window.partitionBy("id").orderBy("k"))
     return rows.withColumn("r", first).filter("r = 1").select("target", "id")
 

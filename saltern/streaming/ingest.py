@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltern.functions import text as T
+from saltern.sources.shared import disk_state
 
 PAGES = "doc_id string, pdf_page int, text string"
 
@@ -27,5 +28,6 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str, max_file
     """Take up new JSON page files of ``source`` into the Parquet folder ``target``, and stop."""
     pages = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", max_files).json(source)
     fresh = chunks(pages).dropDuplicates(["doc_id", "text_hash"])
-    query = fresh.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with disk_state(spark):  # what was seen is kept for ever
+        query = fresh.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
