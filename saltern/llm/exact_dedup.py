@@ -25,15 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltern.llm.common import delete, drop_written, exists, new_path, written
+from saltern.sources.shared import STATE_STORE
 
-#: The state store. Without the second setting, RocksDB sets 4 MB of disk aside for each state
-#: partition's manifest, however small the partition; the others bound its memory in an executor.
-STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
-}
+#: The state store (see `saltern.sources.shared`); executors let go of a finished stream's state soon.
+STORE = STATE_STORE | {"spark.sql.streaming.stateStore.maintenanceInterval": "10s"}
 #: A micro-batch takes up so many arrival files at most.
 FILES_PER_TRIGGER = 10_000
 #: Rows of hit groups (about 400 bytes each, so 40 MB) up to which their locators are broadcast to

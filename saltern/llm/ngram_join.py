@@ -44,13 +44,13 @@ from saltern.llm.components import components, least_linked
 from saltern.llm.exact_dedup import located, spot, without
 from saltern.llm.packing import expand, mix as _mix, runs as _runs, squeeze
 
-ROWS, COLUMNS = 1024, 2048
+ROWS, COLUMNS = 512, 2048
 #: Entries of sparse outer products that are added at once (and one row's more).
-PRODUCTS = 1_000_000
+PRODUCTS = 500_000
 #: Bytes of the sets in one row block of a tile, on average, and its rows.
-TILE_BYTES, TILE_ROWS = 4 << 20, 8192
+TILE_BYTES, TILE_ROWS = 4 << 20, 4096
 #: N-grams of the texts that are packed together, and of one bucket, on average.
-FLUSH, PER_BUCKET = 500_000, 1_000_000
+FLUSH, PER_BUCKET = 500_000, 500_000
 #: Rows up to which the members of candidate components (about 80 bytes each) are broadcast to the
 #: second scan of the texts; with more, the scan's rows are shuffled to them.
 BROADCAST_ROWS = 400_000
@@ -293,9 +293,9 @@ def _tile(num: int, den: int):
                 ra, rb, possible = ra[ka], rb[kb], possible[np.ix_(ka, kb)]
                 counts = overlaps([sets[i] for i in ra], [sets[i] for i in rb])
                 linked = possible & (counts * (den + num) >= num * (sizes[ra][:, None] + sizes[rb][None, :]))
-                links[ra] += linked @ copies[rb]
-                links[rb] += copies[ra] @ linked
                 i, j = np.nonzero(linked)
+                links[ra] += np.bincount(i, weights=copies[rb[j]], minlength=len(ra)).astype(np.int64)
+                links[rb] += np.bincount(j, weights=copies[ra[i]], minlength=len(rb)).astype(np.int64)
                 label = least_linked(ra[i], rb[j], len(nodes))
                 some = np.flatnonzero(label != np.arange(len(nodes)))
                 ends.append((some, label[some]))
