@@ -104,7 +104,8 @@ def met(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def plan(rows: int, dims: int, threshold: float, recall: float = RECALL) -> Hashes:
     """Hash functions and tables for so many vectors of one length."""
     width = 1 << max(1, (dims - 1).bit_length())
-    functions = max(1, min(8, round(math.log(max(1.0, rows / PER_BUCKET)) / math.log(2 * width)), int(62 / math.log2(2 * width))))
+    least = 2 if rows > PER_BUCKET else 1  # one function has few buckets: their rows would grow with the square of the vectors
+    functions = max(least, min(8, round(math.log(max(1.0, rows / PER_BUCKET)) / math.log(2 * width)), int(62 / math.log2(2 * width))))
     rng = np.random.default_rng(SEED)
     a, noise = rng.normal(size=(3000, dims)), rng.normal(size=(3000, dims))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
