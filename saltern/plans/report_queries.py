@@ -281,6 +281,37 @@ def q92_phrase_boost(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(k.alias("id"), bounded(retrieval.phrase_boost(q, t), 6).alias("boost"))
 
 
+_TEXTS = ["a baby shampoo formula with 5 % water", "a lotion of oil", "hand and nail cream, an emollient", "shampoo formula 12 %", "lipstick and toner", "antiperspirant formula with 3 % salt"]
+_ASKS = [("['baby', 'shampoo']", "a baby shampoo"), ("['cream']", "a hand cream"), ("['anti_dandruff', 'shampoo']", "anti-dandruff shampoo"), ("['toner']", "some toner"), ("['deodorant', 'makeup']", "a deodorant")]
+
+
+def _text_boost_sql() -> str:
+    has = lambda p: f"regexp_matches(t, '{p}')"
+    wants = lambda *tags: f"list_has_all(types, [{', '.join(repr(x) for x in tags)}])"
+    worth = lambda whole, prose: f"CASE WHEN formula THEN {whole} ELSE {prose} END"
+    pattern = dict(retrieval.TEXT_TYPES)
+    parts = [f"CASE WHEN ({wants(tag)} OR contains(q, '{tag.replace('_', ' ')}')) AND {has(p)} THEN {worth(0.22, 0.10)} WHEN {wants(tag)} AND NOT {has(p)} THEN {-0.04 if tag in retrieval.RARE_TYPES else -0.12} ELSE 0 END" for tag, p in retrieval.TEXT_TYPES]
+    parts.append(f"CASE WHEN NOT {wants('anti_dandruff')} THEN 0 WHEN {has(pattern['anti_dandruff'])} THEN 0.25 WHEN formula AND contains(t, 'shampoo') AND NOT contains(t, 'dandruff') THEN -0.20 ELSE 0 END")
+    parts.append(f"CASE WHEN NOT {wants('baby', 'shampoo')} THEN 0 WHEN {has('baby +shampoo')} THEN 0.22 WHEN {has('baby +bath')} AND NOT contains(t, 'shampoo') THEN -0.18 ELSE 0 END")
+    parts.append(f"CASE WHEN NOT contains(q, 'hand cream') THEN 0 WHEN {has(pattern['hand_cream'])} THEN 0.22 WHEN contains(t, 'lotion') AND NOT contains(t, 'cream') THEN -0.08 ELSE 0 END")
+    skin = "list_has_any(types, ['lotion', 'cream', 'moisturizer']) AND NOT list_has_any(types, ['shampoo', 'conditioner', 'anti_dandruff'])"
+    parts.append(f"CASE WHEN {skin} AND {has('shampoo|condition')} THEN -0.28 ELSE 0 END + CASE WHEN {skin} AND {has('lotion|cream|emollient|moistur')} THEN {worth(0.12, 0.05)} ELSE 0 END")
+    parts += [f"CASE WHEN {wants(tag)} AND {has(p)} THEN {worth(whole, prose)} ELSE 0 END" for tag, p, whole, prose in retrieval.SIGN_BOOSTS]
+    types = "CASE p_partkey % 5 " + " ".join(f"WHEN {k} THEN {x}" for k, (x, _) in enumerate(_ASKS)) + " END"
+    asks = "CASE p_partkey % 5 " + " ".join(f"WHEN {k} THEN '{x}'" for k, (_, x) in enumerate(_ASKS)) + " END"
+    texts = "CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_TEXTS)) + " END"
+    return f"WITH x AS (SELECT p_partkey AS id, {types} AS types, {asks} AS q, {texts} AS t, {texts} LIKE '% formula %' AND {texts} LIKE '%!%%' ESCAPE '!' AS formula FROM part) SELECT id, {_round(f'CAST({chr(43).join(parts)} AS DOUBLE)', 6)} AS boost FROM x"
+
+
+@query(_text_boost_sql())
+def q103_text_boost(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    pick = lambda values, n: F.element_at(F.array(*values), (k % n + 1).cast("int"))
+    types = [F.array(*map(F.lit, x.strip("[]").replace("'", "").split(", "))) for x, _ in _ASKS]
+    boost = retrieval.text_boost(pick(types, 5), pick([F.lit(q) for _, q in _ASKS], 5), pick([F.lit(t) for t in _TEXTS], 6))
+    return read(spark, d, "part").select(k.alias("id"), bounded(boost, 6).alias("boost"))
+
+
 # Rules with a source text
 
 
