@@ -14,7 +14,7 @@ from saltern.functions import text as T
 from saltern.functions.text import bounded
 from saltern.operators import analytics, catalog, conversations, evaluate, names, retrieval, rules, warehouse
 from saltern.plans import answers, chat, intent, ranking
-from saltern.plans.queries import LINES, _round, formulations_of, lines_of, read
+from saltern.plans.queries import _BM25, LINES, _boost_sql, _dot, _round, formulations_of, lines_of, read
 from saltern.sources import recipes, tables
 from saltern.sources.shared import new_path
 
@@ -312,6 +312,25 @@ def q103_text_boost(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(k.alias("id"), bounded(boost, 6).alias("boost"))
 
 
+@query(f"""WITH {_BM25.replace("1e4", "1e6")},
+qv AS (SELECT item_id AS query_id, b.text, embedding AS v FROM benchmark b JOIN embeddings ON vec_id = item_id),
+cs AS (SELECT query_id, vec_id AS id, {_round(f"{_dot('e.embedding', 'v')} / sqrt({_dot('e.embedding', 'e.embedding')}) / sqrt({_dot('v', 'v')})", 6)} AS score FROM embeddings e, qv),
+ds AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS pos FROM cs),
+u AS (SELECT query_id, id, pos FROM ds WHERE pos < 50 UNION ALL SELECT query_id, doc_id, pos FROM bm WHERE pos < 40 AND query_id IN (SELECT query_id FROM qv)),
+fu AS (SELECT query_id, id, sum(1e0 / (61 + pos)) AS s FROM u GROUP BY ALL),
+nu AS (SELECT query_id, id, {_round("s / max(s) OVER (PARTITION BY query_id)", 6)} AS score FROM fu),
+ru AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS pos FROM nu),
+w AS (SELECT query_id, doc_id, {_round("score + boost", 6)} AS score, pos FROM ru JOIN ({_boost_sql()}) ON doc_id = id)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos, doc_id) - 1 AS pos FROM w QUALIFY pos < 10""".replace("QUALIFY pos < 10", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos, doc_id) <= 10"))
+def q104_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as questions, with the vectors of their numbers, against documents and all vectors."""
+    docs, vectors = read(spark, d, "documents"), read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    items = read(spark, d, "benchmark").join(vectors, F.col("item_id") == F.col("doc_id"))
+    asked = items.select(F.col("item_id").alias("query_id"), "text", F.col("embedding").alias("vector"), F.array().cast("array<string>").alias("product_types"))
+    chunks = docs.select("doc_id", "text", F.array().cast("array<string>").alias("tags"))
+    return retrieval.hybrid_search(chunks, vectors, asked).withColumn("pos", F.col("pos").cast("long"))
+
+
 # Rules with a source text
 
 
