@@ -61,13 +61,15 @@ def drop_written(*tables: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
-#: State on the executors' disks rather than in their memory, with bounded caches; without the third
-#: setting RocksDB sets 4 MB of disk aside for each state partition, however small.
+#: State on the executors' disks rather than in their memory: caches are bounded, and a finished
+#: stream's state is soon let go. Without the third setting RocksDB sets 4 MB of disk aside for each
+#: state partition, however small.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "32",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
 
 
