@@ -25,10 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltern.llm.common import delete, drop_written, exists, new_path, written
-from saltern.sources.shared import STATE_STORE
+from saltern.sources.shared import disk_state
 
-#: The state store (see `saltern.sources.shared`); executors let go of a finished stream's state soon.
-STORE = STATE_STORE | {"spark.sql.streaming.stateStore.maintenanceInterval": "10s"}
 #: A micro-batch takes up so many arrival files at most.
 FILES_PER_TRIGGER = 10_000
 #: Rows of hit groups (about 400 bytes each, so 40 MB) up to which their locators are broadcast to
@@ -67,11 +65,8 @@ def without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _stream(spark: SparkSession, arrivals: str, schema, state_dir: str) -> DataFrame:
-    """Take the new arrivals up into the state; the state as a table."""
-    before = {k: spark.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
-        spark.conf.set(k, v)
-    try:
+    """Take the new arrivals up into the RocksDB state; the state as a table."""
+    with disk_state(spark):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(arrivals)
         best = F.min(F.struct((-F.col("points")).alias("rank"), F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("at").alias("at")))
         query = (
@@ -79,12 +74,10 @@ def _stream(spark: SparkSession, arrivals: str, schema, state_dir: str) -> DataF
             .writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{state_dir}/state").trigger(availableNow=True).start()
         )
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    state = spark.read.format("statestore").load(f"{state_dir}/state")
-    names = [f.name for f in state.schema["value"].dataType.fields]
-    return state.select(F.col("key.digest").alias("digest"), F.col(f"value.`{names[0]}`").alias("n"), F.col(f"value.`{names[1]}`").alias("best"))
+        state = spark.read.format("statestore").load(f"{state_dir}/state")
+        names = [f.name for f in state.schema["value"].dataType.fields]
+        state = state.select(F.col("key.digest").alias("digest"), F.col(f"value.`{names[0]}`").alias("n"), F.col(f"value.`{names[1]}`").alias("best"))
+        return written(state, "dedup-state")  # read from the store once
 
 
 def _hit_texts(rows: DataFrame, arrivals: DataFrame, state: DataFrame) -> DataFrame:
