@@ -113,7 +113,7 @@ def q76_stored_table(spark: SparkSession, d: str) -> DataFrame:
 SELECT formulation_id, '| Ingredient | Amount | Unit |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(x, chr(10) ORDER BY line_no, x) AS text FROM r GROUP BY 1""")
 def q77_markdown(spark: SparkSession, d: str) -> DataFrame:
     lines = lines_of(spark, d).withColumn("amount", F.col("amount").cast("long"))
-    row = F.concat_ws("|", "raw_name", "amount", "unit")
+    row = F.concat(F.lit("| "), "raw_name", F.lit(" | "), F.col("amount").cast("string"), F.lit(" | "), "unit", F.lit(" |"))  # of lines with one number and name, the first
     lines = lines.groupBy("formulation_id", "line_no", "raw_name").agg(F.min(F.struct(row.alias("k"), "amount", "unit")).alias("x")).select("formulation_id", "line_no", "raw_name", "x.amount", "x.unit")
     return tables.markdown(lines)
 
