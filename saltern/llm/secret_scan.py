@@ -85,10 +85,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = rows.select("id", "t", *[_kind(text_, k).alias(k) for k in BASE])
     good = lambda k: F.coalesce(F.exists(k, lambda x: x["good"]), F.lit(False))
     maybe = (good("access") | text_.rlike(WEAK["id"][0])) & (good("assign") | good("hex") | text_.rlike(WEAK["secret"][0]))
-    weak = {k: F.when(maybe, _kind(text_, k)) for k in WEAK}
-    every = {k: F.col(k) for k in BASE} | weak | {"break": F.when(maybe, _parts(text_, BREAK))}
+    rows = rows.withColumn("maybe", maybe)  # a column, so that its patterns run once
+    weak = {k: F.when(F.col("maybe"), _kind(text_, k)) for k in WEAK}
+    every = {k: F.col(k) for k in BASE} | weak | {"break": F.when(F.col("maybe"), _parts(text_, BREAK))}
     found = F.array_compact(F.array(*[F.when(at.isNotNull(), F.struct(F.lit(rank).alias("rank"), at.alias("at"))) for rank, at in enumerate(every.values())]))
-    found = written(rows.select(F.monotonically_increasing_id().alias("row"), "id", maybe.alias("maybe"), found.alias("found")), "secret-spans")
+    found = written(rows.select(F.monotonically_increasing_id().alias("row"), "id", "maybe", found.alias("found")), "secret-spans")
 
     parts = found.select("row", "maybe", F.explode("found").alias("f")).select("row", "maybe", "f.rank", F.posexplode("f.at").alias("pos", "x"))
     upto = F.sum(F.col("x.gap") + F.col("x.len")).over(Window.partitionBy("row", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
