@@ -13,7 +13,9 @@ group sends one row a task. Rows of a digest with different texts are grouped by
 
 Texts are equal when identical without the characters `[\\x20\\x09-\\x0D]`; a null text counts as
 empty. Null ids come after all others. Of repeated rows, one is kept. Input columns other than id
-and text are not looked at. Everything is DataFrame operations.
+and text are not looked at: inputs are renamed by position, so columns of any name, also
+``_metadata``, names with a dot and repeated names, come back as they were. Everything is DataFrame
+operations.
 """
 
 from __future__ import annotations
@@ -42,12 +44,23 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def position(columns: list[str], name: str) -> str:
+    """The name that `located` gives the column ``name``."""
+    same = [k for k, c in enumerate(columns) if c == name] or [k for k, c in enumerate(columns) if c.lower() == name.lower()]
+    if not same:
+        raise ValueError(f"no column {name} among {columns}")
+    return f"c{same[0]}"
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with its rows' locators as a struct ``saltern_at``; rows without one are written first."""
+    """``docs`` with its columns renamed by position, c0 and so on, and its rows' locators as a struct
+    ``saltern_at``; rows without one are written first."""
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    at = lambda df: df.withColumn("saltern_at", F.struct(*[df.metadataColumn("_metadata")[x].alias(y) for x, y in (("file_path", "file"), ("row_index", "row"))]))
     try:
-        return docs.withColumn("saltern_at", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+        return at(rows)
     except AnalysisException:
-        return written(docs, "dedup-input").withColumn("saltern_at", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+        return at(written(rows, "dedup-input"))
 
 
 def spot(at: str = "saltern_at") -> Column:
@@ -56,12 +69,12 @@ def spot(at: str = "saltern_at") -> Column:
 
 
 def without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` of `located` without those whose locators ``gone.at`` has."""
+    """``rows`` of `located`, under their own names ``columns``, without those whose locators ``gone.at`` has."""
     gone = written(gone.select(spot("at").alias("saltern_spot"), F.col("at.row").alias("saltern_row")), "dedup-gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     rows = rows.withColumns({"saltern_spot": spot(), "saltern_row": F.col("saltern_at.row")})
-    return rows.join(gone, ["saltern_spot", "saltern_row"], "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    return rows.join(gone, ["saltern_spot", "saltern_row"], "left_anti").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
 
 
 def _stream(spark: SparkSession, arrivals: str, schema, state_dir: str) -> DataFrame:
@@ -120,8 +133,8 @@ def _decide(rows: DataFrame, digest, state_dir: str, reread) -> DataFrame:
     return out.join(differing, "digest", "left_anti").unionByName(apart.join(by_text, "own").select(*final))
 
 
-def _columns(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select("saltern_at", F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+def _columns(rows: DataFrame, columns: list[str], key: str, text: str) -> DataFrame:
+    return rows.select("saltern_at", F.col(position(columns, key)).alias("id"), F.col(position(columns, text)).alias("text"))
 
 
 def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256, state_dir: str | None = None) -> DataFrame:
@@ -129,13 +142,14 @@ def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=s
     ``group_size`` and ``kept``. ``digest`` maps the normalised text to a string. With the
     ``state_dir`` of earlier runs, their rows count too."""
     spark = docs.sparkSession
-    return _decide(_columns(located(docs), key, text), digest, state_dir or new_path(spark, "dedup"), lambda files: _columns(located(spark.read.parquet(*files)), key, text))
+    own = lambda df: _columns(located(df), df.columns, key, text)
+    return _decide(own(docs), digest, state_dir or new_path(spark, "dedup"), lambda files: own(spark.read.parquet(*files)))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
     """``docs`` without the rows that are copies of the one that stays."""
     rows, state_dir = located(docs), new_path(docs.sparkSession, "dedup")
-    found = _decide(_columns(rows, key, text), digest, state_dir, None)
+    found = _decide(_columns(rows, docs.columns, key, text), digest, state_dir, None)
     out = without(rows, found.filter(~F.col("kept")), docs.columns)
     delete(docs.sparkSession, state_dir)  # the decisions are written by now
     return out

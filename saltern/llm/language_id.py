@@ -16,16 +16,17 @@ Defined results: a null text, or one without a letter, is ``und`` with score 0.
 lang is null are not learned from; of an id with several texts in one language, the greatest is
 learned from, once. Without anything to learn from, every text is ``und``. Of
 equally likely languages, the first in alphabetical order is taken. Repeated rows each get a row.
+Letters are `\\p{L}`; numerals of any kind are none. A language may itself be called ``und``:
+``determined`` of `predict` tells its texts from undetermined ones.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +36,12 @@ MAX_N = 3
 PER_LANG, MAX_SAMPLE, LANDMARKS, RIDGE, SHARPNESS = 300, 3000, 256, 1e-2, 6.0
 CELLS = 8 << 20
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: As Java writes it.
+LETTER = r"\p{L}"
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def _points(text: str) -> np.ndarray:
@@ -183,12 +189,12 @@ def fit(df: DataFrame, fold: tuple[int, int] | None = (4, 2), text: str = "text"
     """A model of the rows outside the fold that have a text and a lang; None if there are none.
 
     Counts by language cover all rows. They give, for each language, a bound on the hash of the id
-    under which about 1.5 times the wanted rows lie, so one scan brings the sample and no window or
-    sort sees the texts.
+    under which about 1.5 times the wanted rows lie, so one scan brings the sample; it is cut to size
+    by that hash before anything reaches the driver.
     """
     small_batches(df.sparkSession)
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    rows = rows.filter(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.col("t") != ""))
+    rows = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"))
+    rows = rows.filter(F.col("t").isNotNull() & F.col("l").isNotNull() & F.col("t").rlike(LETTER))
     rows = rows.filter(in_training(F.col("k"), *fold) if fold else F.col("k").isNotNull())
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_sample).collect()}
     if not counts:
@@ -199,11 +205,12 @@ def fit(df: DataFrame, fold: tuple[int, int] | None = (4, 2), text: str = "text"
     limits = F.create_map(*[F.lit(x) for lang_, n in counts.items() for x in (lang_, min(1.0, (1.5 * want + 20) / n))])
     under = F.try_element_at(limits, F.col("l"))
     chosen = rows.filter(F.col("h") <= under).groupBy("k", "l").agg(F.max("t").alias("t"), F.first("h").alias("h"))
+    chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))).filter(F.col("rank") <= want)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("t").to_pylist()
-            good = pa.array([k for k, t in enumerate(texts) if _LETTER.search(t)], pa.int64())
+            good = pa.array([k for k, t in enumerate(texts) if has_letter(t)], pa.int64())
             grams = [presence(texts[k]) for k in good.to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(good) for c in ("l", "h")), pa.array(grams, pa.list_(pa.int64()))], names=["l", "h", "grams"])
 
@@ -217,14 +224,16 @@ def fit(df: DataFrame, fold: tuple[int, int] | None = (4, 2), text: str = "text"
     return Model(samples, langs) if samples else None
 
 
-def predict(df: DataFrame, model: Model | None, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``df`` with the predicted language and its score; columns of those names are replaced."""
+def predict(df: DataFrame, model: Model | None, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", determined: str | None = None) -> DataFrame:
+    """``df`` with the predicted language and its score, and under the name ``determined`` whether the
+    text has a letter; columns of those names are replaced."""
     small_batches(df.sparkSession)
-    keep = [c for c in df.columns if c not in (lang_pred, score)]
+    keep = [c for c in df.columns if c not in (lang_pred, score, determined)]
     df = df.select(*[F.col(f"`{c}`") for c in keep])
     if model is None:
-        return df.withColumns({lang_pred: F.lit(UNDETERMINED), score: F.lit(0.0)})
-    at, names = keep.index(text), [*keep, lang_pred, score]
+        return df.withColumns({lang_pred: F.lit(UNDETERMINED), score: F.lit(0.0)} | ({determined: F.coalesce(F.col(f"`{text}`").rlike(LETTER), F.lit(False))} if determined else {}))
+    more = [determined] if determined else []
+    at, names = keep.index(text), [*keep, lang_pred, score, *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = model.lookup()
@@ -232,7 +241,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", lang_pred: s
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 texts = batch.column(at).to_pylist()
-                some = [k for k, t in enumerate(texts) if t and _LETTER.search(t)]
+                some = [k for k, t in enumerate(texts) if t and has_letter(t)]
                 langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
                 if some:
                     z = SHARPNESS * model.score([texts[k] for k in some], lookup)
@@ -240,7 +249,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", lang_pred: s
                     z /= z.sum(axis=1, keepdims=True)
                     for k, best, row in zip(some, z.argmax(axis=1), z, strict=True):
                         langs[k], scores[k] = model.langs[best], float(row[best])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *[pa.array(np.isin(np.arange(len(texts)), some)) for _ in more]], names=names)
 
-    schema = T.StructType([*df.schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType()), *[T.StructField(c, T.BooleanType()) for c in more]])
     return df.mapInArrow(run, schema)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltern.llm.common import drop_written, fold_is, in_training, small_batches, written
-from saltern.llm.exact_dedup import located, spot
+from saltern.llm.exact_dedup import located, position, spot
 from saltern.llm.packing import expand, mix, squeeze
 
 BLOCK_BYTES, BATCH_BYTES, PER_BUCKET, DELETED = 8 << 20, 6 << 20, 1_000_000, 16
@@ -250,13 +250,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: tuple[
     """One row a document: ``id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` (add-one unigrams) and ``score`` (the mixture), both log10 of the whole text."""
     small_batches(docs.sparkSession)
-    id_, body = F.col(f"`{key}`"), F.col(f"`{text}`")
+    rows = located(docs)
+    id_, body = F.col(position(docs.columns, key)), F.col(position(docs.columns, text))
     train: Column = in_training(id_, *fold) if fold else id_.isNotNull()
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(body)), F.lit(0)), F.count("*"), F.count_if(train)).first()
+    size = rows.agg(F.coalesce(F.sum(F.octet_length(body)), F.lit(0)), F.count("*"), F.count_if(train)).first()
     blocks = DELETED * max(2, -(-int(size[0]) // (BLOCK_BYTES * DELETED)))
     about = max(1, int(size[0]) // 6 + size[1])
     buckets, bits = max(8, -(-about // PER_BUCKET)), [_bits(about, k + 1) for k in range(order)]
-    rows = located(docs).select(id_.alias("id"), body.alias("text"), train.alias("train"), F.pmod(spot(), F.lit(blocks)).alias("block"))
+    rows = rows.select(id_.alias("id"), body.alias("text"), train.alias("train"), F.pmod(spot(), F.lit(blocks)).alias("block"))
 
     asked = rows.select("block", "train", "text").mapInArrow(_ask(order, bits, buckets), "level int, bucket long, grams binary, blocks binary, counts binary")
     answers = written(asked.groupBy("level", "bucket").applyInArrow(_answer, "block long, level int, bucket long, counts binary, retained binary, tokens long, words long, kept long"), "lm-answers")

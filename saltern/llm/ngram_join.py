@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from saltern.llm.common import drop_written, small_batches, spread_join, written
 from saltern.llm.components import components, least_linked
-from saltern.llm.exact_dedup import located, spot, without
+from saltern.llm.exact_dedup import located, position, spot, without
 from saltern.llm.packing import expand, mix as _mix, runs as _runs, squeeze
 
 ROWS, COLUMNS = 512, 2048
@@ -313,11 +313,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, n
     """One row a document: ``at`` (locator), ``id``, ``n_shingles``, ``component`` (a number, null
     without n-grams), ``component_id`` (smallest id) and ``n_links`` (other rows linked directly),
     for J >= num/den."""
-    return _join(_columns(located(docs), key, text), n, num, den)
+    return _join(_columns(located(docs), docs.columns, key, text), n, num, den)
 
 
-def _columns(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col("saltern_at").alias("at"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+def _columns(rows: DataFrame, columns: list[str], key: str, text: str) -> DataFrame:
+    return rows.select(F.col("saltern_at").alias("at"), F.col(position(columns, key)).alias("id"), F.col(position(columns, text)).alias("text"))
 
 
 def _candidates(flushes: DataFrame, reps: DataFrame, buckets: int, bits: int, num: int, den: int) -> DataFrame:
@@ -401,7 +401,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     """``docs`` with one row of each component: the smallest id, then the first row. Rows without
     n-grams stay."""
     rows = located(docs)
-    every = _join(_columns(rows, key, text), n, num, den)
+    every = _join(_columns(rows, docs.columns, key, text), n, num, den)
     found = written(every.filter("n_links > 0").select("at", "id", "component", "node"), "join-found")
     drop_written(*every.saltern_tables)
     first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node", "at")).alias("x"))
