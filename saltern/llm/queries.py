@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltern.llm import chat_format, embedding_dedup, exact_dedup, language_id, lm_scoring, ngram_join, secret_scan, sentencepiece_codec, source_mixing, toxicity
+from saltern.llm import chat_format, decontaminate, embedding_dedup, exact_dedup, language_id, lm_scoring, ngram_join, secret_scan, sentencepiece_codec, source_mixing, toxicity
 from saltern.llm.common import fold_is, table
 
 
@@ -206,9 +206,44 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        F.col("n_words").cast("long").alias("n_words"),
+        F.size("hit").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("hit") > 0).alias("contaminated"),
+    )
+
+
+OP13_SQL = rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+),
+b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+),
+p AS (SELECT *, least(len(w), {decontaminate.WINDOW}) AS n FROM b WHERE len(w) > 0),
+q AS (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM p),
+items AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM q),
+lengths AS (SELECT DISTINCT n FROM items),
+e AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN lengths ON len(w) >= n),
+hits AS (SELECT r, i, n, item_id FROM (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS x FROM e) JOIN items USING (n, x)),
+covered AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hits) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN ids USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_sentencepiece, op4_toxicity, op5_secret_scan, op6_source_mixing, op7_chat_format, op8_exact_dedup, op9_language_id, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_sentencepiece, op4_toxicity, op5_secret_scan, op6_source_mixing, op7_chat_format, op8_exact_dedup, op9_language_id, op10_ngram_join, op13_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2_SQL, "op5_secret_scan": _op5_sql(), "op6_source_mixing": _op6_sql(), "op8_exact_dedup": OP8_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op5_secret_scan": _op5_sql(), "op6_source_mixing": _op6_sql(), "op8_exact_dedup": OP8_SQL, "op13_decontaminate": OP13_SQL}
