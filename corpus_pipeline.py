@@ -1,7 +1,7 @@
 """Corpus pipeline over ``documents``: each stage's result is written and read again.
 
-Language ID drops documents without text or letters, also where no row can be learned from; exact dedup keeps,
-of equal texts, the one with the most code points; the n-gram join keeps one document of each
+Language ID drops documents without text or letters, whatever languages are called and also where no
+row can be learned from; exact dedup keeps, of equal texts, the one with the most code points; the n-gram join keeps one document of each
 group of near-duplicates (five words, Jaccard 0.8); mixing takes documents to the target weights
 of the tree of domains, languages and sources, a document once for each epoch; SentencePiece gives
 the chosen documents' token ids. All stages but the last return the columns of ``documents``.
@@ -16,16 +16,10 @@ from saltern.llm import exact_dedup, language_id, ngram_join, sentencepiece_code
 from saltern.llm.common import DOCUMENT_COLUMNS, table, written
 from saltern.llm.queries import MIX_EPOCHS, MIX_FRACTION, MIX_SEED, MIX_WEIGHTS, piece_model
 
-#: What language ID takes as a letter, as Java writes it.
-LETTER = r"[\p{L}\p{Nl}\p{No}]"
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language_id.fit(docs)
-    if model is None:  # every prediction would be undetermined
-        return docs.filter(F.col("text").rlike(LETTER)).select(*DOCUMENT_COLUMNS)
-    out = language_id.predict(docs.select(*DOCUMENT_COLUMNS), model)
-    return out.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*DOCUMENT_COLUMNS)
+    out = language_id.predict(docs.select(*DOCUMENT_COLUMNS), language_id.fit(docs), determined="determined")
+    return out.filter("determined").select(*DOCUMENT_COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

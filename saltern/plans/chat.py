@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltern.plans import intent
+from saltern.plans.answers import DIRECT, USED
 
-# Scores from which recipes answer by themselves or support a model, and hits are sources.
-DIRECT, HYBRID, SOURCE = 80.0, 50.0, 0.30
+# Fixed value: the score from which recipes support a model; answers.py has the other two.
+HYBRID = 50.0
 # What a question about replacing an ingredient says.
 REPLACE = ["instead of", "substitute", "alternative"]
 
@@ -39,7 +40,7 @@ def outcomes(questions: DataFrame, recipes: DataFrame, hits: DataFrame) -> DataF
     found = hits.filter("pos = 0").select("query_id", F.col("score").alias("hit"))
     rows = intent.classified(questions).join(best, "query_id", "left").join(found, "query_id", "left")
     n, top, met = F.coalesce("n", F.lit(0)), F.coalesce("top", F.lit(0.0)), F.coalesce("met", F.lit(False))
-    sources = F.coalesce(F.col("hit") >= SOURCE, F.lit(False))
+    sources = F.coalesce(F.col("hit") >= USED, F.lit(False))
     enough = F.when(F.col("route") == "compare", n >= 2).otherwise(n >= 1)
     outcome = (
         F.when(F.btrim(F.coalesce("text", F.lit(""))) == "", "empty")

@@ -58,8 +58,8 @@ def test_top_k_is_cut_before_the_shuffle(spark, sf):
 def test_named_boost_and_gates(spark):
     row = spark.createDataFrame([("a lotion with Glycerin for the night", ["glycerin", "wax"], ["Silk Veil Night Cream"])], "t string, r array<string>, n array<string>")
     assert row.select(retrieval.named_boost(*map(retrieval.F.col, "trn"))).first()[0] == pytest.approx(0.18)
-    hits = spark.createDataFrame([("a", 0.5), ("a", 0.1), ("b", 0.3)], "query_id string, score double")
-    assert {r["query_id"] for r in answers.usable(hits).collect()} == {"a"}
+    hits = spark.createDataFrame([("a", 0.5), ("a", 0.1), ("b", 0.29), ("c", 0.30)], "query_id string, score double")
+    assert {r["query_id"] for r in answers.usable(hits).collect()} == {"a", "c"}
     direct = spark.createDataFrame([(90.0, "lookup", 3), (90.0, "compare", 3), (70.0, "lookup", 3)], "s double, r string, n int").select(answers.can_answer_directly(*map(retrieval.F.col, "srn")))
     assert [r[0] for r in direct.collect()] == [True, False, False]
 
