@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltern.llm import chat_format, decontaminate, embedding_dedup, exact_dedup, language_id, lm_scoring, ngram_join, secret_scan, sentencepiece_codec, source_mixing, toxicity
+from saltern.llm import chat_format, decontaminate, embedding_dedup, exact_dedup, language_id, lm_scoring, merkle, ngram_join, secret_scan, sentencepiece_codec, source_mixing, toxicity
 from saltern.llm.common import fold_is, table
 
 
@@ -206,6 +206,70 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering deletes line feeds of the texts of ids whose crc32 is even."""
+
+    def tampered(columns):
+        return {"text": F.when(F.crc32(columns["doc_id"].cast("string").cast("binary")) % 2 == 0, F.replace(columns["text"], F.lit("\n"), F.lit(""))).otherwise(columns["text"])}
+
+    out = merkle.verify(merkle.manifest(table(spark, sf_dir, "documents"), tampered=tampered))
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")).cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _op11_sql(documents: str = "documents") -> str:
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda t: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", t])) + ")"
+    n = merkle.FANOUT
+    side = lambda low, high: f"coalesce(array_to_string(nodes[{low}:{high}], ''), '')"
+    first = f"(pos // {n}) * {n}"
+    return rf"""
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS r, doc_id, source, {leaf("text")} AS leaf,
+           CASE WHEN crc % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS own
+    FROM (SELECT *, {_crc32_sql("doc_id")} AS crc FROM {documents})
+),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos FROM d),
+up(source, level, nodes) AS (
+    SELECT source, 0, list(leaf ORDER BY pos) FROM o GROUP BY source
+    UNION ALL
+    SELECT up.source, up.level + 1, list_transform(range(0, len(nodes), {n}), lambda k: sha256(array_to_string(nodes[k + 1:k + {n}], ''))) FROM up WHERE len(nodes) > 1
+),
+tips AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM up WHERE len(nodes) = 1),
+over_(level, nodes) AS (
+    SELECT 0, list(subroot ORDER BY pos) FROM tips
+    UNION ALL
+    SELECT level + 1, list_transform(range(0, len(nodes), {n}), lambda k: sha256(array_to_string(nodes[k + 1:k + {n}], ''))) FROM over_ WHERE len(nodes) > 1
+),
+fold(r, source, level, pos, proof, acc) AS (
+    SELECT r, source, 0, pos, '', own FROM o
+    UNION ALL
+    SELECT r, fold.source, fold.level + 1, pos // {n}, proof || {side(f"{first} + 1", "pos")} || {side("pos + 2", f"{first} + {n}")},
+           sha256({side(f"{first} + 1", "pos")} || acc || {side("pos + 2", f"{first} + {n}")})
+    FROM fold JOIN up ON fold.source IS NOT DISTINCT FROM up.source AND fold.level = up.level AND len(nodes) > 1
+),
+mid AS (SELECT r, t.subroot, t.pos, proof, acc FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY level DESC) AS last FROM fold) f JOIN tips t ON f.source IS NOT DISTINCT FROM t.source WHERE last = 1),
+rise(r, level, pos, proof, acc) AS (
+    SELECT r, 0, pos, proof, acc FROM mid
+    UNION ALL
+    SELECT r, rise.level + 1, pos // {n}, proof || {side(f"{first} + 1", "pos")} || {side("pos + 2", f"{first} + {n}")},
+           sha256({side(f"{first} + 1", "pos")} || acc || {side("pos + 2", f"{first} + {n}")})
+    FROM rise JOIN over_ ON rise.level = over_.level AND len(nodes) > 1
+),
+done AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY level DESC) AS last FROM rise) WHERE last = 1),
+root AS (SELECT nodes[1] AS root FROM over_ WHERE len(nodes) = 1)
+SELECT doc_id, leaf, subroot, root, sha256(done.proof) AS proof_sha256, done.acc AS folded_root, done.acc = root AS verified
+FROM d JOIN mid USING (r) JOIN done USING (r), root
+"""
+
+
+def _crc32_sql(column: str) -> str:
+    """The CRC-32 of an integer's decimal text, bit by bit; null for null."""
+    text = f"CAST({column} AS VARCHAR)"
+    shifted = "list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda k: CAST(ascii({text}[k]) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {shifted}), 4294967295)"
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -242,8 +306,8 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN ids USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_sentencepiece, op4_toxicity, op5_secret_scan, op6_source_mixing, op7_chat_format, op8_exact_dedup, op9_language_id, op10_ngram_join, op13_decontaminate)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_sentencepiece, op4_toxicity, op5_secret_scan, op6_source_mixing, op7_chat_format, op8_exact_dedup, op9_language_id, op10_ngram_join, op11_merkle, op13_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2_SQL, "op5_secret_scan": _op5_sql(), "op6_source_mixing": _op6_sql(), "op8_exact_dedup": OP8_SQL, "op13_decontaminate": OP13_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op5_secret_scan": _op5_sql(), "op6_source_mixing": _op6_sql(), "op8_exact_dedup": OP8_SQL, "op11_merkle": _op11_sql(), "op13_decontaminate": OP13_SQL}
