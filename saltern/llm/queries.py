@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltern.llm import chat_format, decontaminate, embedding_dedup, exact_dedup, language_id, lm_scoring, merkle, ngram_join, secret_scan, sentencepiece_codec, source_mixing, toxicity
+from saltern.llm import chat_format, decontaminate, embedding_dedup, exact_dedup, filter_audit, language_id, lm_scoring, merkle, ngram_join, secret_scan, sentencepiece_codec, source_mixing, toxicity
 from saltern.llm.common import fold_is, table
 
 
@@ -270,6 +270,48 @@ def _crc32_sql(column: str) -> str:
     return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {shifted}), 4294967295)"
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(counts)
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+           len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+           100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+           coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false) AS e
+    FROM w LEFT JOIN l USING (doc_id)
+),
+f AS (SELECT *, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END) || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS fails FROM m),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+    SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+    WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+),
+steps AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS before FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+x AS (
+    SELECT part, filter_order, step, n, good, toxic, own, fails, contains(fails, own) AS fail,
+           len(list_intersect(string_split(fails, ''), string_split(before, ''))) > 0 AND fails <> '' AND before <> '' AS gone
+    FROM g, steps
+),
+y AS (
+    SELECT part, filter_order, step, own,
+           sum(CASE WHEN NOT gone AND NOT fail THEN n ELSE 0 END) AS kept, sum(CASE WHEN fail AND NOT gone THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN fail AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN fail AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fail AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+    FROM x GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM y
+"""
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -306,8 +348,8 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN ids USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_sentencepiece, op4_toxicity, op5_secret_scan, op6_source_mixing, op7_chat_format, op8_exact_dedup, op9_language_id, op10_ngram_join, op11_merkle, op13_decontaminate)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_sentencepiece, op4_toxicity, op5_secret_scan, op6_source_mixing, op7_chat_format, op8_exact_dedup, op9_language_id, op10_ngram_join, op11_merkle, op12_filter_audit, op13_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2_SQL, "op5_secret_scan": _op5_sql(), "op6_source_mixing": _op6_sql(), "op8_exact_dedup": OP8_SQL, "op11_merkle": _op11_sql(), "op13_decontaminate": OP13_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op5_secret_scan": _op5_sql(), "op6_source_mixing": _op6_sql(), "op8_exact_dedup": OP8_SQL, "op11_merkle": _op11_sql(), "op12_filter_audit": OP12_SQL, "op13_decontaminate": OP13_SQL}
