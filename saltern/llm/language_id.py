@@ -234,6 +234,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", lang_pred: s
         return df.withColumns({lang_pred: F.lit(UNDETERMINED), score: F.lit(0.0)} | ({determined: F.coalesce(F.col(f"`{text}`").rlike(LETTER), F.lit(False))} if determined else {}))
     more = [determined] if determined else []
     at, names = keep.index(text), [*keep, lang_pred, score, *more]
+    inner = [f"c{k}" for k in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = model.lookup()
@@ -249,7 +250,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", lang_pred: s
                     z /= z.sum(axis=1, keepdims=True)
                     for k, best, row in zip(some, z.argmax(axis=1), z, strict=True):
                         langs[k], scores[k] = model.langs[best], float(row[best])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *[pa.array(np.isin(np.arange(len(texts)), some)) for _ in more]], names=names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *[pa.array(np.isin(np.arange(len(texts)), some)) for _ in more]], names=inner)
 
     schema = T.StructType([*df.schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType()), *[T.StructField(c, T.BooleanType()) for c in more]])
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"c{k}" for k in range(len(keep))]).mapInArrow(run, T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(schema)])).toDF(*names)
