@@ -1,8 +1,9 @@
 """Recipe analytics: cost, compliance, comparison, roles, substitution and batches.
 
-``lines``: formulation_id, line_no, raw_name, normalized_name, amount, unit. Reference tables
-(prices, regulatory rules, substitution rules) are small files of an installation; `theta` counts
-them before it broadcasts, and deals larger ones into blocks.
+``lines``: formulation_id, line_no, raw_name, normalized_name, amount, unit. Names meet reference
+tables (prices, regulatory rules, substitution rules) through the grams of `containment`, whatever
+the tables' sizes. `theta` serves conditions that have no such form: it counts the table before it
+broadcasts, and deals larger ones into blocks.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saltern.functions.text import SPACES, bounded, canonical_key, ingredient_name
+from saltern.operators import containment
 from saltern.operators.catalog import best
 
 #: Rows of a reference table (a few hundred bytes each) that are broadcast to a containment join.
@@ -79,7 +81,8 @@ def line_prices(lines: DataFrame, prices: DataFrame) -> DataFrame:
     names = lines.select("raw_name", "normalized_name").distinct()
     candidates = F.array(F.lower(F.coalesce("normalized_name", F.lit(""))), F.lower(F.btrim("raw_name", F.lit(SPACES))), ingredient_name(F.col("raw_name")))
     asked = names.select("raw_name", "normalized_name", F.posexplode(candidates).alias("candidate", "name")).filter("name <> ''")
-    pairs = theta(asked, prices, either_way(F.col("name"), F.col("ingredient")))
+    near = containment.either_way(asked.select("name"), prices.select("ingredient")).withColumnRenamed("term", "ingredient")
+    pairs = asked.join(near, "name").join(prices, "ingredient")
     rank = F.struct(F.when(F.col("name") == F.col("ingredient"), 0).otherwise(1).alias("stage"), "candidate", "pos")
     found = pairs.groupBy("raw_name", "normalized_name").agg(F.min(F.struct(rank.alias("rank"), "price")).alias("x"))
     keys = found.select("raw_name", "normalized_name", F.col("x.price").alias("price")).withColumnsRenamed({"raw_name": "r_", "normalized_name": "n_"})
@@ -105,7 +108,8 @@ def _regulated(lines: DataFrame, rules: DataFrame, markets: list[str]) -> DataFr
     asked = asked.select(F.explode(F.concat(F.array(F.lower("ingredient")), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.lower))).alias("term"), F.lower("status").alias("rule"), "max_percent", source.alias("source")).filter("term <> ''")
     used = lines.select("formulation_id", "raw_name", "amount", "unit", own.alias("name_"))
     names = used.select("name_", F.lower("raw_name").alias("raw_")).distinct()
-    hits = theta(names, asked, either_way(F.col("name_"), F.col("term")) | either_way(F.col("raw_"), F.col("term")))
+    near = containment.either_way(names.select(F.explode(F.array("name_", "raw_"))), asked.select("term"))
+    hits = reduce(DataFrame.union, [names.join(near, F.col(c) == F.col("name")) for c in ("name_", "raw_")]).join(asked, "term")
     hits = hits.select(F.col("name_").alias("n_"), F.col("raw_").alias("r_"), "rule", "max_percent", "source").distinct()
     both = used.join(hits, used["name_"].eqNullSafe(hits["n_"]) & F.lower(used["raw_name"]).eqNullSafe(hits["r_"]))
     over = F.coalesce((F.col("unit") == "%") & (F.col("amount") > F.col("max_percent")), F.lit(False))
@@ -161,7 +165,7 @@ def rule_substitutes(lines: DataFrame, rules: DataFrame, banned: tuple[str, ...]
     asked = rules.select(F.explode(F.concat(F.array(F.lower("from")), F.transform(F.coalesce("aliases_from", F.array().cast("array<string>")), F.lower))).alias("term"), F.col("to").alias("substitute"), "confidence", *([F.col("product_types").alias("for_types")] if typed else []))
     own = lines.select("formulation_id", F.lower(F.coalesce("normalized_name", "raw_name")).alias("name"))
     names = own.select("name").distinct()
-    hits = own.join(theta(names, asked, either_way(F.col("name"), F.col("term"))), "name")
+    hits = own.join(containment.either_way(names, asked.select("term")).join(asked, "term"), "name")
     for term in banned:
         hits = hits.filter(~either_way(F.lower("substitute"), F.lit(term.lower())))
     if typed:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from saltern.functions import text as T
 from saltern.functions.text import bounded
-from saltern.operators import analytics, catalog, chunking, conversations, evaluate, retrieval, rules, warehouse
+from saltern.operators import analytics, catalog, chunking, containment, conversations, evaluate, retrieval, rules, warehouse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -387,7 +387,9 @@ SELECT id, category FROM m WHERE r = 1""")
 def q42_longest_category(spark: SparkSession, d: str) -> DataFrame:
     table = spark.createDataFrame(_CATEGORIES, "pos int, category string, member string, typical_min double, typical_max double, hard_max double")
     own = F.concat(F.lit(" "), F.lower("p_name"), F.lit(" "))
-    hits = analytics.theta(read(spark, d, "part").select(F.col("p_partkey").alias("id"), own.alias("own")), table, F.col("own").contains(F.concat(F.lit(" "), "member", F.lit(" "))))
+    rows, table = read(spark, d, "part").select(F.col("p_partkey").alias("id"), own.alias("own")), table.withColumn("term", F.concat(F.lit(" "), "member", F.lit(" ")))
+    pairs = containment.containing(rows.select("own"), table.select("term")).withColumnRenamed("text", "own")
+    hits = rows.join(pairs, "own").join(table, "term")
     return hits.groupBy("id").agg(F.min(F.struct((-F.char_length("member")).alias("l"), "pos", "category")).alias("x")).select("id", "x.category")
 
 
