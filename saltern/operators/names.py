@@ -44,48 +44,49 @@ def same_title(asked: Column, title: Column) -> Column:
     return F.coalesce((x != "") & (y != "") & ((x == y) | inside | ((F.size(p) > 0) & words)), F.lit(False))
 
 
-def has_ingredient(needle: str, ingredients: Column, name: Column, source: Column) -> Column:
+def has_ingredient(needle: str | Column, ingredients: Column, name: Column, source: Column) -> Column:
     """Whether a recipe has an ingredient: in a line (with or without spaces, or three quarters of
-    its words), or, failing that, in its text; sun protection factors by their number."""
-    n = needle.lower().strip()
-    if not n:
-        return F.lit(False)
-    text = F.lower(F.concat_ws("\n", name, source))
-    if n.startswith("spf"):
-        digits = "".join(c for c in n if c.isdigit())
-        return text.rlike(rf"\bspf\s*{digits}\b" if digits else r"\bspf\b")
-    import re
-
-    words = sorted(set(re.findall(r"[a-z0-9]{3,}", n)))
+    its words), or, failing that, in its text; sun protection factors by their number. ``needle`` is a
+    name or a column of names."""
+    n = F.lower(F.btrim(needle if isinstance(needle, Column) else F.lit(needle)))
+    text, tight = F.lower(F.concat_ws("\n", name, source)), F.replace(n, F.lit(" "), F.lit(""))
+    digits = F.regexp_replace(n, "[^0-9]", "")
+    factor = F.rlike(text, F.when(digits != "", F.concat(F.lit(r"\bspf\s*"), digits, F.lit(r"\b"))).otherwise(F.lit(r"\bspf\b")))
+    words = _words(n, "[a-z0-9]{3,}")
 
     def line(x: Column) -> Column:
         raw, norm = F.lower(F.coalesce(x["raw_name"], F.lit(""))), F.lower(F.coalesce(x["normalized_name"], F.lit("")))
-        close = raw.contains(n) | norm.contains(n) | F.replace(raw, F.lit(" "), F.lit("")).contains(n.replace(" ", "")) | F.replace(norm, F.lit(" "), F.lit("")).contains(n.replace(" ", ""))
-        if not words:
-            return close
+        close = raw.contains(n) | norm.contains(n) | F.replace(raw, F.lit(" "), F.lit("")).contains(tight) | F.replace(norm, F.lit(" "), F.lit("")).contains(tight)
         own = _words(F.concat_ws(" ", raw, norm), "[a-z0-9]{3,}")
-        return close | (F.size(F.array_intersect(F.array(*map(F.lit, words)), own)) >= 0.75 * len(words))
+        return close | (F.size(words) > 0) & (F.size(F.array_intersect(words, own)) >= 0.75 * F.size(words))
+
+    telling = F.array_except(words, F.array(F.lit("the"), F.lit("and")))
+    hits = F.size(F.filter(telling, lambda w: text.contains(w)))
+    rest = F.when(F.size(telling) >= 2, hits >= F.greatest(F.lit(2), F.size(telling) - 1)).otherwise(text.contains(n) & (F.char_length(n) >= 5))
+    return F.when(F.coalesce(n, F.lit("")) == "", F.lit(False)).when(n.startswith("spf"), factor).otherwise(F.exists(ingredients, line) | rest)
 
-    telling = [w for w in words if w not in ("the", "and")]
-    hits = reduce(lambda a, b: a + b, [text.contains(w).cast("int") for w in telling], F.lit(0))
-    rest = hits >= max(2, len(telling) - 1) if len(telling) >= 2 else (text.contains(n) if len(n) >= 5 else F.lit(False))
-    return F.exists(ingredients, line) | rest
+
+def types_of(tags: Column, name: Column, source: Column) -> Column:
+    """All types that a recipe is of, by its tags or its text."""
+    text = F.lower(F.concat_ws("\n", name, source))
+    return F.array_union(F.coalesce(tags, F.array().cast("array<string>")), F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(t)) for t, p in RECIPE_TYPES.items()])))
 
 
 def has_types(required: list[str], tags: Column, name: Column, source: Column) -> Column:
     """Whether a recipe is of all types, by its tags or its text."""
-    text = F.lower(F.concat_ws("\n", name, source))
-    parts = [F.array_contains(tags, t) | (text.rlike(RECIPE_TYPES[t]) if t in RECIPE_TYPES else F.lit(False)) for t in required]
-    return reduce(lambda a, b: a & b, parts, F.lit(True))
+    return F.size(F.array_except(F.array(*map(F.lit, required)).cast("array<string>"), types_of(tags, name, source))) == 0
 
 
-def matches_signals(required: list[str], titles: list[str]) -> Column:
+def meets(required: Column, titles: Column) -> Column:
     """Whether a recipe (name, source_text, ingredients) has all ingredients, and the one title, asked for."""
-    name, source = F.col("name"), F.col("source_text")
-    out = reduce(lambda a, b: a & b, [has_ingredient(x, F.col("ingredients"), name, source) for x in required], F.lit(True))
-    if len(titles) == 1:
-        out = out & (same_title(F.lit(titles[0]), name) | same_title(F.lit(titles[0]), F.substring(source, 1, 240)))
-    return out
+    name, source, title = F.col("name"), F.col("source_text"), F.get(titles, F.lit(0))
+    titled = (F.size(titles) != 1) | same_title(title, name) | same_title(title, F.substring(source, 1, 240))
+    return F.forall(required, lambda t: has_ingredient(t, F.col("ingredients"), name, source)) & titled
+
+
+def matches_signals(required: list[str], titles: list[str]) -> Column:
+    """`meets` for given ingredients and titles."""
+    return meets(*[F.array(*map(F.lit, x)).cast("array<string>") for x in (required, titles)])
 
 
 def best_for_targets(ranked: DataFrame, targets: list[str]) -> DataFrame:

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
-from operator import add, or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltern.operators import analytics
 from saltern.operators.catalog import best
-from saltern.operators.names import has_ingredient, has_types, matches_signals, same_title
+from saltern.operators.names import has_ingredient, matches_signals, same_title, types_of
 from saltern.plans.intent import Brief
 
 COST_SLACK = 1.1
@@ -41,69 +42,102 @@ def _first(default: float, *cases: tuple[Column, float]) -> Column:
     return F.coalesce(*[F.when(test, points) for test, points in cases], F.lit(default))
 
 
-def name_bonus(name: Column, types: list[str], question: str) -> Column:
+@dataclass(frozen=True)
+class Asked:
+    """What a question asks for, as columns: arrays of types, ingredients and titles, and its text."""
+
+    types: Column
+    required: Column
+    titles: Column
+    question: Column
+
+    @classmethod
+    def given(cls, types: list[str], required: list[str] = (), titles: list[str] = (), question: str = "") -> Asked:
+        names = [F.array(*map(F.lit, x)).cast("array<string>") for x in (types, required, titles)]
+        return cls(*names, F.lit(question))
+
+    def wants(self, *types: str) -> Column:
+        return reduce(and_, [F.array_contains(self.types, t) for t in types])
+
+    def hand_cream(self) -> Column:
+        return self.question.rlike(HAND_CREAM)
+
+    def hits(self) -> Column:
+        """How many of the ingredients a recipe has."""
+        return F.size(F.filter(self.required, lambda t: has_ingredient(t, F.col("ingredients"), F.col("name"), F.coalesce("source_text", F.lit("")))))
+
+
+def name_bonus(name: Column, asked: Asked) -> Column:
     """Points of a lower-cased name for what the question is after."""
-    parts = [F.lit(0.0)]
-    if "baby" in types:
-        parts.append(_first(0.0, (name.contains("baby") & name.contains("shampoo"), 10.0)))
-    if "anti_dandruff" in types:
-        parts.append(_first(0.0, (F.replace(name, F.lit("-"), F.lit("")).contains("dandruff"), 10.0)))
-        if "shampoo" in types:
-            tight = F.regexp_replace(name, "[ -]", "")
-            parts.append(_first(0.0, (tight.contains("shamdoo") | name.contains("shampoo"), 12.0), (name.contains("lotion"), -10.0)))
-    if re.search(HAND_CREAM, question):
-        parts.append(_first(0.0, (name.rlike(TUBE), 18.0), (name.rlike(NAMED_HAND_CREAM), 8.0), (name.contains("baby"), -15.0), (name.contains("shampoo"), -10.0)))
-    return reduce(add, parts)
+    tight = F.regexp_replace(name, "[ -]", "")
+    baby = _first(0.0, (asked.wants("baby") & name.contains("baby") & name.contains("shampoo"), 10.0))
+    dandruff = _first(0.0, (asked.wants("anti_dandruff") & F.replace(name, F.lit("-"), F.lit("")).contains("dandruff"), 10.0))
+    shampoo = _first(0.0, (~asked.wants("anti_dandruff", "shampoo"), 0.0), (tight.contains("shamdoo") | name.contains("shampoo"), 12.0), (name.contains("lotion"), -10.0))
+    hand = _first(0.0, (~asked.hand_cream(), 0.0), (name.rlike(TUBE), 18.0), (name.rlike(NAMED_HAND_CREAM), 8.0), (name.contains("baby"), -15.0), (name.contains("shampoo"), -10.0))
+    return baby + dandruff + shampoo + hand
 
 
-def scored(formulations: DataFrame, types: list[str], required: list[str] = (), titles: list[str] = (), brief: Brief | None = None, trusted: tuple[str, ...] = (), question: str = "") -> DataFrame:
-    """``formulations`` (id, name, product_types, doc_id, source_text, ingredients: lines with
-    raw_name and normalized_name, names: array of line names, and cost_per_kg and compliance where a
-    brief is given) with ``breakdown`` and ``score`` from 0 to 100.
+def title_points(title: Column, name: Column, source: Column) -> Column:
+    return _first(-18.0, (same_title(title, name), 48.0), (same_title(title, F.concat_ws("\n", name, F.substring(source, 1, 500))), 28.0))
+
 
-    ``required`` are ingredients and ``titles`` the recipes that the question names."""
+def scored_for(rows: DataFrame, asked: Asked, brief: Brief | None = None, trusted: tuple[str, ...] = ()) -> DataFrame:
+    """Recipes, or pairs of a question and a recipe, with ``breakdown`` and ``score`` from 0 to 100.
+
+    ``rows``: name, product_types, doc_id, source_text, ingredients (lines with raw_name and
+    normalized_name), names (array of line names), cost_per_kg and compliance where a brief is
+    given, and the columns of ``asked``."""
     brief = brief or Brief()
     name, n, source = F.lower("name"), F.size("names"), F.coalesce("source_text", F.lit(""))
-    hits = reduce(add, [has_ingredient(t, F.col("ingredients"), F.col("name"), source).cast("int") for t in required], F.lit(0))
-    titled = [_first(-18.0, (same_title(F.lit(t), F.col("name")), 48.0), (same_title(F.lit(t), F.concat_ws("\n", "name", F.substring(source, 1, 500))), 28.0)) for t in titles]
-    shared = [F.lit(True) for p in MODIFIERS if re.search(p, question)]  # the question's own words count among the recipe's
-    cap = 8.0 if required or titles else 20.0
+    hits, need = asked.hits(), F.size(asked.required)
+    shared = reduce(or_, [asked.question.rlike(p) for p in MODIFIERS])  # the question's own words count among the recipe's
+    cap = F.when((need > 0) | (F.size(asked.titles) > 0), 8.0).otherwise(20.0)
+    typed = F.size(F.array_except(asked.types, types_of(F.col("product_types"), F.col("name"), source))) == 0
     parts: dict[str, Column] = {
-        "product_type_match": _first(0.0, (has_types(list(types), F.col("product_types"), F.col("name"), source), 40.0)) if types else F.lit(20.0),
-        "modifier_match": F.lit(30.0 if shared else 0.0),
+        "product_type_match": _first(0.0, (F.size(asked.types) == 0, 20.0), (typed, 40.0)),
+        "modifier_match": _first(0.0, (shared, 30.0)),
         "ingredient_completeness": F.least(n, F.lit(15)) / 15.0 * cap,
         "source_quality": _first(5.0, (reduce(or_, [F.col("doc_id").startswith(p) for p in trusted], F.lit(False)), 10.0)),
-        "name_bonus": name_bonus(name, list(types), question),
+        "name_bonus": name_bonus(name, asked),
         "preferred_ingredients": preferred_score(F.col("names"), brief.preferred),
-        "ingredient_match": _first(-30.0, (hits == len(required), 45.0), (hits > 0, hits * 12.0 - 8.0)) if required else F.lit(0.0),
-        "named_formula": F.greatest(*titled, F.lit(-18.0)) if titles else F.lit(0.0),
+        "ingredient_match": _first(-30.0, (need == 0, 0.0), (hits == need, 45.0), (hits > 0, hits * 12.0 - 8.0)),
+        "named_formula": F.when(F.size(asked.titles) == 0, 0.0).otherwise(F.array_max(F.transform(asked.titles, lambda t: title_points(t, F.col("name"), source)))),
     }
     if brief.markets:
         parts["compliance"] = _first(4.0, (F.col("compliance") == "fail", -100.0), (F.col("compliance") == "warn", -12.0))
     if brief.cost_target is not None:
         parts["cost_target"] = cost_score(F.col("cost_per_kg"), brief.cost_target)
-    if re.search(HAND_CREAM, question):
-        parts["hand_cream_title"] = _first(0.0, (name.rlike(TUBE), 25.0), (name.rlike(NAMED_HAND_CREAM), 10.0), (name.contains("baby") | name.contains("shampoo"), -20.0))
-    total = reduce(add, parts.values())
-    out = formulations.withColumn("breakdown", F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v.cast("double"))]))
+    parts["hand_cream_title"] = F.when(asked.hand_cream(), _first(0.0, (name.rlike(TUBE), 25.0), (name.rlike(NAMED_HAND_CREAM), 10.0), (name.contains("baby") | name.contains("shampoo"), -20.0)))
+    out = rows.withColumn("breakdown", F.map_filter(F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v.cast("double"))]), lambda _, v: v.isNotNull()))
+    total = F.aggregate(F.map_values("breakdown"), F.lit(0.0), lambda a, b: a + b)
     return out.withColumn("score", F.least(F.lit(100.0), F.greatest(F.lit(0.0), total)))
 
 
-def tiers(types: list[str], required: list[str] = (), titles: list[str] = (), question: str = "") -> list[Column]:
+def scored(formulations: DataFrame, types: list[str], required: list[str] = (), titles: list[str] = (), brief: Brief | None = None, trusted: tuple[str, ...] = (), question: str = "") -> DataFrame:
+    """`scored_for` for one question over ``formulations``: ``required`` are ingredients and ``titles``
+    the recipes that it names."""
+    return scored_for(formulations, Asked.given(types, required, titles, question), brief, trusted)
+
+
+def tiers_for(asked: Asked) -> list[Column]:
     """Orders that precede the score, the last re-sort first: named recipes and required ingredients,
-    shampoos where one against dandruff is asked for, hand creams by their titles."""
-    name, source = F.lower("name"), F.coalesce("source_text", F.lit(""))
-    out = []
-    if titles or required:
-        named = reduce(or_, [same_title(F.lit(t), F.col("name")) for t in titles], F.lit(False))
-        hits = reduce(add, [has_ingredient(t, F.col("ingredients"), F.col("name"), source).cast("int") for t in required], F.lit(0))
-        every = hits == len(required)
-        out.append(_first(3, (named & every, 0), (named | (every if required else F.lit(False)), 1), (hits > 0, 2)))
-    if {"anti_dandruff", "shampoo"} <= set(types):
-        out.append(_first(1, (F.replace(name, F.lit(" "), F.lit("")).contains("sham"), 0)))
-    if re.search(HAND_CREAM, question):
-        out.append(_first(2, (name.rlike(TUBE), 0), (name.rlike(NAMED_HAND_CREAM), 1)))
-    return out
+    shampoos where one against dandruff is asked for, hand creams by their titles. An order that a
+    question does not ask for is the same for all recipes."""
+    name, need, hits = F.lower("name"), F.size(asked.required), asked.hits()
+    named = F.exists(asked.titles, lambda t: same_title(t, F.col("name")))
+    every = hits == need
+    none = (F.size(asked.titles) == 0) & (need == 0)
+    return [
+        _first(3, (none, 3), (named & every, 0), (named | (every & (need > 0)), 1), (hits > 0, 2)),
+        _first(1, (asked.wants("anti_dandruff", "shampoo") & F.replace(name, F.lit(" "), F.lit("")).contains("sham"), 0)),
+        _first(2, (~asked.hand_cream(), 2), (name.rlike(TUBE), 0), (name.rlike(NAMED_HAND_CREAM), 1)),
+    ]
+
+
+def tiers(types: list[str], required: list[str] = (), titles: list[str] = (), question: str = "") -> list[Column]:
+    """The orders of `tiers_for` that one question asks for."""
+    used = [bool(titles or required), {"anti_dandruff", "shampoo"} <= set(types), bool(re.search(HAND_CREAM, question))]
+    return [t for t, use in zip(tiers_for(Asked.given(types, required, titles, question)), used, strict=True) if use]
 
 
 def brief_filter(rows: DataFrame, brief: Brief) -> DataFrame:

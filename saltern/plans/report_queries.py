@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from saltern.functions import text as T
 from saltern.functions.text import bounded
 from saltern.operators import analytics, catalog, conversations, evaluate, names, retrieval, rules, warehouse
-from saltern.plans import answers, chat, intent, ranking
+from saltern.plans import answers, chat, intent, question_search, ranking
 from saltern.plans.queries import _BM25, LINES, _boost_sql, _dot, _round, formulations_of, lines_of, read
 from saltern.sources import recipes, tables
 from saltern.sources.shared import new_path
@@ -241,6 +241,75 @@ def q89_structured_score(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", bounded(F.col("score"), 4).alias("score"), F.col("breakdown")["cost_target"].alias("cost"), F.col("breakdown")["preferred_ingredients"].alias("preferred"))
 
 
+# A table of questions: every benchmark item asks for a part, mostly its type, and at times a recipe by its name.
+
+_PLAIN = ", ".join(f"'{w}'" for w in names.PLAIN_WORDS)
+
+
+def _same_title_sql(a: str, b: str) -> str:
+    x, y = (f"regexp_replace(lower({t}), '[^a-z0-9]', '', 'g')" for t in (a, b))
+    p, q = (f"list_distinct(regexp_extract_all(lower({t}), '[a-z]{{3,}}'))" for t in (a, b))
+    telling = f"list_filter({p}, lambda w: NOT list_contains([{_PLAIN}], w))"
+    share, told = f"len(list_intersect({p}, {q})) / greatest(len({p}), 1)", f"len(list_intersect({telling}, {q}))"
+    inside = f"((contains({x}, {y}) OR contains({y}, {x})) AND least(length({x}), length({y})) >= 12)"
+    words = f"CASE WHEN len({telling}) >= 2 THEN {share} >= 7e-1 AND {told} >= 2 WHEN len({telling}) = 1 THEN {share} >= 65e-2 AND {told} >= 1 ELSE len({p}) >= 2 AND {share} = 1 END"
+    return f"coalesce({x} <> '' AND {y} <> '' AND ({x} = {y} OR {inside} OR (len({p}) > 0 AND {words})), false)"
+
+
+def _pool_sql(kind: str, condition: str, most: int) -> str:
+    return f"SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id, k ORDER BY confidence DESC, id) AS place FROM {kind} JOIN r ON {condition}) WHERE place <= {most}"
+
+
+@query(rf"""WITH {LINES},
+r AS (
+    SELECT o_orderkey AS id, o_totalprice AS confidence, min(normalized_name) || ' ' || any_value(o_orderpriority) AS name, list(DISTINCT tag) AS tags, list(normalized_name) AS lines
+    FROM orders JOIN l ON formulation_id = o_orderkey GROUP BY o_orderkey, o_totalprice
+),
+q AS (
+    SELECT item_id AS query_id, b.text, lower(p_name) AS n, CASE WHEN item_id % 3 <> 0 THEN p_type END AS type, CASE WHEN item_id % 2 = 0 THEN name END AS title,
+           list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]{{3,}}')) AS words
+    FROM benchmark b JOIN part ON p_partkey = item_id LEFT JOIN r ON id = item_id
+),
+types AS (SELECT query_id, coalesce(type, '') AS k FROM q),
+needles AS (
+    SELECT query_id, lower(unnest(list_concat([title[1:40]], list_filter(regexp_extract_all(title, '[A-Za-z]{{4,}}'), lambda w: NOT list_contains(['cream', 'lotion', 'shampoo', 'formula'], lower(w)))[1:2]))) AS k
+    FROM q WHERE title IS NOT NULL
+),
+firsts AS (SELECT query_id, string_split(n, ' ')[1] AS k FROM q WHERE length(string_split(n, ' ')[1]) >= 3),
+laters AS (SELECT query_id, list_filter(regexp_extract_all(n, '[A-Za-z]{{4,}}'), lambda w: w <> string_split(n, ' ')[1])[1] AS k FROM q WHERE length(string_split(n, ' ')[1]) >= 3),
+pool AS (
+    {_pool_sql("types", "k = '' OR list_contains(tags, k)", 60)}
+    UNION {_pool_sql("needles", "contains(lower(name), k)", 20)}
+    UNION {_pool_sql("firsts", "len(list_filter(lines, lambda x: contains(x, k))) > 0", 30)}
+    UNION {_pool_sql("laters", "len(list_filter(lines, lambda x: contains(x, k))) > 0", 20)}
+),
+t AS (
+    SELECT q.*, r.*, {_same_title_sql("title", "name")} AS titled,
+           len(list_filter(lines, lambda x: contains(x, n) OR contains(replace(x, ' ', ''), replace(n, ' ', '')) OR len(list_intersect(words, regexp_extract_all(x, '[a-z0-9]{{3,}}'))) >= 75e-2 * len(words))) > 0
+           OR CASE WHEN len(words) >= 2 THEN len(list_filter(words, lambda w: contains(lower(name), w))) >= greatest(2, len(words) - 1) ELSE contains(lower(name), n) AND length(n) >= 5 END AS has
+    FROM pool JOIN q USING (query_id) JOIN r USING (id) WHERE len(lines) >= 2
+),
+s AS (
+    SELECT *, least(100e0, greatest(0e0, CASE WHEN type IS NULL THEN 20e0 WHEN list_contains(tags, type) THEN 40e0 ELSE 0e0 END
+           + CASE WHEN regexp_matches(text, '(?i)\banti[-\s]?dandruff\b|\bantidandruff\b|\bbaby\b|\bsulfate[-\s]?free\b|\bhand\s+(and\s+)?(nail\s+)?cream\b') THEN 30e0 ELSE 0e0 END
+           + least(len(list_distinct(lines)), 15) / 15e0 * 8 + 5 + CASE WHEN has THEN 45e0 ELSE -30e0 END + CASE WHEN title IS NULL THEN 0e0 WHEN titled THEN 48e0 ELSE -18e0 END)) AS score
+    FROM t
+),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(name)[1:80] ORDER BY score DESC, len(lines) DESC, id) AS first FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN titled AND has THEN 0 WHEN titled OR has THEN 1 ELSE 3 END, score DESC, id) AS place FROM b WHERE first = 1)
+SELECT query_id, CAST(place AS INTEGER) AS place, id, {_round("score", 4)} AS score, has AND (title IS NULL OR titled) AS met FROM o WHERE place <= 5""")
+def q105_question_search(spark: SparkSession, d: str) -> DataFrame:
+    lines, none = lines_of(spark, d), F.array().cast("array<string>")
+    held = lines.groupBy(F.col("formulation_id").alias("id")).agg(
+        F.min("normalized_name").alias("least"), F.collect_set("tag").alias("product_types"), F.collect_set("normalized_name").alias("names"), F.collect_list(F.struct("raw_name", "normalized_name")).alias("ingredients"))
+    recipes = formulations_of(spark, d).join(held, "id").withColumns({"name": F.concat("least", F.lit(" "), "name"), "source_text": F.lit("")}).drop("least", "status")
+    part = read(spark, d, "part").select(F.col("p_partkey").alias("query_id"), "p_name", "p_type")
+    asked = read(spark, d, "benchmark").withColumnRenamed("item_id", "query_id").join(part, "query_id").join(recipes.select(F.col("id").alias("query_id"), "name"), "query_id", "left")
+    some = lambda c, use: F.when(use, F.array(c)).otherwise(none)
+    asked = asked.select("query_id", "text", some("p_type", F.col("query_id") % 3 != 0).alias("types"), F.array("p_name").alias("required"), some("name", (F.col("query_id") % 2 == 0) & F.col("name").isNotNull()).alias("titles"))
+    return question_search.search(asked, recipes).select("query_id", "place", "id", bounded(F.col("score"), 4).alias("score"), "met")
+
+
 # Retrieval
 
 
