@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from saltern.functions import text as T
 from saltern.functions.text import bounded
 from saltern.operators import analytics, catalog, chunking, containment, conversations, evaluate, retrieval, rules, warehouse
+from saltern.operators.bm25_index import BM25Index
+from saltern.sources.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -201,6 +203,17 @@ def q20_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25(read(spark, d, "documents"), queries, 20, digits=4).withColumn("pos", F.col("pos").cast("long"))
 
 
+@query(f"WITH {_BM25} SELECT query_id, doc_id, score, pos FROM bm WHERE pos < 20")
+def q106_bm25_index(spark: SparkSession, d: str) -> DataFrame:
+    """As q20, from a stored index to which short, middling and long documents have been appended in turn."""
+    docs, index = read(spark, d, "documents"), BM25Index(spark, new_path(spark, "index"))
+    size = F.coalesce("n_chars", F.lit(0))
+    for part in (size < 500, (size >= 500) & (size < 2000), size >= 2000):
+        index.append(docs.filter(part))
+    queries = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return index.search(queries, 20, digits=4).withColumn("pos", F.col("pos").cast("long"))
+
+
 def _dot(a: str, b: str) -> str:
     return f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
