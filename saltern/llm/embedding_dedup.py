@@ -12,7 +12,8 @@ probability ``RECALL`` (closer pairs nearly always).
 Equal vectors of a label form a class, and only classes are hashed. A bucket's rows are cut into
 row blocks of ``ROWS``; each pair of row blocks is a tile, and tiles are dealt to groups by hash, so
 memory is bounded for any bucket. A pair is counted where it meets first (smallest table, then
-smallest bucket), which both rows' vectors tell, so nothing is gathered to drop repeats. A tile
+smallest bucket), which both rows' vectors tell, so nothing is gathered to drop repeats: a tile's
+links are counted and joined into a forest ``PAIRS`` at a time, and no list of them is kept. A tile
 returns counts of links and, for each node, one that its links lead to: rows grow with vectors, never with pairs.
 
 Defined results: a vector that is null, empty, zero or has a null or non-finite component, or whose
@@ -36,6 +37,8 @@ from saltern.llm.components import components, least_linked
 ROWS, RECALL, SEED, ALTERNATIVES = 1024, 0.9995, 20240, 2
 #: Vectors that one bucket holds on average, and bytes of vectors in a group of tiles.
 PER_BUCKET, GROUP_BYTES = 32, 8 << 20
+#: Cells of a product, and pairs whose first meeting is looked up, at once.
+CELLS, PAIRS = 1 << 20, 50_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -163,6 +166,37 @@ def _spread(hashes: Hashes, wide: bool):
     return run
 
 
+class Codes:
+    """The hash codes of the vectors of a group, made when one is asked for."""
+
+    def __init__(self, hashes: Hashes, unit: np.ndarray):
+        self.hashes, self.unit, self.codes, self.have = hashes, unit, None, np.zeros(len(unit), bool)
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        new = np.unique(at[~self.have[at]])
+        if len(new):
+            got = self.hashes.all(self.unit[new])
+            if self.codes is None:
+                self.codes = np.zeros((len(self.unit), *got.shape[1:]), got.dtype)
+            self.codes[new], self.have[new] = got, True
+        return self.codes[at]
+
+
+class Forest:
+    """Components of so many nodes by their least node, linked a few pairs at a time."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        new = self.label[a] != self.label[b]
+        if new.any():
+            tree = np.flatnonzero(self.label != np.arange(len(self.label)))
+            a, b = np.concatenate([self.label[tree], a[new]]), np.concatenate([tree, b[new]])
+            order = np.argsort(a, kind="stable")
+            self.label = least_linked(a[order], b[order], len(self.label))
+
+
 def _tiles(hashes: Hashes, threshold: float, wide: bool):
     """Links of a group of tiles: (a, b, links); a row with b null counts a's links."""
 
@@ -180,7 +214,8 @@ def _tiles(hashes: Hashes, threshold: float, wide: bool):
         keys = np.stack([label, rows["tbl"], rows["code"], rows["left"], rows["right"]], axis=1)[order]
         starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
         ends = np.append(starts[1:], len(keys))
-        found = []
+        forest = Forest(len(nodes))
+        links, codes = np.zeros(len(nodes), np.int64), Codes(hashes, unit)
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
             if e - s < 2:
                 continue
@@ -188,30 +223,23 @@ def _tiles(hashes: Hashes, threshold: float, wide: bool):
             _, table, code, left, right = keys[s].tolist()
             a = at[rows["side"][at] == left]
             b = a if left == right else at[rows["side"][at] == right]
-            for low in range(0, len(a), ROWS):
-                x = a[low : low + ROWS]
+            step = max(1, CELLS // max(1, len(b)))
+            for low in range(0, len(a), step):
+                x = a[low : low + step]
                 near = unit[place[x]] @ unit[place[b]].T >= threshold
                 near &= rows["home"][x][:, None] | rows["home"][b][None, :]
                 if left == right:
                     near &= rows["node"][x][:, None] < rows["node"][b][None, :]
                 i, j = np.nonzero(near)
-                if len(i):
-                    found.append(np.stack([place[x[i]], place[b[j]], np.full(len(i), table), np.full(len(i), code)], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
-        links = np.zeros(len(nodes), np.int64)
-        if len(pairs):
-            used, at = np.unique(pairs[:, :2], return_inverse=True)
-            codes, at = hashes.all(unit[used]), at.reshape(-1, 2)
-            good = np.zeros(len(pairs), bool)
-            for low in range(0, len(pairs), 50_000):
-                part = slice(low, low + 50_000)
-                table, code = met(codes[at[part, 0]], codes[at[part, 1]])
-                good[part] = (table == pairs[part, 2]) & (code == pairs[part, 3])
-            pairs = pairs[good]
-            links += np.bincount(pairs[:, 0], weights=copies[pairs[:, 1]], minlength=len(nodes)).astype(np.int64)
-            links += np.bincount(pairs[:, 1], weights=copies[pairs[:, 0]], minlength=len(nodes)).astype(np.int64)
-        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-        label, some = least_linked(pairs[:, 0], pairs[:, 1], len(nodes)), np.flatnonzero(links)
+                for cut in range(0, len(i), PAIRS):
+                    p, q = place[x[i[cut : cut + PAIRS]]], place[b[j[cut : cut + PAIRS]]]
+                    tables, met_at = met(codes.of(p), codes.of(q))
+                    first = (tables == table) & (met_at == code)  # each pair counts where it meets first
+                    p, q = p[first], q[first]
+                    links += np.bincount(p, weights=copies[q], minlength=len(nodes)).astype(np.int64)
+                    links += np.bincount(q, weights=copies[p], minlength=len(nodes)).astype(np.int64)
+                    forest.join(p, q)
+        label, some = forest.label, np.flatnonzero(links)
         tree = np.flatnonzero(label != np.arange(len(nodes)))
         out_b = [*nodes[label[tree]].tolist(), *[None] * len(some)]
         return pa.table({"a": pa.array(np.concatenate([nodes[tree], nodes[some]])), "b": pa.array(out_b, pa.int64()), "links": pa.array(np.concatenate([np.zeros(len(tree), np.int64), links[some]]))})
