@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from saltern.functions import text as T
 from saltern.functions.text import bounded
 from saltern.operators import analytics, catalog, conversations, evaluate, names, retrieval, rules, warehouse
+from saltern.operators.vector_collection import VectorCollection
 from saltern.plans import answers, chat, intent, question_search, ranking
 from saltern.plans.queries import _BM25, LINES, _boost_sql, _dot, _round, formulations_of, lines_of, read
 from saltern.sources import recipes, tables
@@ -22,9 +23,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str):
+def query(sql: str | None):
+    """Register a query, with its SQL if SQL can express it."""
+
     def add(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
         return f
 
     return add
@@ -400,6 +405,36 @@ def q104_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.hybrid_search(chunks, vectors, asked).withColumn("pos", F.col("pos").cast("long"))
 
 
+# The stored collection of vectors
+
+
+def _collection(spark: SparkSession, d: str) -> tuple[VectorCollection, DataFrame]:
+    """All vectors, in two upserts of which the second replaces every seventh; and the stated query set."""
+    rows = read(spark, d, "embeddings")
+    size = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
+    out = VectorCollection(spark, new_path(spark, "collection"), size, payload="label int")
+    out.upsert(rows.withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))))
+    out.upsert(rows.filter("vec_id % 7 = 0"))
+    return out, rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
+c AS (SELECT query_id, vec_id, {_round(f"{_dot('embedding', 'v')} / sqrt({_dot('embedding', 'embedding')}) / sqrt({_dot('v', 'v')})", 6)} AS score FROM embeddings, q WHERE label <> 3 AND (label < 6 OR vec_id % 2 = 0))
+SELECT query_id, vec_id, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS pos FROM c) WHERE pos < 10""")
+def q107_vector_collection(spark: SparkSession, d: str) -> DataFrame:
+    """First rows under must and should conditions from a stored collection, all cells probed."""
+    it, asked = _collection(spark, d)
+    out = it.search(asked, 10, None, must=[F.col("label") != 3], should=[F.col("label") < 6, F.col("vec_id") % 2 == 0])
+    return out.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(None)
+def q108_vector_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of each query's exact first ten rows a search finds, with as many cells as stored vectors ask for."""
+    it, asked = _collection(spark, d)
+    return it.recall(asked, 10, it.probes_for(0.95))
+
+
 # Rules with a source text
 
 
