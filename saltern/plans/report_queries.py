@@ -17,6 +17,7 @@ from saltern.operators.vector_collection import VectorCollection
 from saltern.plans import answers, chat, intent, question_search, ranking
 from saltern.plans.queries import _BM25, LINES, _boost_sql, _dot, _round, formulations_of, lines_of, read
 from saltern.sources import recipes, tables
+from saltern.sources.recipe_store import RecipeStore
 from saltern.sources.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -435,6 +436,28 @@ def q108_vector_recall(spark: SparkSession, d: str) -> DataFrame:
     return it.recall(asked, 10, it.probes_for(0.95))
 
 
+# The store of recipes with children
+
+
+@query(f"""WITH {LINES}, k AS (SELECT * FROM l WHERE formulation_id % 3 <> 0 OR line_no % 2 = 1)
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'again' ELSE o_orderpriority END AS name, CASE WHEN o_orderkey % 5 = 0 THEN 0e0 ELSE o_totalprice END AS confidence,
+       count(raw_name) AS n, coalesce(sum(amount), 0e0) AS amount, o_orderkey % 5 = 0 AND count(raw_name) = 0 AS empty
+FROM orders LEFT JOIN k ON formulation_id = o_orderkey WHERE o_orderkey % 11 <> 0 GROUP BY o_orderkey, o_orderpriority, o_totalprice""")
+def q109_recipe_store(spark: SparkSession, d: str) -> DataFrame:
+    """Recipes and lines after an upsert of all, one that replaces every third, a deletion, and a validated patch."""
+    store = RecipeStore(spark, new_path(spark, "recipes"), "id long, name string, confidence double", {"lines": "formulation_id long, line_no int, raw_name string, amount double", "findings": "formulation_id long, rule_id string"}, buckets=16)
+    forms, lines = formulations_of(spark, d), lines_of(spark, d)
+    store.upsert(forms, lines=lines)
+    store.upsert(forms.filter("id % 3 = 0").withColumn("name", F.lit("again")), lines=lines.filter("line_no % 2 = 1"))
+    store.delete(forms.filter("id % 11 = 0"))
+    empty = lambda r, c: r.join(c["lines"], F.col("id") == F.col("formulation_id"), "left_anti").select(F.col("id").alias("formulation_id"), F.lit("no-lines").alias("rule_id"))
+    store.patch(forms.filter("id % 5 = 0").select("id", F.lit(0.0).alias("confidence")), empty, "findings")
+    now = store.snapshot()
+    sums = now["lines"].groupBy(F.col("formulation_id").alias("id")).agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+    found = now["findings"].select(F.col("formulation_id").alias("id"), F.lit(True).alias("empty"))
+    return now["recipes"].join(sums, "id", "left").join(found, "id", "left").fillna(0, ["n", "amount"]).fillna(False, ["empty"])
+
+
 # Rules with a source text
 
 
