@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from saltern.functions import text as T
 from saltern.functions.text import bounded
 from saltern.operators import analytics, catalog, conversations, evaluate, names, retrieval, rules, warehouse
+from saltern.operators.calls import CallTable
 from saltern.operators.vector_collection import VectorCollection
 from saltern.plans import answers, chat, intent, question_search, ranking
 from saltern.plans.queries import _BM25, LINES, _boost_sql, _dot, _round, formulations_of, lines_of, read
@@ -458,6 +459,29 @@ def q109_recipe_store(spark: SparkSession, d: str) -> DataFrame:
     return now["recipes"].join(sums, "id", "left").join(found, "id", "left").fillna(0, ["n", "amount"]).fillna(False, ["empty"])
 
 
+# Calls by content
+
+
+def _spaces(most: int | None):
+    """Stands for a model: the number of spaces, and no answer to a batch with a longer text than ``most``."""
+
+    def call(texts: list[str]) -> list[str]:
+        if most is not None and max(map(len, texts)) > most:
+            raise ValueError("too long")
+        return [str(t.count(" ")) for t in texts]
+
+    return call
+
+
+@query("""SELECT doc_id, CAST(length(text) - length(replace(text, ' ', '')) AS VARCHAR) AS reply FROM documents""")
+def q110_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct text is sent once; batches that fail in the first run are sent again in the second."""
+    docs, calls = read(spark, d, "documents").select("doc_id", "text"), CallTable(spark, new_path(spark, "calls"), "spaces")
+    for most in (2000, None):
+        calls.run(docs, _spaces(most), prompt="text")
+    return calls.answered(docs, "text").select("doc_id", "reply")
+
+
 # Rules with a source text
 
 
