@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from saltern.functions.text import quote_in, squeeze
-from saltern.operators.analytics import theta
-from saltern.operators.catalog import best
+from saltern.operators.fingerprints import holding
 
 
 def latest_message(messages: DataFrame, by: str = "conv_id", at: str = "turn") -> DataFrame:
@@ -54,18 +53,10 @@ def verified_quotes(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
 def find_quotes(quotes: DataFrame, chunks: DataFrame, head: int = 40) -> DataFrame:
     """(quote_id, key, verified): chunks (key, text) that hold the first ``head`` characters of a quote.
 
-    A quote meets the chunks that have the longest of its head's whole words, by an equi-join, so
-    neither side is multiplied by the other; quotes whose head has no inner word meet by its whole.
+    Chunks and heads meet through the heads' rarest winnowed fingerprints (`fingerprints.holding`), so
+    no frequent word or line brings them together.
     """
     own = quotes.select("quote_id", F.substring(F.lower(squeeze(F.col("quote"))), 1, head).alias("head")).filter("head <> ''")
-    words = F.split("head", " ")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    probe = own.select("quote_id", "head", F.posexplode_outer(inner).alias("at", "word"))
-    probe = best(probe, ["quote_id", "head"], [F.char_length("word").desc_nulls_last(), F.col("at")])
-    texts = chunks.select("key", F.lower(squeeze(F.col("text"))).alias("clean"))
-    near = texts.select("key", F.explode(F.array_distinct(F.split("clean", " "))).alias("word")).join(probe.filter("word IS NOT NULL"), "word").select("key", "quote_id", "head")
-    found = texts.join(near, "key").filter(F.col("clean").contains(F.col("head"))).select("quote_id", "key")
-    short = probe.filter("word IS NULL").select("quote_id", "head")
-    if not short.isEmpty():  # a head of one or two words: compared with all chunks, as a stated query set, in blocks
-        found = found.union(theta(texts, short, F.col("clean").contains(F.col("head"))).select("quote_id", "key"))
+    texts = chunks.select("key", F.lower(squeeze(F.col("text"))).alias("text"))
+    found = holding(texts, own.select("head")).join(own, "head").select("quote_id", "key")
     return found.distinct().withColumn("verified", F.lit(True))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from saltern.functions import text as T
 from saltern.functions.text import bounded
-from saltern.operators import analytics, catalog, conversations, evaluate, names, retrieval, rules, warehouse
+from saltern.operators import analytics, catalog, conversations, evaluate, fingerprints, names, retrieval, rules, warehouse
 from saltern.operators.calls import CallTable
 from saltern.operators.vector_collection import VectorCollection
 from saltern.plans import answers, chat, intent, question_search, ranking
@@ -601,6 +601,30 @@ def q102_suggest_substitutions(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("confidence", bounded(F.col("confidence"), 6))
 
 
+# Passages and drift, by fingerprints
+
+_SQ = r"lower(trim(regexp_replace({}, '[ \t\n\r\x0B\x0C]+', ' ', 'g'), ' '))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_SQ.format("text")} AS t FROM documents), q AS (SELECT doc_id AS query_id, substr(t, 101, 50) AS head FROM d WHERE doc_id % 20 = 0 AND substr(t, 101, 50) <> '')
+SELECT query_id, doc_id FROM q JOIN d ON contains(t, head)""")
+def q111_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold fifty characters of a document of the stated query set, from its 101st on (fewer at its end)."""
+    docs = read(spark, d, "documents").select("doc_id", F.lower(T.squeeze(F.col("text"))).alias("text"))
+    heads = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 101, 50).alias("head"))
+    found = fingerprints.holding(docs.select(F.col("doc_id").alias("key"), "text"), heads.select("head"))
+    return found.join(heads, "head").select("query_id", F.col("key").alias("doc_id"))
+
+
+@query(f"""WITH r AS (SELECT doc_id, substr({_SQ.format("text")}, 1, 80) AS head FROM documents), c AS (SELECT doc_id, substr(text, 41, 3200) AS text FROM documents UNION ALL SELECT doc_id, substr(text, 1, 3200) FROM documents WHERE doc_id % 7 <> 0)
+SELECT doc_id AS id, head FROM r WHERE head <> '' AND doc_id IN (SELECT doc_id FROM c) AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = r.doc_id AND contains({_SQ.format("coalesce(c.text, '')")}, head))""")
+def q112_chunk_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as records, with two overlapping chunks each; every seventh has lost its first one."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    chunks = docs.select("id", F.substring("text", 41, 3200).alias("text")).union(docs.filter("id % 7 <> 0").select("id", F.substring("text", 1, 3200).alias("text")))
+    return rules.drifted(docs, chunks)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
