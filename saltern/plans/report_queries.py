@@ -20,6 +20,7 @@ from saltern.plans.queries import _BM25, LINES, _boost_sql, _dot, _round, formul
 from saltern.sources import recipes, tables
 from saltern.sources.recipe_store import RecipeStore
 from saltern.sources.shared import new_path
+from saltern.streaming.jobs import IngestStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -625,6 +626,21 @@ def q112_chunk_drift(spark: SparkSession, d: str) -> DataFrame:
     return rules.drifted(docs, chunks)
 
 
+# Ingest in batches, each one commit
+
+
+@query("""SELECT doc_id AS path, octet_length(encode(text)) AS length, sha256(text) AS sha256, CASE WHEN doc_id % 3 <> 0 AND (doc_id % 5 <> 0 OR text = upper(text)) THEN 1 ELSE 2 END AS at FROM documents WHERE text IS NOT NULL""")
+def q113_ingest_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files: a first batch of two thirds, some of them in another version, taken twice; then a batch of all."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", "text")
+    as_files = lambda rows: rows.select("path", F.octet_length("text").cast("long").alias("length"), F.col("text").cast("binary").alias("content"))
+    first = docs.filter("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.upper("text")).otherwise(F.col("text")))
+    store = IngestStore(spark, new_path(spark, "ingest"))
+    for batch, rows in [(0, first), (0, first), (1, docs)]:
+        store.take(as_files(rows), "documents", batch)
+    return store.manifest().select(F.col("path").cast("long").alias("path"), "length", "sha256", "at")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
