@@ -16,7 +16,7 @@ from saltern.operators import analytics, catalog, conversations, evaluate, finge
 from saltern.operators.calls import CallTable
 from saltern.operators.vector_collection import VectorCollection
 from saltern.plans import answers, chat, intent, question_search, ranking
-from saltern.plans.queries import _BM25, LINES, _boost_sql, _dot, _round, formulations_of, lines_of, read
+from saltern.plans.queries import _BM25, LINES, _boost_sql, _dot, _formula_sql, _round, formulations_of, lines_of, read
 from saltern.sources import recipes, tables
 from saltern.sources.recipe_store import RecipeStore
 from saltern.sources.shared import new_path
@@ -641,6 +641,41 @@ def q113_ingest_manifest(spark: SparkSession, d: str) -> DataFrame:
     return store.manifest().select(F.col("path").cast("long").alias("path"), "length", "sha256", "at")
 
 
+# Which formulas go first: BM25 hits of the benchmark items, asked in four ways, on documents with what makes formulas
+
+_KINDS = ["compare a toner vs the baby shampoo ", "a lipstick with percentages ", "hand cream ", ""]
+_KIND_TYPES = [["toner", "baby", "shampoo"], ["makeup"], [], []]
+_ENDS = [" Baby shampoo ingredients 12 % water", " Toner of 5 % rose water, ingredients", " lipstick ingredients: 9 % wax", " Hand cream 3 % ingredients", " ingredients 4 %", ""]
+
+
+def _preferred_sql() -> str:
+    pick = lambda values, by: "CASE " + " ".join(f"WHEN {by} % {len(values)} = {k} THEN {v}" for k, v in enumerate(values)) + " END"
+    q = pick([f"'{k}'" for k in _KINDS], "query_id")
+    types = pick([f"CAST({t} AS VARCHAR[])" for t in _KIND_TYPES], "query_id")
+    signs = [f"(list_contains(types, '{tag}') OR contains(q, '{tag.replace('_', ' ')}')) AND regexp_matches(lower(t), '{p}')" for tag, p in retrieval.TEXT_TYPES]
+    signs += [f"contains(q, '{needle}') AND regexp_matches(lower(t), '{p}')" for needle, p, _ in retrieval.PHRASES]
+    return f"""WITH {_BM25.replace("1e4", "1e6")}, met AS (SELECT query_id, bm.doc_id, pos, lower({q} || b.text) AS q, {types} AS types, query_id % 4 <> 2 AS wants, d.text || {pick([f"'{e}'" for e in _ENDS], "bm.doc_id")} AS t, CASE WHEN bm.doc_id % 4 = 0 THEN ['toner'] ELSE CAST([] AS VARCHAR[]) END AS tags
+FROM bm JOIN benchmark b ON item_id = query_id JOIN documents d ON d.doc_id = bm.doc_id WHERE pos < 40),
+kinds AS (SELECT *, CASE WHEN NOT ({_formula_sql("t")}) THEN 2 WHEN list_has_any(types, tags) OR {" OR ".join(signs)} THEN 0 ELSE 1 END AS kind, regexp_matches(q, '{retrieval.COMPARES}') AS cmp FROM met),
+places AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY pos, doc_id) AS place FROM kinds),
+groups_ AS (SELECT *, CASE WHEN wants AND kind = 0 AND place <= CASE WHEN cmp THEN 4 ELSE 3 END THEN 0 WHEN wants AND kind = 1 AND cmp AND place <= 2 THEN 1 ELSE 2 END AS grp FROM places)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY grp, pos, doc_id) - 1 AS pos FROM groups_"""
+
+
+@query(_preferred_sql())
+def q114_preferred_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """Pins of three formulas, or of four and two where the question compares."""
+    pick = lambda values, by: F.element_at(F.array(*values), (F.col(by) % len(values) + 1).cast("int"))
+    docs, items = read(spark, d, "documents"), read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    hits = retrieval.bm25(docs, items, 40)
+    asked = items.select("query_id", F.concat(pick([F.lit(k) for k in _KINDS], "query_id"), "text").alias("q"), pick([F.array(*map(F.lit, t)).cast("array<string>") for t in _KIND_TYPES], "query_id").alias("types"))
+    chunks = docs.select("doc_id", F.concat("text", pick([F.lit(e) for e in _ENDS], "doc_id")).alias("t"), F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("toner"))).otherwise(F.array().cast("array<string>")).alias("tags"))
+    rows = hits.join(asked, "query_id").join(chunks, "doc_id")
+    fits = retrieval.on_type(F.col("tags"), F.col("types"), F.col("q"), F.col("t"))
+    out = retrieval.prefer_formulas(rows, F.col("q"), F.col("query_id") % 4 != 2, fits, T.is_formula(F.col("t")))
+    return out.select("query_id", "doc_id", F.col("pos").cast("long").alias("pos"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -84,3 +84,40 @@ def test_stuck_topics(spark):
 
     rows = spark.createDataFrame([(["cream"], ["shampoo"], ["shampoo"]), ([], ["shampoo"], ["shampoo"]), (["shampoo"], ["shampoo"], ["shampoo"]), (["cream"], ["shampoo"], ["cream"]), ([], [], ["cream"])], "a array<string>, b array<string>, c array<string>")
     assert [r[0] for r in rows.select(chat.stuck_topic(*map(retrieval.F.col, "abc"))).collect()] == [True, True, False, False, False]
+
+
+def test_formulas_that_fit_go_first(spark):
+    f, h = "% ingredients", "prose"
+    kinds = [h, f"oil {f}", f"toner {f}", h, *[f"a toner {f}"] * 5, f"wax {f}", f"salt {f}", "toner history"]
+    rows = [(q, k, k, text, question, types, wants) for q, question, types, wants in [("one", "best toner", [], True), ("two", "Toner vs. wax", ["toner"], False), ("none", "toner", [], False), ("null", "toner", [], None)] for k, text in enumerate(kinds)]
+    hits = spark.createDataFrame(rows, "query_id string, doc_id long, pos long, t string, q string, types array<string>, wants boolean")
+    c = retrieval.F.col
+    fits = retrieval.on_type(retrieval.F.array().cast("array<string>"), c("types"), c("q"), c("t"))
+    out = retrieval.prefer_formulas(hits, c("q"), c("wants") | (retrieval.F.size("types") > 0), fits, retrieval.T.is_formula(c("t")))
+    got = {}
+    for r in out.orderBy("query_id", "pos").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    rest = lambda first: first + [k for k in range(len(kinds)) if k not in first]
+    assert got == {"one": rest([2, 4, 5]), "two": rest([2, 4, 5, 6, 1, 9]), "none": rest([]), "null": rest([])}
+
+
+def test_boosts_by_types_in_a_column(spark):
+    tags = [["baby"], ["baby", "shampoo"], ["toner"], [], ["anti_dandruff", "shampoo"]]
+    for types in (["baby", "shampoo"], ["anti_dandruff"], ["toner", "gel"], []):
+        rows = spark.createDataFrame([(t, types) for t in tags], "tags array<string>, types array<string>")
+        got = rows.select(retrieval.tags_boost(retrieval.F.col("tags"), retrieval.F.col("types")).alias("a"), retrieval.type_boost(retrieval.F.col("tags"), types).alias("b")).collect()
+        assert [r["a"] for r in got] == pytest.approx([r["b"] for r in got])
+
+
+def test_typed_hybrid_search(spark):
+    texts = ["prose on toners", "toner: rose 12 % ingredients", "wax 5 % ingredients", "about nothing", "gel toner 3 % ingredients with glycerin"]
+    chunks = spark.createDataFrame([(k, t, ["toner"] if k == 1 else []) for k, t in enumerate(texts)], "doc_id long, text string, tags array<string>")
+    vectors = spark.createDataFrame([(k, [1.0 if k == j else 0.2 for j in range(5)]) for k in range(5)], "doc_id long, embedding array<double>")
+    schema = "query_id string, text string, vector array<double>, product_types array<string>, wants_formula boolean, required array<string>, titles array<string>"
+    queries = spark.createDataFrame([("a", "compare toner and wax", [0.2, 0.2, 0.2, 1.0, 0.2], ["toner"], True, ["Glycerin"], []), ("b", "about nothing", [0.2, 0.2, 0.2, 1.0, 0.2], None, None, [], [])], schema)
+    recipes = spark.createDataFrame([("a", 77, 0.94, "Formula: toner of mint 2 % ingredients", ["toner"]), ("a", 1, 0.92, "not taken: there is a chunk", [])], "query_id string, doc_id long, score double, text string, tags array<string>")
+    got = {}
+    for r in retrieval.hybrid_search(chunks, vectors, queries, structured=recipes).orderBy("query_id", "pos").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert set(got["a"][:3]) == {1, 4, 77} and got["a"][3] == 2 and sorted(got["a"]) == [0, 1, 2, 3, 4, 77]
+    assert got["b"][0] == 3 and 77 not in got["b"]
