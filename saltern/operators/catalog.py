@@ -89,6 +89,26 @@ def quality(formulations: DataFrame, lines: DataFrame, high: float = 0.85) -> Da
     )
 
 
+def audit(formulations: DataFrame, lines: DataFrame, high: float = 0.85, thin: int = 8) -> DataFrame:
+    """`quality` with the share of recipes that have a procedure, recipes by extraction method (a map), and examples of the
+    surest recipes of fewer than six lines. ``formulations`` with name, extraction_method and procedure.
+
+    One row, also without recipes: shares are 0 then, and the median and mean of lines too. A null method counts
+    as "unknown"; of equally sure examples those of fewer lines, then of smaller ids, come first."""
+    method = F.coalesce("extraction_method", F.lit("unknown"))
+    shares = quality(formulations, lines, high).fillna(0.0)
+    more = formulations.agg(F.coalesce(F.avg((F.coalesce(F.size("procedure"), F.lit(0)) > 0).cast("double")), F.lit(0.0)).alias("with_procedure"))
+    counts = formulations.groupBy(method.alias("m")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("m", "n")))).alias("by_method"))
+    per = lines.groupBy(F.col("formulation_id").alias("id")).agg(F.count("*").alias("n"))
+    few = formulations.select("id", "name", "confidence", method.alias("m")).join(per, "id", "left").fillna(0, ["n"]).filter("n < 6")
+    few = few.orderBy(F.col("confidence").desc(), "n", "id").limit(thin)
+    text = F.format_string("%s (%d ing, %s, conf=%.2f)", F.substring("name", 1, 50), "n", "m", "confidence")
+    few = few.agg(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "n", "id", text.alias("t")))).alias("x")).select(F.transform("x", lambda x: x["t"]).alias("thin_examples"))
+    for one in (more, counts, few):  # one row each
+        shares = shares.crossJoin(F.broadcast(one))
+    return shares
+
+
 def gate_failures(report: dict[str, float], gate: dict[str, float] | None = None) -> list[str]:
     """Names of the thresholds that a quality report misses."""
     gate = gate or GATE

@@ -676,6 +676,27 @@ def q114_preferred_formulas(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "doc_id", F.col("pos").cast("long").alias("pos"))
 
 
+# The audit of an ingested catalogue
+
+
+@query(f"""WITH c AS (SELECT l_orderkey AS id, count(*) AS n, max(CASE WHEN l_quantity IS NOT NULL THEN 1 ELSE 0 END) AS a FROM lineitem GROUP BY 1),
+b AS (SELECT o_orderkey AS key, o_orderpriority || ' ' || o_custkey AS name, CASE WHEN o_orderkey % 13 = 0 THEN 'unknown' ELSE o_orderpriority END AS m, o_totalprice / 1e6 AS confidence, coalesce(n, 0) AS n, coalesce(a, 0) AS a FROM orders LEFT JOIN c ON id = o_orderkey),
+thin AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, n, key) AS r FROM b WHERE n < 6)
+SELECT count(*) AS total, {_round('avg(CASE WHEN n >= 6 THEN 1e0 ELSE 0e0 END)', 6)} AS six_plus, {_round('avg(CAST(a AS DOUBLE))', 6)} AS with_amounts, {_round('avg(CASE WHEN key % 3 = 0 THEN 1e0 ELSE 0e0 END)', 6)} AS with_procedure,
+       {_round('avg(CASE WHEN confidence >= 2e-1 THEN 1e0 ELSE 0e0 END)', 6)} AS confident, {_round('avg(CASE WHEN n = 2 THEN 1e0 ELSE 0e0 END)', 6)} AS two_only, CAST(median(n) AS DOUBLE) AS median_lines, {_round('avg(n)', 6)} AS mean_lines,
+       (SELECT string_agg(m || '=' || k, ',' ORDER BY m) FROM (SELECT m, count(*) AS k FROM b GROUP BY 1)) AS by_method,
+       (SELECT string_agg(printf('%s (%d ing, %s, conf=%.2f)', substr(name, 1, 50), n, m, confidence), '; ' ORDER BY r) FROM thin WHERE r <= 8) AS thin_examples FROM b""")
+def q115_catalogue_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as recipes: their priority is the method, every third has a procedure."""
+    method = F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderpriority"))
+    steps = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("mix"))).when(F.col("o_orderkey") % 3 == 1, F.array().cast("array<string>"))
+    forms = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", "o_orderpriority", "o_custkey").alias("name"), (F.col("o_totalprice") / 1e6).alias("confidence"), method.alias("extraction_method"), steps.alias("procedure"))
+    out = catalog.audit(forms, lines_of(spark, d), high=0.2)
+    out = out.withColumns({c: bounded(F.col(c), 6) for c in ("six_plus", "with_amounts", "with_procedure", "confident", "two_only", "mean_lines")})
+    by = F.array_join(F.transform(F.map_entries("by_method"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return out.withColumns({"by_method": by, "thin_examples": F.array_join("thin_examples", "; ")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -121,3 +121,14 @@ def test_typed_hybrid_search(spark):
         got.setdefault(r["query_id"], []).append(r["doc_id"])
     assert set(got["a"][:3]) == {1, 4, 77} and got["a"][3] == 2 and sorted(got["a"]) == [0, 1, 2, 3, 4, 77]
     assert got["b"][0] == 3 and 77 not in got["b"]
+
+
+def test_an_audit_of_nothing(spark):
+    from saltern.operators import catalog
+
+    forms = spark.createDataFrame([("a", None, 0.5, None, None)], "id string, name string, confidence double, extraction_method string, procedure array<string>")
+    lines = spark.createDataFrame([], "formulation_id string, amount double")
+    one = catalog.audit(forms, lines).first()
+    assert (one["total"], one["with_procedure"], one["by_method"], one["median_lines"]) == (1, 0.0, {"unknown": 1}, 0.0) and len(one["thin_examples"]) == 1
+    none = catalog.audit(forms.limit(0), lines).first()
+    assert (none["total"], none["six_plus"], none["with_procedure"], none["by_method"], none["thin_examples"], none["mean_lines"]) == (0, 0.0, 0.0, {}, [], 0.0)
