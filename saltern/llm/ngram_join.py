@@ -358,7 +358,7 @@ def _join(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(56, max(32, int(size // 6 + 1).bit_length() + 10))  # about one n-gram in a thousand meets another's token
     each = f"array<struct<at:struct<file:string,row:long>,id:{kinds['id'].dataType.simpleString()},n:long,cls:binary,node:long>>"
-    flushes = written(rows.mapInArrow(_pack(n, bits), f"flush long, docs {each}, sizes binary, index binary, tokens binary, counts binary"), "join-flushes")
+    flushes = written(rows.mapInArrow(_pack(n, bits), f"flush long, docs {each}, sizes binary, index binary, tokens binary, counts binary"), "join-flushes", compression="uncompressed")  # packed rows of megabytes: again, they only cost buffers
     base = flushes.select("flush", F.explode("docs").alias("d")).select("flush", "d.*")
     own = base.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("node", "flush", "n", spot("at").alias("spot"), F.col("at.row").alias("row"))).alias("x"), F.count("*").alias("copies"), F.min("id").alias("least"))
     classes = written(own.select("x.*", "copies", "cls", "least"), "join-classes")

@@ -286,3 +286,29 @@ def test_pipeline_of_nothing(spark, tmp_path):
 
     docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_batches_of_long_texts_end_by_bytes(spark):
+    from saltern.llm import common
+
+    rows, size = (f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    before = {k: spark.conf.get(k) for k in (rows, size)}
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "size": [sum(len(x.as_py()) for x in batch.column("text"))]})
+
+    try:
+        spark.conf.set(size, "64m")
+        common.small_batches(spark)
+        found = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 262144) AS text").mapInArrow(run, "n long, size long").collect()
+        assert sum(r["n"] for r in found) == 40 and sum(r["size"] for r in found) == 40 * 262144
+        assert max(r["size"] for r in found) <= common.TEXT_BYTES + 262144
+        spark.conf.set(size, "512kb")  # a smaller setting stays
+        common.small_batches(spark)
+        assert spark.conf.get(size) == "512kb"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
