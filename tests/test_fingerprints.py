@@ -64,3 +64,21 @@ def test_drift_looks_at_a_records_own_chunks(spark):
     got = {tuple(r) for r in rules.drifted(records, chunks).collect()}
     head = source.lower()[:80]
     assert got == {("other", head), ("twice", "gone")}
+
+
+def test_drift_of_records_with_few_heads_needs_no_fingerprints(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["oil", "wax", "water", "aloe", "zinc", "Ä"]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    records = [(k % 9, line(rng.randrange(0, 4))) for k in range(60)] + [(None, "oil"), (70, "oil"), (71, None)]
+    chunks = [(k % 10, line(rng.randrange(0, 9)).upper()) for k in range(40)] + [(None, "oil"), (3, None), (71, "wax")]
+    want = {(i, t.lower()) for i, t in records if i in {c for c, _ in chunks} - {None} and t and not any(c == i and x and t.lower() in x.lower() for c, x in chunks)}
+    frames = spark.createDataFrame(records, "id long, text string"), spark.createDataFrame(chunks, "id long, text string")
+    assert {tuple(r) for r in rules.drifted(*frames, direct=2).collect()} == want  # most ids through fingerprints
+
+    def refuse(*_, **__):
+        raise AssertionError("texts were cut into fingerprints")
+
+    monkeypatch.setattr(rules, "holding", refuse)
+    rows = [tuple(r) for r in rules.drifted(*frames).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
