@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from saltern.functions.text import page_text, slug
 from saltern.operators.catalog import best, upsert
+from saltern.sources.shared import written
 
 
 class Table:
@@ -112,16 +113,20 @@ def sample_excerpts(chunks: DataFrame, n: int, seed: str, least: int = 80) -> Da
 
 def resolve_sources(asked: DataFrame, known: DataFrame) -> DataFrame:
     """(asked, doc_id): each asked name's document: by its id, its lower-case id, its slug, else the
-    first id that begins with the slug or that the slug begins with. ``asked``: asked; ``known``: doc_id."""
+    first id that begins with the slug or that the slug begins with. ``asked``: asked; ``known``: doc_id.
+
+    Joins are merged: prefixes are many times the rows that a plan expects, too many to be broadcast on its word."""
+    known = known.select("doc_id").distinct().hint("merge")
     own = asked.select("asked").distinct().withColumn("key", F.btrim("asked")).filter("key <> ''")
     own = own.withColumn("slug", F.btrim(F.regexp_replace(F.lower("key"), r"[^a-z0-9]+", "_"), F.lit("_")))
-    keys = own.select("asked", F.posexplode(F.array("key", F.lower("key"), "slug")).alias("stage", "try"))
-    exact = keys.join(known.select("doc_id").distinct(), F.col("try") == F.col("doc_id")).groupBy("asked").agg(F.min_by("doc_id", "stage").alias("doc_id"))
-    # A prefix of either side is an equi-join on the slug's own prefixes and on the ids' prefixes.
-    left = own.join(exact, "asked", "left_anti").filter("slug <> ''")
-    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda k: F.substring(F.col(c), F.lit(1), k))
-    longer = known.select("doc_id", F.explode(prefixes("doc_id")).alias("slug")).join(left, "slug").select("asked", "doc_id")
-    shorter = left.select("asked", F.explode(prefixes("slug")).alias("doc_id")).join(known.select("doc_id"), "doc_id").select("asked", "doc_id")
+    keys = own.select("asked", F.posexplode(F.array_distinct(F.array("key", F.lower("key"), "slug"))).alias("stage", "try"))
+    exact = keys.join(known, F.col("try") == F.col("doc_id")).groupBy("asked").agg(F.min_by("doc_id", "stage").alias("doc_id"))
+    # A prefix of either side is an equi-join on the slug's own prefixes and on the ids' prefixes, of lengths that the other side has.
+    left = written(own.join(exact.hint("merge"), "asked", "left_anti").filter("slug <> ''").select("asked", "slug"), "unresolved").hint("merge")
+    lengths = lambda df, c: F.array(*[F.lit(r["n"]) for r in df.select(F.char_length(c).alias("n")).filter("n > 0").distinct().sort("n").collect()]).cast("array<int>")
+    cut = lambda c, sizes: F.transform(F.filter(sizes, lambda k: k <= F.char_length(c)), lambda k: F.substring(F.col(c), F.lit(1), k))
+    longer = known.select("doc_id", F.explode(cut("doc_id", lengths(left, "slug"))).alias("slug")).hint("merge").join(left, "slug").select("asked", "doc_id")
+    shorter = left.select("asked", F.explode(cut("slug", lengths(known, "doc_id"))).alias("doc_id")).hint("merge").join(known, "doc_id").select("asked", "doc_id")
     near = longer.unionByName(shorter).groupBy("asked").agg(F.min("doc_id").alias("doc_id"))
     return exact.unionByName(near)
 

@@ -1,7 +1,11 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from saltern.operators import names as N
 from saltern.sources import recipes as R
+from saltern.sources import tables
 
 
 def test_titles(spark):
@@ -36,3 +40,24 @@ def test_readings_never_get_worse():
     assert R.reparsed([R.Row("Betaine", None)], "list", text)[1] == "table"
     full = [R.Row(f"Name {k}", 20.0, "%") for k in range(5)]
     assert R.reparsed(full, "llm", text) is None and R.reparsed(full, "table", text) is None
+
+
+def test_sources_resolve_without_broadcasts(spark):
+    rng = random.Random(7)
+    stem = lambda: "_".join(rng.choice(["oil", "wax", "Red", "a1"]) for _ in range(rng.randrange(1, 4)))
+    known = sorted({stem().lower() + rng.choice(["", "_1", "_12"]) for _ in range(25)})
+    asked = sorted({rng.choice(["", " "]) + stem() + rng.choice(["", " 1", "_12_x", "_", "!"]) for _ in range(60)} | {"", " ", "!!", "nowhere"})
+    frames = spark.createDataFrame([(a,) for a in asked] * 2, "asked string"), spark.createDataFrame([(k,) for k in known], "doc_id string")
+    want = set()
+    for a in asked:
+        key = a.strip(" ")
+        slug = re.sub("[^a-z0-9]+", "_", key.lower()).strip("_")
+        exact = [x for x in (key, key.lower(), slug) if x in known]
+        near = [k for k in known if slug and (k.startswith(slug) or slug.startswith(k))]
+        if key and (exact or near):
+            want.add((a, (exact or near)[0]))
+    out = tables.resolve_sources(*frames)
+    rows = [tuple(r) for r in out.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert tables.resolve_sources(frames[0], frames[1].limit(0)).count() == 0 and tables.resolve_sources(frames[0].limit(0), frames[1]).count() == 0
