@@ -241,9 +241,7 @@ SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY sc
 def q22_rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     vectors, queries = read(spark, d, "embeddings"), _vector_queries(spark, d)
     dense = retrieval.dense_top_k(vectors, queries, 30).select("query_id", F.col("vec_id").alias("id"), "pos")
-    near = vectors.select("vec_id").crossJoin(F.broadcast(queries.select("query_id")))  # the stated query set against all ids
-    order = Window.partitionBy("query_id").orderBy(F.abs(F.col("vec_id") - F.col("query_id")), "vec_id")
-    other = near.withColumn("pos", F.row_number().over(order) - 1).filter("pos < 40").select("query_id", F.col("vec_id").alias("id"), "pos")
+    other = retrieval.nearest_keys(vectors, queries, 40).select("query_id", F.col("vec_id").alias("id"), "pos")  # the stated query set against all ids
     return retrieval.rrf([dense, other], "id").withColumn("pos", F.col("pos").cast("long"))
 
 

@@ -1,6 +1,10 @@
 """Report queries against their SQL, and the whole way of a question to its sources."""
 
+import math
+import random
+
 import duckdb
+import pyarrow as pa
 import pytest
 
 from saltern.operators import retrieval
@@ -132,3 +136,40 @@ def test_an_audit_of_nothing(spark):
     assert (one["total"], one["with_procedure"], one["by_method"], one["median_lines"]) == (1, 0.0, {"unknown": 1}, 0.0) and len(one["thin_examples"]) == 1
     none = catalog.audit(forms.limit(0), lines).first()
     assert (none["total"], none["six_plus"], none["with_procedure"], none["by_method"], none["thin_examples"], none["mean_lines"]) == (0, 0.0, 0.0, {}, [], 0.0)
+
+
+def test_large_query_sets_shuffle_no_vectors(spark):
+    rng = random.Random(9)
+    base = [[rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)] for _ in range(8)]
+    rows = [(k * 3, rng.choice(base)) for k in range(300)] + [(1, None), (2, [0.0, 0.0, 0.0]), (4, [1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = vectors.filter("vec_id % 15 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    usable = {k: unit(v) for k, v in rows if v and len(v) == 3 and any(v)}
+    want = set()
+    for q in (k for k, _ in rows if k % 15 == 0 and k in usable):
+        by = sorted((-math.floor(sum(a * b for a, b in zip(usable[q], v, strict=True)) * 1e6 + 0.5), k) for k, v in usable.items())
+        want |= {(q, k, pos) for pos, (_, k) in enumerate(by[:7])}
+    for limit in (1 << 20, 100):  # at once, and in many passes
+        out = retrieval.dense_top_k(vectors, asked, 7, limit_bytes=limit)
+        assert {(r["query_id"], r["vec_id"], r["pos"]) for r in out.collect()} == want and out.count() == len(want)
+        assert "CoGroups" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ties_do_not_pile_up_in_a_task():
+    ids = pa.table({"query_id": pa.array([5, 6]), "vector": pa.array([[1.0, 0.0], [0.0, 1.0]])})
+    batches = [pa.RecordBatch.from_pydict({"key": pa.array([f"k{at:03d}" for at in range(k, k + 100)]), "embedding": pa.array([[1.0, 1.0]] * 100)}) for k in (100, 0)]
+    got = [r for batch in retrieval._near(ids, "key", 3, 2)(iter(batches)) for r in batch.to_pylist()]
+    assert sorted((r["query_id"], r["key"]) for r in got) == [(q, k) for q in (5, 6) for k in ("k000", "k001", "k002")]
+
+
+def test_nearest_keys_equal_brute_force(spark):
+    rng = random.Random(4)
+    keys = sorted(rng.sample(range(-400, 4000), 150)) + [10**9, -(10**9)]
+    asked = keys[::9] + [-5000, 5000, 17]
+    out = retrieval.nearest_keys(spark.createDataFrame([(k,) for k in keys], "vec_id long"), spark.createDataFrame([(q,) for q in asked], "query_id long"), 6)
+    want = {(q, k, pos) for q in set(asked) for pos, k in enumerate(sorted(keys, key=lambda k: (abs(k - q), k))[:6])}
+    rows = [tuple(r) for r in out.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
