@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltern.sources.shared import delete, drop_written, exists, new_path, shared_dir, written
+from saltern.sources.shared import TEXT_BYTES, TEXT_ROWS, delete, drop_written, exists, new_path, shared_dir, small_batches, written
 
-__all__ = ["delete", "drop_written", "exists", "new_path", "shared_dir", "written"]
+__all__ = ["TEXT_BYTES", "TEXT_ROWS", "delete", "drop_written", "exists", "new_path", "shared_dir", "small_batches", "written"]
 
 #: `[\x20\x09-\x0D]`, the white space of every contract here.
 SPACE = " \t\n\x0b\x0c\r"
@@ -19,23 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch of whole texts, and bytes after which a batch ends with its row.
-TEXT_ROWS, TEXT_BYTES = 1000, 1 << 20
-_UNITS = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Texts are long, and so are rows of packed ones: from now on, the session's Arrow batches hold at
-    most ``TEXT_ROWS`` rows and end with the row that reaches ``TEXT_BYTES``, which bounds what a Python
-    worker and its executor hold of them off the heap. Smaller settings stay."""
-    rows, size = (f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch"))
-    if int(spark.conf.get(rows)) > TEXT_ROWS:
-        spark.conf.set(rows, TEXT_ROWS)
-    found = spark.conf.get(size).lower().rstrip("b")  # as 67108864b, 64m or 64mb
-    if not 0 < int(found.rstrip("kmg")) * _UNITS.get(found[-1], 1) <= TEXT_BYTES:
-        spark.conf.set(size, TEXT_BYTES)
-
-
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", by: str = "node", salts: int = 16) -> DataFrame:
     """Join where one key may hold much of ``left`` and ``right`` has one row a key: each row of
     ``right`` goes to ``salts`` tasks, and ``left`` is dealt among them by ``by``."""

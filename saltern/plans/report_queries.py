@@ -19,7 +19,7 @@ from saltern.plans import answers, chat, intent, question_search, ranking
 from saltern.plans.queries import _BM25, LINES, _boost_sql, _dot, _formula_sql, _round, formulations_of, lines_of, read
 from saltern.sources import recipes, tables
 from saltern.sources.recipe_store import RecipeStore
-from saltern.sources.shared import new_path
+from saltern.sources.shared import new_path, written
 from saltern.streaming.jobs import IngestStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -667,10 +667,10 @@ def q114_preferred_formulas(spark: SparkSession, d: str) -> DataFrame:
     """Pins of three formulas, or of four and two where the question compares."""
     pick = lambda values, by: F.element_at(F.array(*values), (F.col(by) % len(values) + 1).cast("int"))
     docs, items = read(spark, d, "documents"), read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    hits = retrieval.bm25(docs, items, 40)
+    hits = written(retrieval.bm25(docs, items, 40), "preferred-hits")
     asked = items.select("query_id", F.concat(pick([F.lit(k) for k in _KINDS], "query_id"), "text").alias("q"), pick([F.array(*map(F.lit, t)).cast("array<string>") for t in _KIND_TYPES], "query_id").alias("types"))
     chunks = docs.select("doc_id", F.concat("text", pick([F.lit(e) for e in _ENDS], "doc_id")).alias("t"), F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("toner"))).otherwise(F.array().cast("array<string>")).alias("tags"))
-    rows = hits.join(asked, "query_id").join(chunks, "doc_id")
+    rows = hits.join(asked, "query_id").join(retrieval.texts_of(chunks, hits, "doc_id"), "doc_id")
     fits = retrieval.on_type(F.col("tags"), F.col("types"), F.col("q"), F.col("t"))
     out = retrieval.prefer_formulas(rows, F.col("q"), F.col("query_id") % 4 != 2, fits, T.is_formula(F.col("t")))
     return out.select("query_id", "doc_id", F.col("pos").cast("long").alias("pos"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter, defaultdict
 
 import duckdb
 import pyarrow as pa
@@ -173,3 +174,58 @@ def test_nearest_keys_equal_brute_force(spark):
     assert len(rows) == len(want) and set(rows) == want
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_texts_and_queries_are_scored_where_texts_stand(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: rng.choice("abcdefgh") * rng.randrange(1, 4)
+    rows = [(k, " ".join(word() for _ in range(rng.randrange(0, 30)))) for k in range(150)] + [(7, "a b zz"), (7, "a cc"), (None, "a b"), (None, "c"), (300, None), (301, "!")]
+    asked = [(q, " ".join(word() for _ in range(rng.randrange(0, 9)))) for q in range(12)] + [(3, "a a bb"), (50, None), (51, "unknown")]
+    docs, queries = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(asked, "query_id long, text string")
+
+    def plain(top_k):
+        texts = [(k, (t or "").split() if t != "!" else []) for k, t in rows]
+        mean = sum(len(t) for (_, t), (_, raw) in zip(texts, rows, strict=True) if raw is not None) / sum(raw is not None for _, raw in rows)
+        df = Counter(t for _, terms in texts for t in set(terms))
+        idf = {t: math.log(len(rows) - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+        low = 0.25 * sum(idf.values()) / len(idf)
+        once, sizes = defaultdict(Counter), defaultdict(set)
+        for k, terms in texts:
+            once[k].update(terms)
+            sizes[k].add(len(terms))
+        out = set()
+        for q in {q for q, _ in asked}:
+            words = Counter(t for p, text in asked if p == q and text for t in text.split() if t in idf)
+            hits = []
+            for k, tf in once.items():
+                if len(sizes[k]) == 1 and any(t in tf for t in words):
+                    dl = min(sizes[k])
+                    score = sum(n * (low if idf[t] < 0 else idf[t]) * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * dl / mean)) for t, n in words.items() if t in tf)
+                    hits.append((-math.floor(score * 1e4 + 0.5) / 1e4, k))
+            out |= {(q, k, -s) for s, k in sorted(hits)[:top_k]}
+        return out
+
+    def found(top_k):
+        got = retrieval.bm25(docs.filter("doc_id <> 7"), queries, top_k, digits=4)
+        return got, {(r["query_id"], r["doc_id"], r["score"]) for r in got.collect()}
+
+    rows = [r for r in rows if r[0] not in (7, None)]
+    for top_k in (4, None):
+        out, got = found(top_k)
+        assert got == plain(top_k)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Generate" not in plan
+    once = found(4)[1]
+    repeated = retrieval.bm25(docs, queries, 4, digits=4)
+    assert repeated.count() == repeated.select("query_id", "doc_id").distinct().count()  # rows of one key are one text
+    monkeypatch.setattr(retrieval, "QUERY_SET", 2)
+    assert found(4)[1] == once
+    monkeypatch.setattr(retrieval, "SCORES", 5)
+    assert found(4)[1] == once
+
+
+def test_hits_fetch_their_texts_without_a_shuffle_of_texts(spark):
+    texts = spark.range(100).selectExpr("id AS doc_id", "repeat('x', 50) AS text")
+    out = retrieval.texts_of(texts, spark.createDataFrame([(1, 5), (2, 5), (2, 7), (2, 500)], "query_id long, doc_id long"), "doc_id")
+    assert sorted(r["doc_id"] for r in out.collect()) == [5, 7]
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
